@@ -15,10 +15,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def money_units(amount: Column | str) -> Column:
+    """Exact sum of a double money column in accounting units."""
+    return F.sum(F.rint(_col(amount) * MONEY_UNIT).cast("long").cast("decimal(18,0)"))
+
+
+def as_money(units: Column) -> Column:
+    """Accounting units as a double amount."""
+    return units.cast("double") / MONEY_UNIT
+
+
 def money_sum(amount: Column | str) -> Column:
     """Exact, order-independent sum of a double money column."""
-    units = F.rint(_col(amount) * MONEY_UNIT).cast("long").cast("decimal(18,0)")
-    return F.sum(units).cast("double") / MONEY_UNIT
+    return as_money(money_units(amount))
 
 
 def money_avg(amount: Column | str) -> Column:

@@ -363,17 +363,19 @@ def accuracy_report(metrics: DataFrame) -> DataFrame:
                               "variation_buffer": F.col("overall_mae") * 1.5})
 
 
-def holdout_tail(monthly: DataFrame, share: float = 0.8, small: int = 3) -> DataFrame:
+def holdout_tail(monthly: DataFrame, share: float = 0.8, min_train: int = 3,
+                 min_months: int = 0) -> DataFrame:
     """Marks each SKU's last months as test rows.
 
     The first ``share`` of the months (at least one) train. Where fewer than
-    ``small`` would train, all months train and the last one tests.
+    ``min_train`` would train, or the SKU has fewer than ``min_months``, all
+    months train and the last one tests.
     """
     by_month = Window.partitionBy("SKU").orderBy("Date")
     n = F.count("*").over(Window.partitionBy("SKU"))
     cut = F.greatest(F.lit(1), (n * F.lit(share)).cast("int"))
     numbered = monthly.withColumns({"_i": F.row_number().over(by_month), "_n": n, "_cut": cut})
-    few = F.col("_cut") < small
+    few = (F.col("_cut") < min_train) | (F.col("_n") < min_months)
     return numbered.withColumns({
         "is_train": F.when(few, True).otherwise(F.col("_i") <= F.col("_cut")),
         "is_test": F.when(few, F.col("_i") == F.col("_n")).otherwise(F.col("_i") > F.col("_cut"))

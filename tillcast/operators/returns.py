@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import day_name, month_key
 from tillcast.functions.frames import bundle, drop_null_keys, exact_quantile, top_by
-from tillcast.functions.numeric import money_sum, percent_of, safe_div
+from tillcast.functions.numeric import as_money, money_sum, money_units, percent_of, safe_div
 
 
 def returns_overview(returns: DataFrame) -> DataFrame:
@@ -120,13 +120,11 @@ def return_rate_totals(sales: DataFrame, returns: DataFrame) -> DataFrame:
     sold = drop_null_keys(sales, "SKU").agg(
         F.coalesce(F.sum("Quantity"), F.lit(0)).alias("total_sales"))
     per_sku = drop_null_keys(returns, "SKU").groupBy("SKU").agg(
-        F.abs(F.sum("Quantity")).alias("q"), F.sum(
-            F.rint(F.col("Amount") * 10000).cast("long").cast("decimal(18,0)")).alias("m"))
-    back = per_sku.agg(
-        F.coalesce(F.sum("q"), F.lit(0)).alias("total_returns"),
-        F.count("*").alias("unique_skus_returned"),
-        (F.abs(F.sum("m")).cast("double") / 10000.0).alias("returns_revenue"))
-    return bundle(sales.sparkSession, sold, back).withColumn(
+        F.abs(F.sum("Quantity")).alias("q"))
+    back = per_sku.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("total_returns"),
+                       F.count("*").alias("unique_skus_returned"))
+    amount = returns.agg(F.abs(money_sum("Amount")).alias("returns_revenue"))
+    return bundle(sales.sparkSession, sold, back, amount).withColumn(
         "overall_return_rate",
         F.when(F.col("total_sales") > 0, percent_of("total_returns", "total_sales"))
         .otherwise(0.0))
@@ -159,14 +157,12 @@ def high_risk_impact(sales: DataFrame, returns: DataFrame, sku_over: float = 50,
     skus = high_risk_skus(sales, returns, sku_over).select(F.col("sku").alias("SKU"))
     # Amounts are summed per SKU first; the semi join then meets one row per SKU.
     lost = drop_null_keys(returns, "SKU").groupBy("SKU").agg(
-        F.abs(F.sum(F.rint(F.col("Amount") * 10000).cast("long").cast("decimal(18,0)")))
-        .alias("m")).join(skus, "SKU", "left_semi")
+        F.abs(money_units("Amount")).alias("m")).join(skus, "SKU", "left_semi")
     return bundle(
         sales.sparkSession,
         skus.agg(F.count("*").alias("affected_skus")),
         high_risk_states(sales, returns, state_over).agg(F.count("*").alias("affected_states")),
-        lost.agg(F.coalesce(F.sum("m").cast("double") / 10000.0, F.lit(0.0))
-                 .alias("high_risk_revenue_loss")))
+        lost.agg(F.coalesce(as_money(F.sum("m")), F.lit(0.0)).alias("high_risk_revenue_loss")))
 
 
 def risk_tier(rate: Column) -> Column:

@@ -6,7 +6,10 @@ one task, so an export is a folder of part files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.sources.schemas import REQUIRED_SALES, REQUIRED_SKU_MASTER
@@ -131,3 +134,31 @@ def _ingest(upload: DataFrame, required: list[str], path: str, mode: str) -> int
     (upload.observe(written, F.count(F.lit(1)).alias("rows"))
      .write.mode(mode).parquet(path))
     return written.get["rows"]
+
+
+class PatternCache:
+    """Seasonal and yearly patterns kept as two tables, rebuilt when either is missing."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.paths = {name: f"{folder.rstrip('/')}/{name}" for name in ("seasonal", "yoy")}
+
+    def load(self) -> tuple[DataFrame, DataFrame] | None:
+        try:
+            return tuple(self.spark.read.parquet(self.paths[n]) for n in ("seasonal", "yoy"))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def is_valid(self) -> bool:
+        return self.load() is not None
+
+    def load_or_build(self, build: Callable[[], tuple[DataFrame, DataFrame]]
+                      ) -> tuple[DataFrame, DataFrame]:
+        found = self.load()
+        if found is None:
+            for name, frame in zip(("seasonal", "yoy"), build()):
+                frame.write.mode("overwrite").parquet(self.paths[name])
+            found = self.load()
+        return found
