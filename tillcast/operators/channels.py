@@ -206,7 +206,7 @@ def top_share(frame: DataFrame, value: str, key: str, out: str, n: int = 5) -> D
     best = top_by(frame, n, value, key).agg(F.sum(value).alias("best"))
     whole = frame.agg(F.sum(value).alias("whole"))
     return bundle(frame.sparkSession, best, whole).select(
-        percent_of("best", "whole").alias(out))
+        F.round(percent_of("best", "whole"), 6).alias(out))
 
 
 def bi_concentration(sales: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def bi_row_means(sales: DataFrame) -> DataFrame:
 def price_stats(sales: DataFrame) -> DataFrame:
     """Mean, range and variation of the unit price and its correlation with units."""
     stats = sales.agg(
-        F.avg("Rate").alias("mean"), F.stddev_samp("Rate").alias("std"),
+        money_avg("Rate").alias("mean"), F.stddev_samp("Rate").alias("std"),
         F.min("Rate").alias("low"), F.max("Rate").alias("high"),
         F.corr(F.col("Rate"), F.col("Quantity").cast("double")).alias("r"))
     r = F.col("r")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import month_cos, month_sin, month_start
 from tillcast.functions.frames import drop_null_keys
-from tillcast.functions.numeric import finite, money_sum, safe_div
+from tillcast.functions.numeric import finite, money_avg, money_sum, safe_div
 
 LAGS = (1, 3, 7, 14, 30)
 WINDOWS = (7, 14, 30)
@@ -137,7 +137,7 @@ def monthly_sku_sales(sales: DataFrame) -> DataFrame:
     return (drop_null_keys(sales, "SKU", "Date")
             .groupBy("SKU", F.year("Date").alias("Year"), F.month("Date").alias("Month"))
             .agg(F.sum("Quantity").alias("Quantity"), money_sum("Amount").alias("Amount"),
-                 F.avg("Rate").alias("Rate"))
+                 money_avg("Rate").alias("Rate"))
             .withColumn("Date", month_start()))
 
 

@@ -50,7 +50,7 @@ def rd(x: str, n: int) -> str:
 
 
 def units(a: str) -> str:
-    return f"SUM(CAST(round(({a}) * 10000) AS BIGINT))"
+    return f"SUM(CAST(round_even(({a}) * 10000, 0) AS BIGINT))"
 
 
 def money(a: str = "Amount") -> str:
@@ -194,7 +194,7 @@ FROM (SELECT *, recent_mean * (1 + growth_rate) * 30 * seasonal_multiplier AS m
       WHERE rows >= 30 AND sale_days >= 30) s
 LEFT JOIN sku_master k ON s.SKU = k.sku""", "scored", "sku_master")
 _cte("top15", """
-SELECT SKU FROM (SELECT SKU, SUM(CAST(round(Amount * 10000) AS BIGINT)) AS m FROM recent
+SELECT SKU FROM (SELECT SKU, SUM(CAST(round_even(Amount * 10000, 0) AS BIGINT)) AS m FROM recent
 GROUP BY 1) ORDER BY m DESC, SKU LIMIT 15""", "recent")
 _cte("pred15", "SELECT * FROM pred WHERE SKU IN (SELECT SKU FROM top15)", "pred", "top15")
 
@@ -264,7 +264,7 @@ FROM (SELECT *, lag(revenue) OVER (ORDER BY month) AS prev
 
 def _monthly(src: str) -> str:
     return (f'SELECT SKU, {YEAR} AS "Year", {MON} AS "Month", {total()} AS Quantity, '
-            f'{money()} AS Amount, avg(Rate) AS Rate, '
+            f'{money()} AS Amount, {money("Rate")} / COUNT(Rate) AS Rate, '
             f'CAST(date_trunc(\'month\', MIN("Date")) AS DATE) AS "Date" FROM {src} '
             f'WHERE SKU IS NOT NULL GROUP BY 1, 2, 3')
 
@@ -694,7 +694,7 @@ FROM (SELECT {key} AS k, {mean()} AS m FROM sales GROUP BY 1)"""
 _add("bi_row_means", _means("weekday", WEEKDAY, _day_names("k")) + " UNION ALL "
      + _means("month", MON, _month_names("k")), "sales")
 _add("price_stats", f"""
-SELECT {rd('avg(Rate)', 4)} AS avg_price, {rd('stddev_samp(Rate)', 4)} AS price_std,
+SELECT {rd(money('Rate') + ' / COUNT(Rate)', 4)} AS avg_price, {rd('stddev_samp(Rate)', 4)} AS price_std,
        {rd('min(Rate)', 4)} AS min_price, {rd('max(Rate)', 4)} AS max_price,
        {rd('stddev_samp(Rate) / avg(Rate) * 100', 4)} AS price_volatility,
        {rd('corr(Rate, Quantity)', 6)} AS price_quantity_corr,
@@ -725,7 +725,7 @@ def _over(fn: str, c: str, n: int, need: int | None = None) -> str:
     return (f"CASE WHEN COUNT({c}) OVER {frame} = {need or n} THEN {fn}({c}) OVER {frame} END")
 
 
-_MEANS = ", ".join(f'{rd(_over("avg", c, n), 4)} AS "{c}_rolling_{n}"' for n in (7, 14, 30)
+_MEANS = ", ".join(f'{rd(_over("avg", c, n), 6)} AS "{c}_rolling_{n}"' for n in (7, 14, 30)
                    for c in ("Quantity", "Amount"))
 _add("daily_rolling_means", f'SELECT SKU, "Date", Quantity, Amount, {_MEANS} FROM daily',
      "daily")
@@ -754,8 +754,7 @@ _add("rolling_stats", 'SELECT SKU, "Date", Quantity, ' + ", ".join(
     for n in (7, 14, 30, 90)
     for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
      + " FROM daily", "daily")
-_add("monthly_sku_sales", f'SELECT SKU, "Year", "Month", Quantity, Amount, {rd("Rate", 4)} '
-                          f'AS "Rate", "Date" FROM monthly', "monthly")
+_add("monthly_sku_sales", "SELECT * FROM monthly", "monthly")
 
 
 def _monthly_features(src: str) -> str:
@@ -804,7 +803,7 @@ SELECT m.SKU, "Year", "Month", Quantity, Amount, "Date",
   {rd('COALESCE(factor, 1)', 6)} AS "Historical_Seasonal_Factor",
   {rd('COALESCE(yoy, 0)', 6)} AS "Historical_YoY_Growth", CAST(1 AS INTEGER) AS is_post_restart
 FROM (SELECT *, COUNT(*) OVER (PARTITION BY SKU) AS n FROM monthly WHERE "Year" >= 2000) m
-LEFT JOIN (SELECT SKU AS s, month, factor FROM seasonal) ON m.SKU = s AND m."Month" = month
+LEFT JOIN (SELECT SKU AS s, month AS sm, factor FROM seasonal) ON m.SKU = s AND "Month" = sm
 LEFT JOIN (SELECT SKU AS y, yoy FROM yoy) ON m.SKU = y
 WHERE n >= 3 WINDOW w AS (PARTITION BY m.SKU ORDER BY "Date")""", "monthly", "seasonal", "yoy")
 _add("pct_change", f"""
@@ -1235,11 +1234,9 @@ GROUP BY 1, 2""")
 # -- planning rules ---------------------------------------------------------------------------
 
 _add("safety_stock_z", f"""
-SELECT SKU, COALESCE(lead_time_days, 14) AS lead_time_days,
+SELECT profile.SKU, COALESCE(lead_time_days, 14) AS lead_time_days,
        {rd('sqrt(COALESCE(lead_time_days, 14)) * 1.65::DOUBLE * daily_std', 4)} AS safety_stock
-FROM profile LEFT JOIN moq_terms ON SKU = sku""".replace("ON SKU = sku",
-                                                         "ON profile.SKU = moq_terms.sku"),
-     "profile", "moq_terms")
+FROM profile LEFT JOIN moq_terms ON profile.SKU = moq_terms.sku""", "profile", "moq_terms")
 _cte("plan", f"""
 SELECT sku, CASE WHEN cover <= 3 THEN 'CRITICAL' WHEN cover <= 7 THEN 'HIGH'
                  WHEN cover <= 14 THEN 'MEDIUM' ELSE 'LOW' END AS urgency,

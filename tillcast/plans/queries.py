@@ -571,7 +571,7 @@ def _rounded(frame: DataFrame, digits: int, *prefixes: str) -> DataFrame:
 @query
 def daily_rolling_means(t: RetailTables) -> DataFrame:
     rolled = features.daily_rolling_means(_daily(t)).drop("Rows", "Counted")
-    return _rounded(rolled, 4, "Quantity_rolling", "Amount_rolling")
+    return _rounded(rolled, 6, "Quantity_rolling", "Amount_rolling")
 
 
 @query
@@ -583,8 +583,7 @@ def daily_trend_slope(t: RetailTables) -> DataFrame:
 @query
 def daily_features(t: RetailTables) -> DataFrame:
     built = features.daily_features(_daily(t))
-    return _rounded(_rounded(built, 4, "Quantity_rolling", "Amount_rolling"), 6,
-                    "Quantity_trend")
+    return _rounded(built, 6, "Quantity_rolling", "Amount_rolling", "Quantity_trend")
 
 
 def _monthly(t: RetailTables) -> DataFrame:
@@ -593,7 +592,7 @@ def _monthly(t: RetailTables) -> DataFrame:
 
 @query
 def monthly_sku_sales(t: RetailTables) -> DataFrame:
-    return _rounded(_monthly(t), 4, "Rate")
+    return _monthly(t)
 
 
 @query
