@@ -43,64 +43,39 @@ def top_by(frame: DataFrame, n: int | None, value: str, *keys: str,
     return ordered if n is None else ordered.limit(n)
 
 
-def exact_quantile(frame: DataFrame, value: str, q: float, cells: int = 1024) -> DataFrame:
+def exact_quantile(frame: DataFrame, value: str, q: float, cells: int = 65536) -> DataFrame:
     """One-row frame ``quantile``: linearly interpolated quantile of a whole column.
 
-    No task ever holds the column. Equal-width cells are counted first (at
-    most ``cells`` rows), then the cell that holds the wanted rank is cut
-    again into as many cells. Only the distinct values of that last cell are
-    put in order. All cell bounds follow from the minimum and maximum, so a
-    re-run after a lost executor finds the same cells.
+    No task ever holds the column. Equal values are counted, the counts are
+    added up per equal-width cell (at most ``cells`` rows), and only the
+    distinct values of the one or two cells that hold the wanted ranks are put
+    in order. The cells follow from the minimum and maximum alone, so a re-run
+    after a lost executor finds the same ones.
     """
-    data = frame.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    span = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    packed = span.select(F.struct("lo", "hi", "n"))
-    rank_at = (F.col("s")["n"] - 1) * F.lit(q)
-
-    def cell_of(v: Column, lo: Column, width: Column) -> Column:
-        place = F.when(width > 0, F.floor(F.try_divide(v - lo, width))).otherwise(F.lit(0))
-        return F.least(F.greatest(place.cast("int"), F.lit(0)), F.lit(cells - 1))
-
-    def counted(cells_frame: DataFrame) -> DataFrame:
-        counts = cells_frame.groupBy("cell").agg(
-            F.count("*").alias("c"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"),
-            F.first("s").alias("s"), F.first("base").alias("base"))
-        upto = F.sum("c").over(Window.orderBy("cell"))
-        return counts.withColumn("before", F.col("base") + upto - F.col("c"))
-
-    def pick(edge: Column) -> DataFrame:
-        """Value at one whole rank."""
-        level0 = (data.withColumn("s", packed.scalar())
-                  .withColumn("base", F.lit(0).cast("long"))
-                  .withColumn("cell", cell_of(F.col("v"), F.col("s")["lo"],
-                                              (F.col("s")["hi"] - F.col("s")["lo"]) / cells)))
-        hit0 = (counted(level0)
-                .where((F.col("before") <= edge) & (edge < F.col("before") + F.col("c")))
-                .select(F.struct("cell_lo", "cell_hi", "before")))
-        level1 = (data.withColumn("h", hit0.scalar())
-                  .where(F.col("v").between(F.col("h")["cell_lo"], F.col("h")["cell_hi"]))
-                  .withColumn("s", packed.scalar())
-                  .withColumn("base", F.col("h")["before"])
-                  .withColumn("cell", cell_of(F.col("v"), F.col("h")["cell_lo"],
-                                              (F.col("h")["cell_hi"] - F.col("h")["cell_lo"])
-                                              / cells)))
-        hit1 = (counted(level1)
-                .where((F.col("before") <= edge) & (edge < F.col("before") + F.col("c")))
-                .select(F.struct("cell_lo", "cell_hi", "before")))
-        values = (data.withColumn("h", hit1.scalar())
-                  .where(F.col("v").between(F.col("h")["cell_lo"], F.col("h")["cell_hi"]))
-                  .groupBy("v").agg(F.count("*").alias("c"), F.first("h").alias("h"))
-                  .withColumn("s", packed.scalar()))
-        upto = F.sum("c").over(Window.orderBy("v"))
-        return (values.withColumn("before", F.col("h")["before"] + upto - F.col("c"))
-                .where((F.col("before") <= edge) & (edge < F.col("before") + F.col("c")))
-                .select("v"))
-
-    low, high = pick(F.floor(rank_at)), pick(F.ceil(rank_at))
-    spark = frame.sparkSession
-    ends = spark.range(1).select(low.scalar().alias("a"), high.scalar().alias("b"),
-                                 packed.scalar().alias("s"))
-    part = rank_at - F.floor(rank_at)
+    counted = (frame.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+               .groupBy("v").agg(F.count("*").alias("c")))
+    span = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                       (F.sum("c") - 1).cast("double").alias("last"))
+    placed = counted.withColumn("s", span.select(F.struct("lo", "hi", "last")).scalar())
+    step = F.try_divide(F.col("s.hi") - F.col("s.lo"), F.lit(float(cells)))
+    cell = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("s.lo"), step)), F.lit(0))
+    celled = placed.withColumn("cell", F.least(cell, F.lit(cells - 1)))
+
+    def holds(before: Column, count: Column) -> Column:
+        low, high = F.floor(F.col("s.last") * q), F.ceil(F.col("s.last") * q)
+        return (low < before + count) & (high >= before)
+
+    per_cell = celled.groupBy("cell").agg(F.sum("c").alias("n"), F.first("s").alias("s"))
+    ahead = F.sum("n").over(Window.orderBy("cell")) - F.col("n")
+    wanted = (per_cell.withColumn("ahead", ahead).where(holds(F.col("ahead"), F.col("n")))
+              .select("cell", "ahead"))
+    # At most two cells can hold the two ranks, so this side is always tiny.
+    inside = celled.join(F.broadcast(wanted), "cell")
+    within = F.sum("c").over(Window.partitionBy("cell").orderBy("v")) - F.col("c")
+    ends = (inside.withColumn("before", F.col("ahead") + within)
+            .where(holds(F.col("before"), F.col("c")))
+            .agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("s").alias("s")))
+    part = F.col("s.last") * q - F.floor(F.col("s.last") * q)
     return ends.select((F.col("a") + (F.col("b") - F.col("a")) * part).alias("quantile"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import DAY_NAMES, MONTH_NAMES, month_key
-from tillcast.functions.frames import bundle, drop_null_keys, top_by, total
+from tillcast.functions.frames import bundle, drop_null_keys, top_by
 from tillcast.functions.numeric import (mean_of, money_avg, money_sum, percent_of, safe_div)
 from tillcast.operators.sales import with_product_name
 
@@ -25,11 +25,12 @@ def channel_summary(sales: DataFrame) -> DataFrame:
         F.round(money_avg("Amount"), 2).alias("Avg_Order_Value"),
         F.sum("Quantity").alias("Total_Quantity"),
         F.round(mean_of("Quantity"), 2).alias("Avg_Quantity_Per_Order"))
-    revenue = total(per_channel, F.sum("Total_Revenue"))
-    orders = total(per_channel, F.sum("Total_Orders"))
+    # One row per channel is left, so the totals are a window over a handful of rows.
+    whole = Window.partitionBy()
     return per_channel.withColumns({
-        "Revenue_Percentage": F.round(percent_of("Total_Revenue", revenue), 2),
-        "Orders_Percentage": F.round(percent_of("Total_Orders", orders), 2)})
+        f"{name}_Percentage": F.round(
+            percent_of(f"Total_{name}", F.sum(f"Total_{name}").over(whole)), 2)
+        for name in ("Revenue", "Orders")})
 
 
 def _pivot_channels(frame: DataFrame, keys: Sequence[Column], channels: Sequence[str],
@@ -209,12 +210,14 @@ def top_share(frame: DataFrame, value: str, key: str, out: str, n: int = 5) -> D
         F.round(percent_of("best", "whole"), 6).alias(out))
 
 
-def bi_concentration(sales: DataFrame) -> DataFrame:
-    """Share of units of the five best SKUs and of revenue of the five best states."""
-    return bundle(
-        sales.sparkSession,
-        top_share(bi_sku_performance(sales), "Total_Quantity", "SKU", "top_5_sku_share"),
-        top_share(bi_state_performance(sales), "Amount", "Stateto", "top_5_state_share"))
+def bi_concentration(per_sku: DataFrame, per_state: DataFrame) -> DataFrame:
+    """Share of units of the five best SKUs and of revenue of the five best states.
+
+    Takes the results of ``bi_sku_performance`` and ``bi_state_performance``.
+    """
+    return bundle(per_sku.sparkSession,
+                  top_share(per_sku, "Total_Quantity", "SKU", "top_5_sku_share"),
+                  top_share(per_state, "Amount", "Stateto", "top_5_state_share"))
 
 
 def bi_row_means(sales: DataFrame) -> DataFrame:
@@ -251,13 +254,13 @@ def price_stats(sales: DataFrame) -> DataFrame:
         F.round(r, 6).alias("price_quantity_corr"), effect.alias("price_effect"))
 
 
-def kpi_report(sales: DataFrame) -> DataFrame:
+def kpi_report(sales: DataFrame, per_sku: DataFrame, per_state: DataFrame) -> DataFrame:
     """Headline figures: revenue, units, SKUs, daily units, order value, concentration."""
     totals = sales.agg(
         money_sum("Amount").alias("total_revenue"), F.sum("Quantity").alias("total_units"),
         F.count("*").alias("total_orders"), F.count_distinct("SKU").alias("total_skus"))
     daily = _daily_units(sales).agg(mean_of("Quantity").alias("daily_avg"))
-    joined = bundle(sales.sparkSession, totals, daily, bi_concentration(sales))
+    joined = bundle(sales.sparkSession, totals, daily, bi_concentration(per_sku, per_state))
     return joined.withColumns({
         "avg_order_value": safe_div("total_revenue", "total_orders"),
         "revenue_per_sku": safe_div("total_revenue", "total_skus")})

@@ -291,23 +291,27 @@ def channel_predict(sales: DataFrame, channels: Sequence[str] = CHANNELS, n: int
 
     Each SKU has a row for every channel; a channel without sales gets zeros.
     """
-    per_sku = drop_null_keys(sales, "SKU").groupBy("SKU").agg(
-        F.sum("Quantity").alias("sku_quantity"))
+    # Sales are read once, into monthly cells; everything below works on the cells.
+    cells = (drop_null_keys(sales, "SKU")
+             .groupBy("SKU", "Partyname", "Stateto", F.trunc("Date", "month").alias("_month"))
+             .agg(F.sum("Quantity").alias("q"), F.count("Quantity").alias("n")))
+    per_sku = cells.groupBy("SKU").agg(F.sum("q").alias("sku_quantity"))
     best = top_by(per_sku, n, "sku_quantity", "SKU")
     wanted = best.withColumn("Partyname", F.explode(F.array(*[F.lit(c) for c in channels])))
-    picked = sales.join(best.select("SKU"), "SKU", "left_semi")
-    months = recent_months(picked, ["SKU", "Partyname"])
-
+    picked = cells.join(best.select("SKU"), "SKU", "left_semi")
+    per_month = drop_null_keys(picked, "Partyname").groupBy("SKU", "Partyname", "_month").agg(
+        F.sum("q").alias("q"), F.sum("n").alias("n"))
+    months = _recent(per_month, ["SKU", "Partyname"], 3)
     per_state = (drop_null_keys(picked, "Partyname", "Stateto")
-                 .groupBy("SKU", "Partyname", "Stateto").agg(F.sum("Quantity").alias("q")))
+                 .groupBy("SKU", "Partyname", "Stateto").agg(F.sum("q").alias("q")))
     rank = Window.partitionBy("SKU", "Partyname").orderBy(F.col("q").desc(), "Stateto")
     leading = (per_state.withColumn("position", F.row_number().over(rank))
+               .withColumn("_all", F.sum("q").over(Window.partitionBy("SKU", "Partyname")))
                .where(F.col("position") <= states)
-               .join(months.select("SKU", "Partyname", "total_quantity"), ["SKU", "Partyname"])
                .groupBy("SKU", "Partyname")
                .agg(F.sort_array(F.collect_list(F.struct(
                    "position", F.col("Stateto").alias("state"), F.col("q").alias("quantity"),
-                   F.round(percent_of("q", "total_quantity"), 1).alias("percentage"))))
+                   F.round(percent_of("q", "_all"), 1).alias("percentage"))))
                    .alias("top_states")))
     joined = (wanted.join(months, ["SKU", "Partyname"], "left")
               .join(leading, ["SKU", "Partyname"], "left"))

@@ -70,25 +70,30 @@ def high_return_skus(returns: DataFrame, q: float = 0.8) -> DataFrame:
         F.col("SKU").alias("sku"), "return_quantity", F.lit("high").alias("risk_level"))
 
 
-def return_rate_by(sales: DataFrame, returns: DataFrame,
-                   keys: dict[str, Column | str]) -> DataFrame:
+def return_rate_by(sales: DataFrame, returns: DataFrame, keys: dict[str, Column | str],
+                   **measures: Column) -> DataFrame:
     """Units returned as a percentage of units sold per key.
 
     Keys found on one side only are kept with a rate of 0. Both sides are
-    summed before they meet, so the join is between key totals.
+    summed before they meet, so the join is between key totals. ``measures``
+    are further aggregates of the returned rows.
     """
-    exprs = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in keys.items()]
     names = list(keys)
-    sold = drop_null_keys(sales.select(*exprs, "Quantity"), *names).groupBy(*names).agg(
-        F.sum("Quantity").alias("sales_quantity"))
-    back = drop_null_keys(returns.select(*exprs, "Quantity"), *names).groupBy(*names).agg(
-        F.abs(F.sum("Quantity")).alias("returns_quantity"))
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        named = frame.withColumns({
+            n: F.col(c) if isinstance(c, str) else c for n, c in keys.items()})
+        return drop_null_keys(named, *names).groupBy(*names)
+
+    sold = keyed(sales).agg(F.sum("Quantity").alias("sales_quantity"))
+    back = keyed(returns).agg(F.abs(F.sum("Quantity")).alias("returns_quantity"),
+                              *[m.alias(n) for n, m in measures.items()])
     joined = sold.join(back, names, "full_outer")
     return joined.select(
         *names, F.coalesce(percent_of("returns_quantity", "sales_quantity"), F.lit(0.0))
         .alias("return_rate"),
         F.coalesce("sales_quantity", F.lit(0)).alias("sales_quantity"),
-        F.coalesce("returns_quantity", F.lit(0)).alias("returns_quantity"))
+        F.coalesce("returns_quantity", F.lit(0)).alias("returns_quantity"), *measures)
 
 
 def return_rate_by_sku(sales: DataFrame, returns: DataFrame) -> DataFrame:
@@ -151,18 +156,26 @@ def high_risk_states(sales: DataFrame, returns: DataFrame, over: float = 40) ->
         "state", "return_rate", F.col("returns_quantity").alias("returns"))
 
 
-def high_risk_impact(sales: DataFrame, returns: DataFrame, sku_over: float = 50,
+def high_risk_impact(sku_rates: DataFrame, state_rates: DataFrame, sku_over: float = 50,
                      state_over: float = 40) -> DataFrame:
-    """Number of risky SKUs and states and the amount returned on those SKUs."""
-    skus = high_risk_skus(sales, returns, sku_over).select(F.col("sku").alias("SKU"))
-    # Amounts are summed per SKU first; the semi join then meets one row per SKU.
-    lost = drop_null_keys(returns, "SKU").groupBy("SKU").agg(
-        F.abs(money_units("Amount")).alias("m")).join(skus, "SKU", "left_semi")
-    return bundle(
-        sales.sparkSession,
-        skus.agg(F.count("*").alias("affected_skus")),
-        high_risk_states(sales, returns, state_over).agg(F.count("*").alias("affected_states")),
-        lost.agg(F.coalesce(as_money(F.sum("m")), F.lit(0.0)).alias("high_risk_revenue_loss")))
+    """Number of risky SKUs and states and the amount returned on those SKUs.
+
+    ``sku_rates`` carries the returned money of each SKU, from
+    ``return_rate_by(..., lost=returned_money())``.
+    """
+    risky = F.col("return_rate") > sku_over
+    skus = sku_rates.agg(
+        F.count_if(risky).alias("affected_skus"),
+        F.coalesce(as_money(F.sum(F.when(risky, F.col("lost")))), F.lit(0.0))
+        .alias("high_risk_revenue_loss"))
+    states = state_rates.agg(
+        F.count_if(F.col("return_rate") > state_over).alias("affected_states"))
+    return bundle(sku_rates.sparkSession, skus, states)
+
+
+def returned_money() -> Column:
+    """Amount returned, in accounting units."""
+    return F.abs(money_units("Amount"))
 
 
 def risk_tier(rate: Column) -> Column:

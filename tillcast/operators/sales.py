@@ -207,8 +207,12 @@ def godown_top(sales: DataFrame, n: int = 5) -> DataFrame:
 
 def sku_top_godowns(sales: DataFrame, n: int = 3) -> DataFrame:
     """Per SKU the array of its ``n`` largest warehouses, largest first."""
-    per_pair = drop_null_keys(sales, "SKU", "Godown").groupBy("SKU", "Godown").agg(
-        F.sum("Quantity").alias("quantity"))
+    return list_top_godowns(drop_null_keys(sales, "SKU", "Godown").groupBy("SKU", "Godown").agg(
+        F.sum("Quantity").alias("quantity")), n)
+
+
+def list_top_godowns(per_pair: DataFrame, n: int = 3) -> DataFrame:
+    """``sku_top_godowns`` from units already summed per SKU and warehouse."""
     rank = Window.partitionBy("SKU").orderBy(F.col("quantity").desc(), "Godown")
     kept = per_pair.withColumn("position", F.row_number().over(rank)).where(
         F.col("position") <= n)

@@ -528,7 +528,7 @@ def bi_state_performance(t: RetailTables) -> DataFrame:
 
 @query
 def bi_concentration(t: RetailTables) -> DataFrame:
-    return channels.bi_concentration(t.sales("SKU", "Stateto", "Quantity", "Amount"))
+    return channels.bi_concentration(bi_sku_performance(t), bi_state_performance(t))
 
 
 @query
@@ -543,7 +543,8 @@ def price_stats(t: RetailTables) -> DataFrame:
 
 @query
 def kpi_report(t: RetailTables) -> DataFrame:
-    return channels.kpi_report(t.sales("Date", "SKU", "Stateto", "Quantity", "Amount"))
+    return channels.kpi_report(t.sales("Date", "SKU", "Quantity", "Amount"),
+                               bi_sku_performance(t), bi_state_performance(t))
 
 
 # -- windows and features -----------------------------------------------------------------
@@ -1085,9 +1086,11 @@ def high_risk_states(t: RetailTables) -> DataFrame:
 
 @query
 def high_risk_impact(t: RetailTables) -> DataFrame:
-    parts = t.at_grain("part")
-    cols = ("SKU", "Stateto", "Quantity", "Amount")
-    return returns.high_risk_impact(parts.sales(*cols), parts.returns(*cols), 50, 33)
+    sku_rates = returns.return_rate_by(*_sku_sides(t, "Amount"), {"sku": "SKU"},
+                                       lost=returns.returned_money())
+    state_rates = returns.return_rate_by_state(t.sales("Stateto", "Quantity"),
+                                               t.returns("Stateto", "Quantity"))
+    return returns.high_risk_impact(sku_rates, state_rates, 50, 33)
 
 
 @query
