@@ -45,6 +45,7 @@ def main() -> None:
              [n for n in picked.split(",") if n] or HEADLINE)
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -37,15 +37,21 @@ class RetailTables:
         self.root = root.rstrip("/")
         self.grain = grain
         self.recent_from = recent_from
+        self._read: dict[str, DataFrame] = {}
 
     def at_grain(self, grain: str) -> "RetailTables":
-        return RetailTables(self.spark, self.root, grain, self.recent_from)
+        other = RetailTables(self.spark, self.root, grain, self.recent_from)
+        other._read = self._read
+        return other
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A stored table; its files are listed and its schema read once per instance."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(self.path(name))
+        return self._read[name]
 
     # -- dimensions ---------------------------------------------------------
 
