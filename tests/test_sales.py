@@ -178,3 +178,37 @@ def test_duplicates_keep_the_first(spark):
         "Orderid string, SKU string, Statefrom string, Date date, arrival int, Quantity long")
     got = rows(quality.dedupe_sales(raw, keep_first_by="arrival"), "Statefrom")
     assert [(r["Statefrom"], r["Quantity"]) for r in got] == [("f", 9), ("x", 7)]
+
+
+def test_views_answer_sql(spark, tables):
+    tables.register_views()
+    got = spark.sql("SELECT count(*) AS n, count(DISTINCT s.SKU) AS skus FROM sales s "
+                    "LEFT JOIN sku_master m ON s.SKU = m.sku WHERE m.category IS NOT NULL").first()
+    assert (got.n, got.skus) == (tables.table("lineitem").count(), 25)
+    parts = spark.sql("SELECT (SELECT count(*) FROM recent_sales) AS r, "
+                      "(SELECT count(*) FROM historical_sales) AS h").first()
+    assert parts.r + parts.h == got.n
+
+
+def test_terms_fall_back_to_the_estimate(spark):
+    estimate = spark.createDataFrame([("a", 20, 10, "d", 100.0)], schemas.MOQ_LEADTIME)
+    names_only = spark.createDataFrame([("a", "Heater")], "sku string, category string")
+    assert rows(readers.moq_or_estimate(names_only, estimate))[0]["moq"] == 20
+    assert rows(readers.moq_or_estimate(None, estimate))[0]["moq"] == 20
+    own = estimate.selectExpr("sku", "moq + 5 AS moq", "lead_time_days", "supplier", "unit_cost")
+    assert rows(readers.moq_or_estimate(own, estimate))[0]["moq"] == 25
+
+
+def test_one_hot_sku_with_a_third_of_all_rows(spark):
+    """Skewed input gives whole results and the same sums as counting by hand."""
+    n = 30000
+    hot = spark.range(n).selectExpr(
+        "date_add(DATE'2025-01-01', CAST(id % 90 AS INT)) AS Date",
+        "CASE WHEN id % 3 = 0 THEN 'HOT' ELSE concat('S', CAST(id % 1000 AS STRING)) END AS SKU",
+        "id % 7 AS Quantity", "CAST(id % 11 AS DOUBLE) AS Amount",
+        "concat('G', CAST(id % 400 AS STRING)) AS Godown")
+    per_sku = {r["SKU"]: r for r in rows(sales.sku_performance(hot))}
+    assert per_sku["HOT"]["Total_Orders"] == n // 3
+    assert sum(r["Total_Quantity"] for r in per_sku.values()) == sum(i % 7 for i in range(n))
+    best = {r["SKU"]: r for r in rows(sales.sku_top_godowns(hot))}
+    assert len(best["HOT"]["godown_distribution"]) == 3

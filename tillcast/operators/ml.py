@@ -44,7 +44,7 @@ def forest(trees: int, depth: int, min_leaf: int, subset: str = "auto") -> Rando
     return RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="raw_prediction",
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy=subset, seed=SEED)
+        featureSubsetStrategy=subset, cacheNodeIds=True, seed=SEED)
 
 
 def _pipeline(columns: Sequence[str], model, scale: bool = False) -> Pipeline:
@@ -55,10 +55,22 @@ def _pipeline(columns: Sequence[str], model, scale: bool = False) -> Pipeline:
     return Pipeline(stages=stages + [model])
 
 
-def _fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+def _spread(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Training rows split by SKU and date, in a fixed order.
+
+    The split also divides a SKU with very many rows, and adaptive execution
+    sizes the parts: every part sends statistics for every tree node, so few
+    parts are right for small data and many for large. The order makes the
+    drawn samples repeatable.
+    """
+    return (train.select("SKU", "Date", "label", *columns).repartition("SKU", "Date")
+            .sortWithinPartitions("SKU", "Date"))
+
+
+def _fit(pipeline: Pipeline, train: DataFrame, columns: Sequence[str]) -> PipelineModel:
     # Tree training reads its input many times. Kept on executors and spilled
     # to their disks; a lost block is rebuilt from the features' lineage.
-    kept = train.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _spread(train, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(kept)
     finally:
@@ -84,7 +96,8 @@ def split_last_days(features: DataFrame, days: int = 30) -> tuple[DataFrame, Dat
 def train_daily_model(features: DataFrame, trees: int = 100, depth: int = 10) -> PipelineModel:
     """Forest on scaled daily features of all but the last 30 days."""
     train, _ = split_last_days(features)
-    return _fit(_pipeline(DAILY_COLUMNS, forest(trees, depth, 2, "all"), scale=True), train)
+    return _fit(_pipeline(DAILY_COLUMNS, forest(trees, depth, 2, "all"), scale=True), train,
+                DAILY_COLUMNS)
 
 
 def daily_model_metrics(model: PipelineModel, features: DataFrame,
@@ -132,13 +145,15 @@ def restart_training_table(monthly: DataFrame, seasonal: DataFrame, yoy: DataFra
 
 
 def train_monthly_model(table: DataFrame, trees: int = 150, depth: int = 10) -> PipelineModel:
-    return _fit(_pipeline(MONTHLY_COLUMNS + [LEVEL], forest(trees, depth, 1, "sqrt")),
-                table.where("is_train"))
+    columns = MONTHLY_COLUMNS + [LEVEL]
+    return _fit(_pipeline(columns, forest(trees, depth, 1, "sqrt")), table.where("is_train"),
+                columns)
 
 
 def train_restart_model(table: DataFrame, trees: int = 100, depth: int = 8) -> PipelineModel:
-    return _fit(_pipeline(RESTART_COLUMNS + [LEVEL], forest(trees, depth, 1, "sqrt")),
-                table.where("is_train"))
+    columns = RESTART_COLUMNS + [LEVEL]
+    return _fit(_pipeline(columns, forest(trees, depth, 1, "sqrt")), table.where("is_train"),
+                columns)
 
 
 def model_test_rows(model: PipelineModel, table: DataFrame) -> DataFrame:
@@ -209,16 +224,16 @@ ENSEMBLE = {"linear": 0.3, "forest": 0.4, "boosting": 0.3}
 def ensemble_forecast(table: DataFrame, columns: Sequence[str] = tuple(MONTHLY_COLUMNS),
                       trees: int = 100, rounds: int = 20) -> DataFrame:
     """Weighted mean of a linear model, a forest and boosted trees on the test months."""
-    inputs = VectorAssembler(inputCols=list(columns) + [LEVEL], outputCol="features")
-    ready = inputs.transform(table)
-    train = ready.where("is_train").select("features", "label").persist(
-        StorageLevel.MEMORY_AND_DISK)
+    used = [*columns, LEVEL]
+    inputs = VectorAssembler(inputCols=used, outputCol="features")
+    train = (inputs.transform(_spread(table.where("is_train"), used))
+             .select("features", "label").persist(StorageLevel.MEMORY_AND_DISK))
     models = {
         "linear": LinearRegression(featuresCol="features", labelCol="label", regParam=0.1),
         "forest": forest(trees, 10, 2, "sqrt"),
         "boosting": GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds,
                                  maxDepth=4, seed=SEED)}
-    scored = ready.where("is_test")
+    scored = inputs.transform(table.where("is_test"))
     try:
         for name, model in models.items():
             fitted = model.setPredictionCol(name).fit(train)

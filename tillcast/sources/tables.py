@@ -154,6 +154,14 @@ class RetailTables:
                      F.min("p_name").alias("supplier"),
                      F.lit(100.0).alias("unit_cost")))
 
+    def register_views(self) -> None:
+        """The logical tables as temporary views for ``spark.sql``."""
+        views = {"sales": self.sales(), "recent_sales": self.recent(),
+                 "historical_sales": self.history(), "returns": self.returns(),
+                 "sku_master": self.sku_master(), "moq_leadtime": self.moq_leadtime()}
+        for name, frame in views.items():
+            frame.createOrReplaceTempView(name)
+
     # -- stand-ins for planning tables ---------------------------------------
 
     def closing_stock(self) -> DataFrame:
