@@ -212,3 +212,13 @@ def test_one_hot_sku_with_a_third_of_all_rows(spark):
     assert sum(r["Total_Quantity"] for r in per_sku.values()) == sum(i % 7 for i in range(n))
     best = {r["SKU"]: r for r in rows(sales.sku_top_godowns(hot))}
     assert len(best["HOT"]["godown_distribution"]) == 3
+
+
+def test_units_without_a_warehouse_count_in_the_total_only(spark):
+    frame = spark.createDataFrame([("A", None, 9), ("A", "x", 1), ("A", "y", 2), ("B", None, 4)],
+                                  "SKU string, Godown string, Quantity long")
+    got = {r["SKU"]: r for r in rows(sales.sku_top_godowns(frame))}
+    assert got["A"]["godown_distribution"] == [{"godown": "y", "quantity": 2},
+                                               {"godown": "x", "quantity": 1}]
+    assert (got["A"]["total_quantity"], got["B"]["total_quantity"]) == (12, 4)
+    assert got["B"]["godown_distribution"] == []

@@ -222,9 +222,13 @@ def bi_concentration(per_sku: DataFrame, per_state: DataFrame) -> DataFrame:
 
 def bi_row_means(sales: DataFrame) -> DataFrame:
     """Mean row units per weekday and per month, with the best and worst of each marked."""
+    # Both groupings start from the same daily sums, so sales are read once.
+    daily = drop_null_keys(sales, "Date").groupBy("Date").agg(
+        F.sum("Quantity").alias("q"), F.count("Quantity").alias("n"))
+
     def means(kind: str, key: Column, names: list[str], base: int) -> DataFrame:
-        m = sales.groupBy(key.cast("int").alias("k")).agg(
-            mean_of("Quantity").alias("avg_quantity"))
+        m = daily.groupBy(key.cast("int").alias("k")).agg(
+            safe_div(F.sum("q"), F.sum("n")).alias("avg_quantity"))
         label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + (1 - base))
         whole = Window.partitionBy()
         return m.select(

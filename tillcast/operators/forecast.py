@@ -291,33 +291,44 @@ def channel_predict(sales: DataFrame, channels: Sequence[str] = CHANNELS, n: int
 
     Each SKU has a row for every channel; a channel without sales gets zeros.
     """
-    # Sales are read once, into monthly cells; everything below works on the cells.
-    cells = (drop_null_keys(sales, "SKU")
-             .groupBy("SKU", "Partyname", "Stateto", F.trunc("Date", "month").alias("_month"))
-             .agg(F.sum("Quantity").alias("q"), F.count("Quantity").alias("n")))
-    per_sku = cells.groupBy("SKU").agg(F.sum("q").alias("sku_quantity"))
+    per_sku = drop_null_keys(sales, "SKU").groupBy("SKU").agg(
+        F.sum("Quantity").alias("sku_quantity"))
     best = top_by(per_sku, n, "sku_quantity", "SKU")
     wanted = best.withColumn("Partyname", F.explode(F.array(*[F.lit(c) for c in channels])))
-    picked = cells.join(best.select("SKU"), "SKU", "left_semi")
-    per_month = drop_null_keys(picked, "Partyname").groupBy("SKU", "Partyname", "_month").agg(
-        F.sum("q").alias("q"), F.sum("n").alias("n"))
-    months = _recent(per_month, ["SKU", "Partyname"], 3)
-    per_state = (drop_null_keys(picked, "Partyname", "Stateto")
-                 .groupBy("SKU", "Partyname", "Stateto").agg(F.sum("q").alias("q")))
-    rank = Window.partitionBy("SKU", "Partyname").orderBy(F.col("q").desc(), "Stateto")
-    leading = (per_state.withColumn("position", F.row_number().over(rank))
-               .withColumn("_all", F.sum("q").over(Window.partitionBy("SKU", "Partyname")))
-               .where(F.col("position") <= states)
-               .groupBy("SKU", "Partyname")
-               .agg(F.sort_array(F.collect_list(F.struct(
-                   "position", F.col("Stateto").alias("state"), F.col("q").alias("quantity"),
-                   F.round(percent_of("q", "_all"), 1).alias("percentage"))))
-                   .alias("top_states")))
-    joined = (wanted.join(months, ["SKU", "Partyname"], "left")
-              .join(leading, ["SKU", "Partyname"], "left"))
+
+    # Monthly sums and state sums come out of one aggregation of the same cells.
+    cells = (sales.where(F.col("Partyname").isin(list(channels)))
+             .groupBy("SKU", "Partyname", "Stateto", F.trunc("Date", "month").alias("_month"))
+             .agg(F.sum("Quantity").alias("q"), F.count("Quantity").alias("n"))
+             .join(best.select("SKU"), "SKU", "left_semi"))
+    sku, channel, state, month = (F.col(c) for c in ("SKU", "Partyname", "Stateto", "_month"))
+    sums = cells.groupingSets(
+        [[sku, channel, month], [sku, channel, state]], "SKU", "Partyname", "_month", "Stateto"
+    ).agg(F.sum("q").alias("q"), F.sum("n").alias("n"),
+          (F.grouping("_month") == 1).alias("_by_state"))
+    rank = Window.partitionBy("SKU", "Partyname", "_by_state").orderBy(
+        month.desc(), state.isNull(), F.col("q").desc(), state)
+    ranked = sums.withColumn("position", F.row_number().over(rank))
+    by_state, q = F.col("_by_state"), F.col("q")
+    late = ~by_state & (F.col("position") <= 3)
+    leading = by_state & (F.col("position") <= states) & state.isNotNull()
+    per_channel = ranked.groupBy("SKU", "Partyname").agg(
+        F.count_if(~by_state).alias("months"),
+        safe_div(F.sum(F.when(late, q)), F.count_if(late)).alias("recent_mean"),
+        safe_div(F.sum(F.when(~by_state, q)), F.sum(F.when(~by_state, F.col("n"))))
+        .alias("row_mean"),
+        F.sum(F.when(~by_state, q)).alias("total_quantity"),
+        F.sort_array(F.collect_list(F.when(leading, F.struct(
+            "position", state.alias("state"), q.alias("quantity"))))).alias("_states"))
+    joined = wanted.join(per_channel, ["SKU", "Partyname"], "left")
+    top_states = F.transform("_states", lambda s: F.struct(
+        s["position"].alias("position"), s["state"].alias("state"),
+        s["quantity"].alias("quantity"),
+        F.round(percent_of(s["quantity"], F.col("total_quantity")), 1).alias("percentage")))
     zero = F.lit(0.0)
-    forecast = joined.withColumn(
-        "predicted_quantity", F.coalesce(F.round(_simple_forecast(growth), 1), zero))
+    forecast = joined.withColumns({
+        "predicted_quantity": F.coalesce(F.round(_simple_forecast(growth), 1), zero),
+        "top_states": top_states})
     both = F.round(F.sum("predicted_quantity").over(Window.partitionBy("SKU")), 1)
     return forecast.select(
         F.col("SKU").alias("sku"), F.col("Partyname").alias("channel"), "predicted_quantity",
@@ -386,12 +397,13 @@ def holdout_tail(monthly: DataFrame, share: float = 0.8, min_train: int = 3,
     }).drop("_i", "_n", "_cut")
 
 
-def backtest(monthly: DataFrame, folds: int = 6, window: int = 3,
-             growth: float = 0.1) -> DataFrame:
+def backtest(monthly: DataFrame, folds: int | None = 6, window: int = 3,
+             growth: float = 0.1, keep: Sequence[str] = ()) -> DataFrame:
     """Walk-forward test of the simple forecast over each SKU's last months.
 
     Month ``t`` is forecast from the months before it only; all folds come
-    from one window pass, without a copy of the data per cutoff.
+    from one window pass, without a copy of the data per cutoff. All months
+    are tested when ``folds`` is None; ``keep`` names columns to pass through.
     """
     by_month = Window.partitionBy("SKU").orderBy("Date")
     earlier = by_month.rowsBetween(-window, -1)
@@ -402,8 +414,9 @@ def backtest(monthly: DataFrame, folds: int = 6, window: int = 3,
         "SKU", "Date", F.col("Quantity").cast("double").alias("actual"),
         predicted.alias("predicted"),
         F.lag("Quantity").over(by_month).cast("double").alias("previous"),
-        F.row_number().over(back).alias("fold"))
-    return rows.where((F.col("fold") <= folds) & F.col("predicted").isNotNull())
+        F.row_number().over(back).alias("fold"), *keep)
+    tested = rows.where(F.col("predicted").isNotNull())
+    return tested if folds is None else tested.where(F.col("fold") <= folds)
 
 
 def backtest_metrics(tested: DataFrame) -> DataFrame:

@@ -206,22 +206,27 @@ def godown_top(sales: DataFrame, n: int = 5) -> DataFrame:
 
 
 def sku_top_godowns(sales: DataFrame, n: int = 3) -> DataFrame:
-    """Per SKU the array of its ``n`` largest warehouses, largest first."""
-    return list_top_godowns(drop_null_keys(sales, "SKU", "Godown").groupBy("SKU", "Godown").agg(
-        F.sum("Quantity").alias("quantity")), n)
-
-
-def list_top_godowns(per_pair: DataFrame, n: int = 3) -> DataFrame:
-    """``sku_top_godowns`` from units already summed per SKU and warehouse."""
-    rank = Window.partitionBy("SKU").orderBy(F.col("quantity").desc(), "Godown")
-    kept = per_pair.withColumn("position", F.row_number().over(rank)).where(
-        F.col("position") <= n)
-    listed = F.sort_array(F.collect_list(F.struct(
-        "position", F.col("Godown").alias("godown"), "quantity")))
-    return kept.groupBy("SKU").agg(F.transform(
-        listed, lambda g: F.struct(g["godown"].alias("godown"),
-                                   g["quantity"].alias("quantity")))
-        .alias("godown_distribution"))
+    """Per SKU the array of its ``n`` largest warehouses, largest first, and its units.
+
+    Sales are read once: units per SKU and warehouse give both the ranking
+    and, summed, the SKU's total. Units without a warehouse count in the total
+    only.
+    """
+    per_pair = drop_null_keys(sales, "SKU").groupBy("SKU", "Godown").agg(
+        F.sum("Quantity").alias("quantity"))
+    # Rows without a warehouse rank last and are taken out of the finished list.
+    rank = Window.partitionBy("SKU").orderBy(F.col("Godown").isNull(), F.col("quantity").desc(),
+                                             "Godown")
+    kept = per_pair.withColumns({
+        "total_quantity": F.sum("quantity").over(Window.partitionBy("SKU")),
+        "position": F.row_number().over(rank)}).where(F.col("position") <= n)
+    listed = F.filter(F.sort_array(F.collect_list(F.struct(
+        "position", F.col("Godown").alias("godown"), "quantity"))),
+        lambda g: g["godown"].isNotNull())
+    return kept.groupBy("SKU").agg(
+        F.transform(listed, lambda g: F.struct(g["godown"].alias("godown"),
+                                               g["quantity"].alias("quantity")))
+        .alias("godown_distribution"), F.max("total_quantity").alias("total_quantity"))
 
 
 def network_counts(sales: DataFrame) -> DataFrame:

@@ -21,6 +21,10 @@ class OrderingChain:
     for a shop owner does; None plans the whole catalogue.
     """
 
+    # Written name of each stage, in order.
+    STAGES = {"predictions": "next_month_predictions", "reorder": "reorder_analysis",
+              "schedule": "ordering_schedule"}
+
     def __init__(self, tables: RetailTables, top_n: int | None = None):
         self.tables = tables
         self.top_n = top_n
@@ -65,30 +69,32 @@ class OrderingChain:
             self.schedule)
 
 
+    def staged(self, folder: str) -> "OrderingChain":
+        """Writes forecast, reorder analysis and schedule, each computed from the written
+        one before it.
+
+        Reports that use several stages then read small tables, whatever the
+        optimizer makes of the shared plan, and a lost executor costs at most
+        the current stage.
+        """
+        for stage, name in self.STAGES.items():
+            path = sinks.write_results({name: getattr(self, stage)}, folder)[name]
+            self.__dict__[stage] = self.tables.spark.read.parquet(path)
+        return self
+
+
 def run_pipeline(tables: RetailTables, folder: str, top_n: int | None = 15,
                  as_of: str = AS_OF) -> dict[str, str]:
-    """Runs the chain and writes every stage below ``folder``.
-
-    Each stage is read back from its written table by the next one, so a stage
-    is computed once, and a lost executor costs at most the current stage.
-    """
+    """Runs exploration, forecast and ordering and writes every result below ``folder``."""
     spark = tables.spark
     everything = tables.sales("Date", "SKU", "Quantity", "Amount", "Orderid")
-    performance = sales.sku_performance(everything)
     paths = sinks.write_results({
-        "complete_sku_analysis": performance,
+        "complete_sku_analysis": sales.sku_performance(everything),
         "monthly_trends": sales.monthly_trends(everything)}, folder)
     paths |= sinks.write_results({"top_skus_analysis": sales.top_skus(
         spark.read.parquet(paths["complete_sku_analysis"]))}, folder)
-
-    chain = OrderingChain(tables, top_n)
-    paths |= sinks.write_results({"next_month_predictions": chain.predictions}, folder)
-    chain.predictions = spark.read.parquet(paths["next_month_predictions"])
-    paths |= sinks.write_results({"reorder_analysis": chain.reorder}, folder)
-    chain.reorder = spark.read.parquet(paths["reorder_analysis"])
-    paths |= sinks.write_results({"ordering_schedule": chain.schedule}, folder)
-    chain.schedule = spark.read.parquet(paths["ordering_schedule"])
-    paths |= sinks.write_results({
+    chain = OrderingChain(tables, top_n).staged(folder)
+    paths |= {name: f"{folder.rstrip('/')}/{name}" for name in chain.STAGES.values()}
+    return paths | sinks.write_results({
         "ordering_summary": replenish.ordering_summary(chain.reorder, chain.schedule, as_of),
         "comprehensive_ordering": chain.comprehensive}, folder)
-    return paths

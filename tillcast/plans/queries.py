@@ -30,6 +30,11 @@ def query(build: Callable[[RetailTables], DataFrame]) -> Callable[[RetailTables]
     return build
 
 
+def _staged(t: RetailTables) -> OrderingChain:
+    """The chain with its stages written, for reports that use several of them."""
+    return OrderingChain(t).staged(scratch_path(t.spark, "stages"))
+
+
 def _text_godowns(frame: DataFrame) -> DataFrame:
     """Godown arrays as text, so that results compare as plain values."""
     return frame.withColumn("godown_distribution", F.array_join(F.transform(
@@ -143,12 +148,16 @@ def export_comprehensive_csv(t: RetailTables) -> DataFrame:
 @query
 def report_bundle(t: RetailTables) -> DataFrame:
     """Rows per sheet of both report bundles, read back from the written sheets."""
-    chain = OrderingChain(t)
+    chain = _staged(t)
     summary = replenish.urgency_summary(chain.schedule)
     lines = t.recent("SKU", "Godown", "Statefrom", "Quantity", "Amount")
+    folder = scratch_path(t.spark, "bundle")
+    # The comprehensive table feeds three sheets, so it is computed once and written.
+    table = t.spark.read.parquet(sinks.write_results(
+        {"comprehensive_table": chain.comprehensive_batch}, folder)["comprehensive_table"])
     sheets = sinks.schedule_bundle(chain.schedule, summary) | sinks.comprehensive_bundle(
-        chain.comprehensive_batch, sales.godown_summary(lines), sales.sku_godown(lines))
-    paths = sinks.write_bundle(sheets, scratch_path(t.spark, "bundle"))
+        table, sales.godown_summary(lines), sales.sku_godown(lines))
+    paths = sinks.write_bundle(sheets, folder)
     out = None
     for name, path in paths.items():
         one = t.spark.read.option("header", True).csv(path).agg(
@@ -414,7 +423,8 @@ def godown_top5(t: RetailTables) -> DataFrame:
 
 @query
 def sku_top3_godowns(t: RetailTables) -> DataFrame:
-    return _text_godowns(sales.sku_top_godowns(t.sales("SKU", "Godown", "Quantity")))
+    top = sales.sku_top_godowns(t.sales("SKU", "Godown", "Quantity"))
+    return _text_godowns(top.drop("total_quantity"))
 
 
 @query
@@ -753,9 +763,8 @@ def channel_predict_summary(t: RetailTables) -> DataFrame:
 
 def _moving_average_test(t: RetailTables) -> DataFrame:
     """Three-month mean as the forecast of each SKU's last fifth of months."""
-    tested = forecast.backtest(_monthly(t), folds=10_000, growth=0.0)
-    marks = forecast.holdout_tail(_monthly(t).select("SKU", "Date")).where("is_test")
-    return tested.join(marks.select("SKU", "Date"), ["SKU", "Date"], "left_semi")
+    marked = forecast.holdout_tail(_monthly(t).select("SKU", "Date", "Quantity"))
+    return forecast.backtest(marked, None, growth=0.0, keep=["is_test"]).where("is_test")
 
 
 @query
@@ -950,7 +959,7 @@ def critical_stock(t: RetailTables) -> DataFrame:
 
 @query
 def comprehensive_ordering_batch(t: RetailTables) -> DataFrame:
-    return OrderingChain(t).comprehensive_batch
+    return _staged(t).comprehensive_batch
 
 
 @query
@@ -966,14 +975,14 @@ def comprehensive_summary(t: RetailTables) -> DataFrame:
 
 @query
 def key_insights(t: RetailTables) -> DataFrame:
-    chain = OrderingChain(t)
+    chain = _staged(t)
     return replenish.key_insights(t.recent("Date", "SKU", "Quantity", "Amount"),
                                   chain.schedule, chain.predictions, chain.sku_master)
 
 
 @query
 def actionable_insights(t: RetailTables) -> DataFrame:
-    chain = OrderingChain(t)
+    chain = _staged(t)
     return replenish.actionable_insights(t.recent("Date", "Quantity", "Amount"), chain.reorder,
                                          chain.schedule, chain.predictions)
 
