@@ -31,8 +31,9 @@ def money_sum(amount: Column | str) -> Column:
 
 
 def money_avg(amount: Column | str) -> Column:
-    """Mean over the non-null rows, from the exact sum."""
-    return money_sum(amount) / F.nullif(F.count(_col(amount)), F.lit(0)).cast("double")
+    """Mean over the non-null rows, from the exact sum in a single division."""
+    rows = F.nullif(F.count(_col(amount)), F.lit(0)).cast("double")
+    return money_units(amount).cast("double") / (rows * MONEY_UNIT)
 
 
 def mean_of(value: Column | str) -> Column:

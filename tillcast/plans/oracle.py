@@ -57,6 +57,10 @@ def money(a: str = "Amount") -> str:
     return f"(CAST({units(a)} AS DOUBLE) / 10000.0)"
 
 
+def money_mean(a: str = "Amount") -> str:
+    return f"(CAST({units(a)} AS DOUBLE) / (CAST(COUNT({a}) AS DOUBLE) * 10000))"
+
+
 def money_rd(a: str = "Amount", n: int = 2) -> str:
     exact = f"CAST({units(a)} AS DECIMAL(34,0)) * CAST(0.0001 AS DECIMAL(4,4))"
     return f"CAST(round({exact}, {n}) AS DOUBLE)"
@@ -264,7 +268,7 @@ FROM (SELECT *, lag(revenue) OVER (ORDER BY month) AS prev
 
 def _monthly(src: str) -> str:
     return (f'SELECT SKU, {YEAR} AS "Year", {MON} AS "Month", {total()} AS Quantity, '
-            f'{money()} AS Amount, {money("Rate")} / COUNT(Rate) AS Rate, '
+            f'{money()} AS Amount, {money_mean("Rate")} AS Rate, '
             f'CAST(date_trunc(\'month\', MIN("Date")) AS DATE) AS "Date" FROM {src} '
             f'WHERE SKU IS NOT NULL GROUP BY 1, 2, 3')
 
@@ -332,7 +336,7 @@ SELECT SKU, Total_Quantity, Total_Orders, Avg_Quantity_Per_Order, Total_Revenue,
        CAST(Total_Quantity AS DOUBLE) / (Last_Sale - First_Sale + 1) AS Daily_Avg_Quantity
 FROM (SELECT SKU, {total()} AS Total_Quantity, COUNT(Quantity) AS Total_Orders,
         {rd(mean(), 2)} AS Avg_Quantity_Per_Order, {money_rd()} AS Total_Revenue,
-        {rd(money() + ' / COUNT(Amount)', 2)} AS Avg_Order_Value,
+        {rd(money_mean(), 2)} AS Avg_Order_Value,
         MIN("Date") AS First_Sale, MAX("Date") AS Last_Sale
       FROM %s WHERE SKU IS NOT NULL GROUP BY 1)"""
 _cte("performance", _PERFORMANCE % "sales", "sales")
@@ -525,7 +529,7 @@ _add("exploration_insights", f"""
 SELECT (SELECT COUNT(*) FROM performance) AS total_skus,
        (SELECT {rd('SUM(Total_Revenue)', 2)} FROM (SELECT Total_Revenue FROM performance
          ORDER BY Total_Revenue DESC, SKU LIMIT 10)) AS top10_revenue,
-       (SELECT {rd(money('a') + ' / COUNT(*)', 2)} FROM (SELECT {money()} AS a FROM sales
+       (SELECT {rd(money_mean('a'), 2)} FROM (SELECT {money()} AS a FROM sales
          GROUP BY "Date")) AS avg_daily_revenue,
        category AS most_active_category, COUNT(*) AS category_skus
 FROM sku_master GROUP BY category ORDER BY category_skus DESC, category LIMIT 1""",
@@ -578,7 +582,7 @@ _add("historical_span", f"""
 SELECT COUNT(DISTINCT {MONTH}) AS total_periods, strftime(MIN("Date"), '%Y-%m-%d') AS start,
        strftime(MAX("Date"), '%Y-%m-%d') AS "end" FROM history""", "history")
 _add("seasonal_month_means", f"""
-SELECT {_month_names(MON)} AS month, {money()} / COUNT(Amount) AS avg_revenue,
+SELECT {_month_names(MON)} AS month, {money_mean()} AS avg_revenue,
        {mean()} AS avg_quantity FROM history GROUP BY {MON}""", "history")
 _add("yoy_growth", f"""
 SELECT year, revenue, CASE WHEN prev > 0 THEN (revenue - prev) / prev * 100
@@ -592,7 +596,7 @@ SELECT *, {rd('Total_Revenue / SUM(Total_Revenue) OVER () * 100', 2)} AS Revenue
        {rd('CAST(Total_Orders AS DOUBLE) / SUM(Total_Orders) OVER () * 100', 2)}
          AS Orders_Percentage
 FROM (SELECT Partyname, {money_rd()} AS Total_Revenue, COUNT(Amount) AS Total_Orders,
-        {rd(money() + ' / COUNT(Amount)', 2)} AS Avg_Order_Value, {total()} AS Total_Quantity,
+        {rd(money_mean(), 2)} AS Avg_Order_Value, {total()} AS Total_Quantity,
         {rd(mean(), 2)} AS Avg_Quantity_Per_Order FROM sales GROUP BY 1)""", "sales")
 
 
@@ -694,7 +698,7 @@ FROM (SELECT {key} AS k, {mean()} AS m FROM sales GROUP BY 1)"""
 _add("bi_row_means", _means("weekday", WEEKDAY, _day_names("k")) + " UNION ALL "
      + _means("month", MON, _month_names("k")), "sales")
 _add("price_stats", f"""
-SELECT {rd(money('Rate') + ' / COUNT(Rate)', 4)} AS avg_price, {rd('stddev_samp(Rate)', 4)} AS price_std,
+SELECT {rd(money_mean('Rate'), 4)} AS avg_price, {rd('stddev_samp(Rate)', 4)} AS price_std,
        {rd('min(Rate)', 4)} AS min_price, {rd('max(Rate)', 4)} AS max_price,
        {rd('stddev_samp(Rate) / avg(Rate) * 100', 4)} AS price_volatility,
        {rd('corr(Rate, Quantity)', 6)} AS price_quantity_corr,
