@@ -12,9 +12,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": str(shared / "checkpoints"),
+        "spark.sql.warehouse.dir": str(shared / "warehouse"),
         "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as registry
 from conftest import SMALL
+from tillcast.plans.oracle import ORACLE
+from tillcast.plans.queries import QUERIES
 from tools.check import compare, connect
 
-SQL = registry.oracle_sql()
-QUERIES = registry.queries()
+SQL = dict(ORACLE)
 # Without SQL: models (checked in test_ml) and file times.
 NO_SQL = {"train_daily_model", "train_monthly_model", "train_restart_model", "score_next_month",
           "monthly_model_accuracy", "analyze_top_skus_monthly", "ensemble_forecast",
@@ -22,6 +23,7 @@ def duck():
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) - set(SQL) == NO_SQL
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(registry.queries()) and set(SQL) <= set(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

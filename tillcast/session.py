@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,12 +34,14 @@ def build_session(app_name: str = "tillcast", master: str | None = None,
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder on the storage all executors share.
+    """A fresh folder on the storage all executors share, deleted when the driver's JVM ends.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. A local
-    temporary folder is used only when the setting is absent, as in tests.
+    The cluster names that storage in ``spark.checkpoint.dir``. Where that is
+    unset, the folder lies below ``spark.sql.warehouse.dir``.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tillcast-")
-    return f"{root.rstrip('/')}/tillcast/{label}-{uuid.uuid4().hex}"
+    root = (spark.conf.get("spark.checkpoint.dir", None)
+            or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+    path = f"{root.rstrip('/')}/tillcast/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
