@@ -79,3 +79,12 @@ def with_group_facts(rows: DataFrame, key: str, spread: str, facts: dict[str, Co
     back = merged.select(F.col(key).alias("_key"), *merge, F.explode("_salts").alias("_s"))
     on = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_s"))
     return salted.join(back, on, "left" if left else "inner").drop("_key", "_s", "_salt")
+
+
+def with_key_facts(rows: DataFrame, key: str, spread: str, facts: DataFrame) -> DataFrame:
+    """Joins ``facts``, one row per key, to all rows; a hot key is dealt out over salts."""
+    salted = rows.withColumn("_salt", salt_of(spread))
+    used = salted.select(key, "_salt").distinct().join(facts, key)
+    back = used.withColumnsRenamed({key: "_key", "_salt": "_s"})
+    on = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_s"))
+    return salted.join(back, on).drop("_key", "_s", "_salt")

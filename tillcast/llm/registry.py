@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillcast.llm.common import table, whole
 from tillcast.llm.exact_dedup import exact_dedup
 from tillcast.llm.line_dedup import line_dedup
+from tillcast.llm.simhash import simhash_groups
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +17,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(whole("text"), 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
