@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillcast.llm.common import table, whole
 from tillcast.llm.exact_dedup import exact_dedup
 from tillcast.llm.line_dedup import line_dedup
+from tillcast.llm.secrets import secret_report
 from tillcast.llm.simhash import simhash_groups
 
 
@@ -25,10 +26,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE = {
