@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
 from tillcast.llm.exact_dedup import exact_dedup
+from tillcast.llm.langid import held_out, identify, train
 from tillcast.llm.line_dedup import line_dedup
 from tillcast.llm.secrets import secret_report
 from tillcast.llm.simhash import simhash_groups
@@ -20,6 +21,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(whole("text"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out("doc_id", 5, 0)))
+    named = identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -42,6 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_language_id": op5_language_id,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
