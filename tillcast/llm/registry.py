@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm import quality
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
 from tillcast.llm.exact_dedup import exact_dedup
@@ -28,6 +29,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.fit(quality.sample(docs, labels.where(~held_out("doc_id", 4, 2)), "quality"))
+    return quality.score(docs.select("doc_id", "text"), weights).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -51,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
