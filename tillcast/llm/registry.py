@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillcast.llm import quality
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
+from tillcast.llm.decontaminate import find_contamination
 from tillcast.llm.exact_dedup import exact_dedup
 from tillcast.llm.langid import held_out, identify, train
 from tillcast.llm.line_dedup import line_dedup
@@ -22,6 +23,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(whole("text"), 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        "contaminated")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out("doc_id", 5, 0)))
@@ -59,6 +67,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
@@ -88,6 +97,33 @@ ORACLE = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
                    AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op3_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bs AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s
+               FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS k FROM bs),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        ds AS (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS s
+               FROM d, sizes WHERE len(w) >= n),
+        hit AS (
+            SELECT doc_id, s, n, item
+            FROM (SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS k FROM ds)
+            JOIN bw USING (n, k)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
