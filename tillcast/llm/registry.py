@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import quality
+from tillcast.llm import pii, quality
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
 from tillcast.llm.decontaminate import find_contamination
@@ -17,6 +17,28 @@ from tillcast.llm.secrets import secret_report
 from tillcast.llm.simhash import simhash_groups
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.train(docs))
+
+    def text_of(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def rank(span: Column) -> Column:
+        return F.array_position(F.array(*map(F.lit, pii.KINDS)), span["kind"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    every = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(
+        rank(a) != rank(b), (rank(a) - rank(b)).cast("int")).otherwise(a["start"] - b["start"]))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(every).alias("spans"),
+        F.size("added").cast("long").alias("n_added"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped",
@@ -66,6 +88,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_language_id": op5_language_id,
