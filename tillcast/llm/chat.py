@@ -117,7 +117,6 @@ def paths(said: DataFrame) -> DataFrame:
             "a._tree", "a._leaf", F.col("b._to").alias("_id"), (F.col("a._up") + reach).alias("_up"))
         steps = written(steps.unionByName(more), "paths")
         up = written(up.alias("a").join(up.alias("b"), [*same, F.col("a._to") == F.col("b._id")])
-                     .where(F.col("a._id") != F.col("b._to"))
                      .select("a._tree", "a._id", "b._to"), "replies")
         reach *= 2
     if not up.isEmpty():  # only a circle is longer than its tree has messages
