@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillcast.llm import chat, pii, quality
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
@@ -114,6 +115,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
@@ -194,3 +196,6 @@ ORACLE = {
             FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM g""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
