@@ -222,3 +222,33 @@ def test_units_without_a_warehouse_count_in_the_total_only(spark):
                                                {"godown": "x", "quantity": 1}]
     assert (got["A"]["total_quantity"], got["B"]["total_quantity"]) == (12, 4)
     assert got["B"]["godown_distribution"] == []
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    folder = tmp_path / "sales.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(
+        "Orderid, Date ,SKU,Extra,Quantity,Amount,Partyname\n7,2024-05-01,s1,x,3,5.5,A\n8,bad,s2,y,z,1,B\n")
+    found = rows(readers.read_sales(spark, str(folder)), "Orderid")
+    assert [(r["Orderid"], str(r["Date"]), r["SKU"], r["Quantity"], r["Amount"], r["Rate"], r["Partyname"])
+            for r in found] == [("7", "2024-05-01", "s1", 3, 5.5, None, "A"),
+                                ("8", "None", "s2", None, 1.0, None, "B")]
+    (folder / "a.csv").write_text("Date,SKU,Quantity\n2024-05-01,s1,3\n")
+    with pytest.raises(ValueError, match="Amount"):
+        readers.read_sales(spark, str(folder))
+
+
+def test_last_entry_of_the_last_file_wins(spark, tmp_path):
+    folder = tmp_path / "master.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("sku,category\nX,old\nY,first\nY,second\n")
+    (folder / "b.csv").write_text("sku,category\n" + "P,pad\n" * 5000 + "X,new\n")
+    found = {r["sku"]: r["category"] for r in rows(readers.sku_master(
+        readers.read_table(spark, str(folder), "sku STRING, category STRING")))}
+    assert found == {"X": "new", "Y": "second", "P": "pad"}
+
+
+def test_one_sided_keys_of_return_rates(spark):
+    sold = spark.createDataFrame([("a", 10), ("b", 5)], "SKU string, Quantity long")
+    back = spark.createDataFrame([("b", -5), ("c", -2)], "SKU string, Quantity long")
+    assert {r["sku"] for r in rows(returns.return_rate_by_sku(sold, back))} == {"a", "b", "c"}

@@ -60,3 +60,16 @@ def test_ingest_needs_the_sales_columns(spark, tmp_path):
     with pytest.raises(RejectedUpload):
         jobs.ingest_sales(jobs.read_stream(spark, source, EVENTS), str(tmp_path / "o"),
                           str(tmp_path / "c"))
+
+
+def test_open_days_complete_the_daily_totals(spark, tmp_path):
+    source, base = str(tmp_path / "in.parquet"), str(tmp_path)
+    data = [(_at(1), "a", 1, 2.5), (_at(1, 15), "b", 2, 0.1), (_at(3), "a", 1, 1.0), (_at(6), "a", 1, 1.0)]
+    _write(spark, source, data[:2])
+    _write(spark, source, data[2:])
+    stream = jobs.read_stream(spark, f"{base}/in.parquet*", EVENTS)
+    final = _run(jobs.daily_sales(stream, "ts", ["key"], "n", "value"), spark, base)
+    arrived = spark.createDataFrame(data, EVENTS)
+    got = rows(jobs.with_open_days(final, arrived, "ts", ["key"], "n", "value"), "Date", "key")
+    assert [(r["Date"].day, r["key"], r["Quantity"]) for r in got] == [
+        (1, "a", 1), (1, "b", 2), (3, "a", 1), (6, "a", 1)]

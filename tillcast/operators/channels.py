@@ -145,14 +145,15 @@ def sales_trend_daily(sales: DataFrame, days: int = 30) -> DataFrame:
 
 def state_channel_distribution(sales: DataFrame, channels: Sequence[str] = CHANNELS,
                                labels: Sequence[str] = CHANNEL_LABELS,
-                               n: int = 15) -> DataFrame:
-    """Units of the two channels in the largest destination states, and the leading channel."""
+                               n: int | None = 15) -> DataFrame:
+    """Units of the two channels in the largest destination states (None: in all), and the
+    leading channel."""
     first, second = (F.col("Partyname") == c for c in channels)
     per_state = drop_null_keys(sales, "Stateto").groupBy(F.col("Stateto").alias("state")).agg(
         F.sum("Quantity").alias("all_quantity"),
         F.coalesce(F.sum(F.when(first, F.col("Quantity"))), F.lit(0)).alias("first_quantity"),
         F.coalesce(F.sum(F.when(second, F.col("Quantity"))), F.lit(0)).alias("second_quantity"))
-    top = top_by(per_state, n, "all_quantity", "state")
+    top = per_state if n is None else top_by(per_state, n, "all_quantity", "state")
     both = F.col("first_quantity") + F.col("second_quantity")
     share = [F.round(F.when(both > 0, percent_of(c, both)).otherwise(0.0), 1)
              for c in ("first_quantity", "second_quantity")]

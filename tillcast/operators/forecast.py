@@ -285,22 +285,24 @@ def top5_monthly_predict(sales: DataFrame, n: int = 5, growth: float = 0.1) -> D
         _two_level_confidence().alias("confidence"), F.lit("active").alias("status"))
 
 
-def channel_predict(sales: DataFrame, channels: Sequence[str] = CHANNELS, n: int = 20,
+def channel_predict(sales: DataFrame, channels: Sequence[str] = CHANNELS, n: int | None = 20,
                     states: int = 5, growth: float = 0.1) -> DataFrame:
-    """Simple forecast per channel for the SKUs with most units, with their main states.
+    """Simple forecast per channel for the SKUs with most units (None: for all), with their
+    main states.
 
     Each SKU has a row for every channel; a channel without sales gets zeros.
     """
     per_sku = drop_null_keys(sales, "SKU").groupBy("SKU").agg(
         F.sum("Quantity").alias("sku_quantity"))
-    best = top_by(per_sku, n, "sku_quantity", "SKU")
+    best = per_sku if n is None else top_by(per_sku, n, "sku_quantity", "SKU")
     wanted = best.withColumn("Partyname", F.explode(F.array(*[F.lit(c) for c in channels])))
 
     # Monthly sums and state sums come out of one aggregation of the same cells.
     cells = (sales.where(F.col("Partyname").isin(list(channels)))
              .groupBy("SKU", "Partyname", "Stateto", F.trunc("Date", "month").alias("_month"))
-             .agg(F.sum("Quantity").alias("q"), F.count("Quantity").alias("n"))
-             .join(best.select("SKU"), "SKU", "left_semi"))
+             .agg(F.sum("Quantity").alias("q"), F.count("Quantity").alias("n")))
+    if n is not None:
+        cells = cells.join(best.select("SKU"), "SKU", "left_semi")
     sku, channel, state, month = (F.col(c) for c in ("SKU", "Partyname", "Stateto", "_month"))
     sums = cells.groupingSets(
         [[sku, channel, month], [sku, channel, state]], "SKU", "Partyname", "_month", "Stateto"

@@ -166,6 +166,7 @@ FROM (SELECT SKU, {big('SUM(Rows)')} AS rows, COUNT(*) AS sale_days, MAX("Date")
 
 
 _cte("profile", _profile("daily"), "daily")
+_cte("profile_all", _profile("daily_all"), "daily_all")
 _cte("p_profile", _profile("p_daily"), "p_daily")
 
 
@@ -276,6 +277,7 @@ def _monthly(src: str) -> str:
 _cte("monthly", _monthly("sales"), "sales")
 _cte("monthly_history", _monthly("history"), "history")
 _cte("p_monthly_history", _monthly("p_history"), "p_history")
+_cte("p_monthly", _monthly("p_sales"), "p_sales")
 _cte("p_monthly_recent", _monthly("p_recent"), "p_recent")
 
 
@@ -309,6 +311,10 @@ _cte("p_yoy", _yoy("p_monthly_history"), "p_monthly_history")
 
 _add("sales_scan", f'SELECT "Date", SKU, Quantity, Amount, {MONTH} AS "Month", '
                    f'{week(chr(34) + "Date" + chr(34))} AS "Week" FROM sales', "sales")
+_add("sales_csv_scan", f"""
+SELECT {MONTH} AS month, COUNT(*) AS rows, {total()} AS quantity, COUNT(DISTINCT SKU) AS skus,
+       COUNT(Orderid) AS with_order, CAST(0 AS BIGINT) AS with_rate FROM sales GROUP BY 1""",
+     "sales")
 _add("clean_sales", """
 SELECT CAST(year(l_shipdate) AS INTEGER) AS "Year", COUNT(*) AS rows,
        COUNT(DISTINCT l_partkey) AS skus, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT)
@@ -648,7 +654,10 @@ _add("sales_trend", "SELECT month, quantity FROM months", "months")
 _add("sales_trend_daily", """
 SELECT strftime("Date", '%Y-%m-%d') AS date, Quantity AS quantity FROM days
 ORDER BY "Date" DESC LIMIT 30""", "days")
-_cte("states", f"""
+
+
+def _states(cut: str) -> str:
+    return f"""
 SELECT state, f + o AS total_quantity, f AS first_quantity, o AS second_quantity,
        CASE WHEN f + o > 0 THEN {rd('CAST(f AS DOUBLE) / (f + o) * 100', 1)} ELSE 0 END
          AS first_percentage,
@@ -658,12 +667,16 @@ SELECT state, f + o AS total_quantity, f AS first_quantity, o AS second_quantity
 FROM (SELECT Stateto AS state, {total()} AS q,
         COALESCE({total(_of('F', 'Quantity'))}, 0) AS f,
         COALESCE({total(_of('O', 'Quantity'))}, 0) AS o
-      FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)""", "sales")
+      FROM sales GROUP BY 1 {cut})"""
+
+
+_cte("states", _states("ORDER BY 2 DESC, 1 LIMIT 15"), "sales")
+_cte("all_states", _states("HAVING Stateto IS NOT NULL"), "sales")
 _add("state_channel_distribution", "SELECT * FROM states", "states")
 _add("state_channel_summary", """
 SELECT COUNT(*) AS total_states, COUNT(*) FILTER (primary_channel = 'F') AS first_dominant_states,
        COUNT(*) FILTER (primary_channel = 'O') AS second_dominant_states,
-       COUNT(*) FILTER (primary_channel = 'Equal') AS equal_states FROM states""", "states")
+       COUNT(*) FILTER (primary_channel = 'Equal') AS equal_states FROM all_states""", "all_states")
 _add("bi_month_extremes", """
 SELECT b.month AS best_month, b.quantity AS best_quantity, w.month AS worst_month,
        w.quantity AS worst_quantity
@@ -721,7 +734,8 @@ _add("daily_sku_sales", 'SELECT SKU, "Date", Quantity, Amount, Rows AS "Rows", '
                         'Counted AS "Counted" FROM daily_all', "daily_all")
 _LAGS = ", ".join(f'lag({c}, {k}) OVER w AS "{c}_lag_{k}"' for k in (1, 3, 7, 14, 30)
                   for c in ("Quantity", "Amount"))
-_add("daily_lags", f'SELECT SKU, "Date", Quantity, Amount, {_LAGS} FROM daily {_W}', "daily")
+_add("daily_lags", f'SELECT SKU, "Date", Quantity, Amount, {_LAGS} FROM daily_all {_W}',
+     "daily_all")
 
 
 def _over(fn: str, c: str, n: int, need: int | None = None) -> str:
@@ -731,8 +745,8 @@ def _over(fn: str, c: str, n: int, need: int | None = None) -> str:
 
 _MEANS = ", ".join(f'{rd(_over("avg", c, n), 6)} AS "{c}_rolling_{n}"' for n in (7, 14, 30)
                    for c in ("Quantity", "Amount"))
-_add("daily_rolling_means", f'SELECT SKU, "Date", Quantity, Amount, {_MEANS} FROM daily',
-     "daily")
+_add("daily_rolling_means", f'SELECT SKU, "Date", Quantity, Amount, {_MEANS} FROM daily_all',
+     "daily_all")
 
 
 def _slope(n: int) -> str:
@@ -741,7 +755,7 @@ def _slope(n: int) -> str:
               f"THEN regr_slope(Quantity, i) OVER {frame} END", 6)
 
 
-_cte("numbered", f'SELECT *, row_number() OVER w AS i FROM daily {_W}', "daily")
+_cte("numbered", f'SELECT *, row_number() OVER w AS i FROM daily_all {_W}', "daily_all")
 _SLOPES = ", ".join(f'{_slope(n)} AS "Quantity_trend_{n}d"' for n in (7, 30))
 _add("daily_trend_slope", f'SELECT SKU, "Date", Quantity, Amount, {_SLOPES} FROM numbered',
      "numbered")
@@ -757,7 +771,7 @@ _add("rolling_stats", 'SELECT SKU, "Date", Quantity, ' + ", ".join(
      else _over(fn, "Quantity", n)) + f' AS "Quantity_{name}_{n}"'
     for n in (7, 14, 30, 90)
     for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
-     + " FROM daily", "daily")
+     + " FROM daily_all", "daily_all")
 _add("monthly_sku_sales", "SELECT * FROM monthly", "monthly")
 
 
@@ -817,7 +831,8 @@ SELECT SKU, "Year", "Month", Quantity, Amount, "Date",
 FROM monthly {_W}""", "monthly")
 _add("last_n_rows", """
 SELECT p.SKU, sale_days, recent_mean, previous_mean, last_date, d.Quantity AS last_quantity
-FROM profile p JOIN daily d ON p.SKU = d.SKU AND p.last_date = d."Date" """, "profile")
+FROM profile_all p JOIN daily_all d ON p.SKU = d.SKU AND p.last_date = d."Date" """,
+     "profile_all")
 _add("share_of_total", f"""
 SELECT SKU, {total()} AS quantity,
        CAST(SUM(Quantity) AS DOUBLE) / SUM(SUM(Quantity)) OVER () * 100 AS share_percent
@@ -905,7 +920,7 @@ _TWO = "CASE WHEN months >= 6 THEN 'high' WHEN months >= 2 THEN 'medium' ELSE 'l
 _cte("p_recent_months", _recent_months("SKU", "p_recent"), "p_recent")
 _cte("all_months", _recent_months("SKU", "sales"), "sales")
 _cte("channel_months", _recent_months("SKU, Partyname", "sales"), "sales")
-_cte("location_months", _recent_months("SKU, Partyname, Godown", "recent"), "recent")
+_cte("location_months", _recent_months("SKU, Partyname, Godown", "sales"), "sales")
 _add("simple_monthly_predict", f"""
 SELECT a.sku AS SKU, COALESCE({_SIMPLE}, 0) AS predicted_quantity,
        CASE WHEN months IS NULL THEN 'discontinued' WHEN months >= 6 THEN 'high'
@@ -918,7 +933,10 @@ _add("top5_monthly_predict", f"""
 SELECT SKU AS sku, total_quantity, {rd(_SIMPLE, 1)} AS predicted_quantity, {_TWO} AS confidence,
        'active' AS status FROM all_months ORDER BY total_quantity DESC, SKU LIMIT 5""",
      "all_months")
-_cte("channel_forecast", f"""
+
+
+def _channel_forecast(cut: str) -> str:
+    return f"""
 SELECT *, CASE WHEN total_predicted_quantity > 0 THEN 'active' ELSE 'inactive' END AS status
 FROM (SELECT b.SKU AS sku, c AS channel, p AS predicted_quantity,
         CASE WHEN months IS NULL THEN 'low' ELSE {_TWO} END AS confidence,
@@ -927,7 +945,7 @@ FROM (SELECT b.SKU AS sku, c AS channel, p AS predicted_quantity,
         b.q AS total_historical_quantity,
         {rd('SUM(p) OVER (PARTITION BY b.SKU)', 1)} AS total_predicted_quantity,
         s.txt AS top_states
-      FROM (SELECT SKU, {total()} AS q FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) b
+      FROM (SELECT SKU, {total()} AS q FROM sales GROUP BY 1 {cut}) b
       CROSS JOIN (VALUES ('F'), ('O')) v(c)
       LEFT JOIN (SELECT *, COALESCE({rd(_SIMPLE, 1)}, 0) AS p FROM channel_months) m
         ON b.SKU = m.SKU AND c = m.Partyname
@@ -940,13 +958,19 @@ FROM (SELECT b.SKU AS sku, c AS channel, p AS predicted_quantity,
                       row_number() OVER (PARTITION BY SKU, Partyname
                                          ORDER BY {total()} DESC, Stateto) AS r
                     FROM sales GROUP BY 1, 2, 3) WHERE r <= 5) GROUP BY 1, 2) s
-        ON b.SKU = s.SKU AND c = s.Partyname)""", "sales", "channel_months")
+        ON b.SKU = s.SKU AND c = s.Partyname)"""
+
+
+_cte("channel_forecast", _channel_forecast("ORDER BY 2 DESC, 1 LIMIT 20"), "sales",
+     "channel_months")
+_cte("all_channel_forecast", _channel_forecast("HAVING SKU IS NOT NULL"), "sales",
+     "channel_months")
 _add("channel_predict", "SELECT * FROM channel_forecast", "channel_forecast")
 _add("channel_predict_summary", f"""
 SELECT COUNT(*) AS total_skus, COUNT(*) FILTER (status = 'active') AS active_skus,
        {rd('SUM(total_predicted_quantity)', 1)} AS total_predicted_quantity
-FROM (SELECT DISTINCT sku, status, total_predicted_quantity FROM channel_forecast)""",
-     "channel_forecast")
+FROM (SELECT DISTINCT sku, status, total_predicted_quantity FROM all_channel_forecast)""",
+     "all_channel_forecast")
 
 
 def _holdout(src: str) -> str:
@@ -961,7 +985,7 @@ FROM (SELECT *, cut < 3 AS few FROM (
   FROM {src}))"""
 
 
-_add("holdout_split", _holdout("p_monthly_recent"), "p_monthly_recent")
+_add("holdout_split", _holdout("p_monthly"), "p_monthly")
 _cte("holdout", _holdout("monthly"), "monthly")
 
 
@@ -1022,7 +1046,7 @@ FROM (SELECT SKU, predicted_monthly_quantity AS m FROM pred)""", "pred")
 _add("estimate_inventory", "SELECT * FROM stock", "stock")
 _add("reorder_points", "SELECT * FROM reorder", "reorder")
 _add("ordering_schedule", "SELECT * FROM schedule", "schedule")
-_add("ordering_pipeline", "SELECT * FROM schedule15", "schedule15")
+_add("ordering_pipeline", "SELECT * FROM schedule", "schedule")
 _add("ordering_summary", f"""
 SELECT COUNT(*) AS total_skus_analyzed, COUNT(*) FILTER (needs_reorder) AS skus_need_reorder,
        {rd('avg(days_remaining)', 1)} AS avg_days_inventory,
@@ -1037,8 +1061,7 @@ _add("urgent_orders_top5", f"""
 SELECT sku, recommended_qty, order_date, urgency FROM schedule
 WHERE urgency IN ('CRITICAL', 'HIGH') ORDER BY {_RANK} LIMIT 5""", "schedule")
 _add("ordering_by_urgency", """
-SELECT * FROM schedule WHERE urgency IN ('CRITICAL', 'HIGH')
-UNION ALL (SELECT * FROM schedule WHERE urgency = 'MEDIUM' ORDER BY days_remaining, sku LIMIT 5)
+SELECT * FROM schedule WHERE urgency IN ('CRITICAL', 'HIGH', 'MEDIUM')
 """, "schedule")
 _COUNTS = """
 SELECT COUNT(*) FILTER (urgency = 'CRITICAL') AS total_critical,
@@ -1181,8 +1204,7 @@ _cte("state_rates", _rates("Stateto", "state", "sales", "returned"), "sales", "r
 _add("return_rate_by_sku", "SELECT * FROM sku_rates ORDER BY return_rate DESC, sku LIMIT 20",
      "sku_rates")
 _add("return_rate_by_sku_all",
-     _rates("SKU", "sku", "(SELECT * FROM p_sales WHERE Partyname = 'F')",
-            "(SELECT * FROM p_returned WHERE Partyname = 'O')"), "p_sales", "p_returned")
+     _rates("SKU", "sku", "p_sales", "p_returned"), "p_sales", "p_returned")
 _add("return_rate_totals", f"""
 SELECT (SELECT {total()} FROM p_sales) AS total_sales, {big('SUM(q)')} AS total_returns,
        COUNT(*) AS unique_skus_returned, (SELECT abs({money()}) FROM p_returned)
@@ -1208,10 +1230,10 @@ _add("return_rate_dow", f"SELECT *, {_day_names('weekday')} AS day FROM ("
 _add("high_risk_returns", "SELECT sku, return_rate, returns_quantity AS returns FROM sku_rates "
                           "WHERE return_rate > 50", "sku_rates")
 _add("high_risk_states", "SELECT state, return_rate, returns_quantity AS returns "
-                         "FROM state_rates WHERE return_rate > 33", "state_rates")
+                         "FROM state_rates WHERE return_rate > 40", "state_rates")
 _add("high_risk_impact", f"""
 SELECT (SELECT COUNT(*) FROM sku_rates WHERE return_rate > 50) AS affected_skus,
-       (SELECT COUNT(*) FROM state_rates WHERE return_rate > 33) AS affected_states,
+       (SELECT COUNT(*) FROM state_rates WHERE return_rate > 40) AS affected_states,
        (SELECT CAST(SUM(m) AS DOUBLE) / 10000.0 FROM (
           SELECT abs({units('Amount')}) AS m FROM p_returned
           WHERE SKU IN (SELECT sku FROM sku_rates WHERE return_rate > 50) GROUP BY SKU))
@@ -1232,7 +1254,6 @@ _add("stream_dedupe", "SELECT event_type, COUNT(*) AS events, COUNT(DISTINCT eve
 _add("stream_daily_sales", f"""
 SELECT CAST(ts AS DATE) AS "Date", event_type, COUNT(*) AS "Quantity",
        {money('value')} AS "Amount" FROM events
-WHERE CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)
 GROUP BY 1, 2""")
 
 # -- planning rules ---------------------------------------------------------------------------
@@ -1240,7 +1261,8 @@ GROUP BY 1, 2""")
 _add("safety_stock_z", f"""
 SELECT profile.SKU, COALESCE(lead_time_days, 14) AS lead_time_days,
        {rd('sqrt(COALESCE(lead_time_days, 14)) * 1.65::DOUBLE * daily_std', 4)} AS safety_stock
-FROM profile LEFT JOIN moq_terms ON profile.SKU = moq_terms.sku""", "profile", "moq_terms")
+FROM profile_all profile LEFT JOIN moq_terms ON profile.SKU = moq_terms.sku""", "profile_all",
+     "moq_terms")
 _cte("plan", f"""
 SELECT sku, CASE WHEN cover <= 3 THEN 'CRITICAL' WHEN cover <= 7 THEN 'HIGH'
                  WHEN cover <= 14 THEN 'MEDIUM' ELSE 'LOW' END AS urgency,
@@ -1303,8 +1325,8 @@ FROM (SELECT *, GREATEST(0, CAST(trunc(all_sales / 2.0) AS BIGINT) - all_need) A
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
             FROM (SELECT split_part(SKU, '/', 2) AS "group", SKU AS sku,
                     CAST(SUM(Quantity) % 100 AS BIGINT) AS need,
-                    CAST(SUM(Quantity) AS BIGINT) AS sales FROM recent GROUP BY 2)))""",
-     "recent")
+                    CAST(SUM(Quantity) AS BIGINT) AS sales FROM sales GROUP BY 2)))""",
+     "sales")
 _add("effective_lead_time", """
 SELECT *, CAST(CASE WHEN lead_time_days <= 30 THEN 1 WHEN lead_time_days <= 60 THEN 2
                     ELSE 3 END AS INTEGER) AS horizon_months
@@ -1321,11 +1343,11 @@ FROM (SELECT *, procurement_days + manufacturing_days + transfer_days + COALESCE
 def _level(key: str) -> str:
     return f"""
 SELECT '{key}' AS level, {key} AS key, months, total_quantity,
-       {rd(_SIMPLE, 1)} AS predicted_quantity FROM ({_recent_months(key, 'recent')})"""
+       {rd(_SIMPLE, 1)} AS predicted_quantity FROM ({_recent_months(key, 'sales')})"""
 
 
 _add("forecast_levels", " UNION ALL ".join(_level(k) for k in (
-    "SKU", "Partyname", "Stateto", "Godown")), "recent")
+    "SKU", "Partyname", "Stateto", "Godown")), "sales")
 _cte("walk", _walk("1.1::DOUBLE"), "monthly")
 _add("backtest_metrics", f"""
 SELECT COUNT(*) AS tests, {rd('avg(abs(predicted - actual))', 4)} AS mae,
@@ -1350,7 +1372,7 @@ _add("outlier_filter", f"""
 SELECT d.SKU, COUNT(*) AS days, {total('d.Quantity')} AS quantity
 FROM daily_all d JOIN (SELECT SKU, avg(Quantity) AS m, stddev_samp(Quantity) AS s
                        FROM daily_all GROUP BY 1) k ON d.SKU = k.SKU
-WHERE COALESCE(abs((d.Quantity - m) / NULLIF(s, 0)), 0) <= 2 GROUP BY 1""", "daily_all")
+WHERE COALESCE(abs((d.Quantity - m) / NULLIF(s, 0)), 0) <= 3 GROUP BY 1""", "daily_all")
 _add("quality_rules", """
 SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS bad_date, CAST(0 AS BIGINT) AS bad_sku,
        COUNT(*) FILTER (Quantity < 0) AS negative_quantity,
@@ -1377,5 +1399,5 @@ FROM (SELECT r.sku, location, shortfall, GREATEST(0, LEAST(shortfall, own - ahea
             FROM (SELECT sku, channel || '/' || godown AS location,
                     CAST(ceil(shortfall) AS BIGINT) AS shortfall FROM short
                   WHERE level = 'godown') WHERE shortfall > 0) r
-      JOIN (SELECT SKU AS sku, CAST(trunc(SUM(Quantity) / 10.0) AS BIGINT) AS own FROM recent
-            GROUP BY 1) o ON r.sku = o.sku)""", "short", "recent")
+      JOIN (SELECT SKU AS sku, CAST(trunc(SUM(Quantity) / 10.0) AS BIGINT) AS own FROM sales
+            GROUP BY 1) o ON r.sku = o.sku)""", "short", "sales")

@@ -83,7 +83,7 @@ class OrderingChain:
         return self
 
 
-def run_pipeline(tables: RetailTables, folder: str, top_n: int | None = 15,
+def run_pipeline(tables: RetailTables, folder: str, top_n: int | None = None,
                  as_of: str = AS_OF) -> dict[str, str]:
     """Runs exploration, forecast and ordering and writes every result below ``folder``."""
     spark = tables.spark

@@ -14,18 +14,36 @@ from tillcast.sources import schemas
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str | None = None) -> DataFrame:
-    """CSV (with header) or Parquet, by ``fmt`` or by the path's ending."""
+               fmt: str | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """CSV (with header) or Parquet, by ``fmt`` or by the path's ending.
+
+    CSV columns are found by their trimmed header name, whatever their order.
+    With a schema the result has its columns and types: absent columns and
+    values that do not parse are null, further columns are left out, and an
+    absent required column is an error. Files of one folder must share a header.
+    """
     kind = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
-    reader = spark.read.schema(schema) if schema else spark.read
-    if kind == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    return reader.format(kind).load(path)
+    if kind != "csv":
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.format(kind).load(path)
+    text = (spark.read.option("header", True).option("enforceSchema", False)
+            .option("mode", "PERMISSIVE").csv(path))
+    text = text.toDF(*[name.strip() for name in text.columns])
+    missing = [name for name in required if name not in text.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    if schema is None:
+        return text
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return text.select(*[
+        (F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType) if f.name in text.columns
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Sales in the standard schema with ``Month`` and ``Week`` labels."""
-    return with_period_labels(read_table(spark, path, schemas.SALES, fmt))
+    return with_period_labels(
+        read_table(spark, path, schemas.SALES, fmt, schemas.REQUIRED_SALES))
 
 
 def with_period_labels(sales: DataFrame) -> DataFrame:
@@ -64,9 +82,14 @@ def rename_columns(raw: DataFrame, names: dict[str, str] | None = None) -> DataF
 def sku_master(entries: DataFrame, order_col: str | None = None) -> DataFrame:
     """One category per SKU. A repeated SKU takes its last entry.
 
-    Entries are ranked by ``order_col``; without one, by their place in the file.
+    Entries are ranked by ``order_col``; without one they must come straight
+    from files and rank by file path, then by their place in the file.
     """
-    rank = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    if order_col:
+        rank = F.col(order_col)
+    else:
+        rank = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                        F.monotonically_increasing_id().alias("row"))
     return (entries.where(F.col("sku").isNotNull())
             .select("sku", "category", rank.alias("_entry"))
             .groupBy("sku").agg(F.max_by("category", "_entry").alias("category")))

@@ -44,7 +44,9 @@ def save_tables(tables: dict[str, DataFrame], database: str | None = None,
 
 def write_history(history: DataFrame, path: str) -> None:
     """Pattern-period rows partitioned by year, so later reads prune by year."""
-    history.write.mode("overwrite").partitionBy("Year").parquet(path)
+    # Rows of a year meet before the write; adaptive execution splits a large year.
+    (history.hint("rebalance", "Year").write.mode("overwrite").partitionBy("Year")
+     .parquet(path))
 
 
 def export_schedule_csv(schedule: DataFrame, path: str) -> None:
