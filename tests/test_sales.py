@@ -1,9 +1,11 @@
 """Report edge cases: zero quantities, single months, ties, missing keys and columns."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tillcast.operators import channels, quality, returns, sales
 from tillcast.sources import readers, schemas, sinks
@@ -82,7 +84,7 @@ def test_returns_without_state_column(spark):
 
 
 @pytest.mark.parametrize("values", [[7], [3, 3, 3], list(range(100)), [-5, 0, 10 ** 9, 2, 2],
-                                    [1.5, 2.25, -8.0, 4.0]])
+                                    [1.5, 2.25, -8.0, 4.0], [i * 0.37 for i in range(3000)] + [1e15]])
 def test_exact_quantile(spark, values):
     import numpy as np
 
@@ -100,11 +102,24 @@ def test_running_total_over_one_hot_group(spark):
     frame = spark.createDataFrame(data, "g string, k string, v long")
     got = {r["k"]: r["before"] for r in rows(running_before(frame, "g", "v", "v", "k"))}
     ahead = 0
-    for _, key, value in sorted(data, key=lambda r: (-r[2], r[1])):
+    digest = lambda k: hashlib.md5(k.encode()).hexdigest()
+    for _, key, value in sorted(data, key=lambda r: (-r[2], digest(r[1]), r[1])):
         assert got[key] == ahead
         ahead += value
 
 
+def test_equal_ranks_are_dealt_out(spark):
+    """A group of equal ranks: no sorted part holds more than a small share of it."""
+    from tillcast.functions.frames import running_before
+    n = 200_000
+    frame = spark.range(n).selectExpr("'g' AS g", "CAST(id AS STRING) AS k", "1L AS v")
+    got = running_before(frame, "g", "v", "v", "k").agg(
+        F.count_distinct("before").alias("distinct"), F.max("before").alias("last")).first()
+    assert (got["distinct"], got["last"]) == (n, n - 1)
+    parts = frame.groupBy(F.substring(F.md5("k"), 1, 3)).count().agg(F.max("count")).first()[0]
+    assert parts < n / 1000
+
+
 def test_clean_sales(spark):
     raw = spark.createDataFrame([("2025-01-05", "A", "1"), ("bad", "B", "2"), (None, "C", "3")],
                                 " Date string, `sku` string, `Quantity ` string")

@@ -46,59 +46,91 @@ def top_by(frame: DataFrame, n: int | None, value: str, *keys: str,
 def exact_quantile(frame: DataFrame, value: str, q: float, cells: int = 65536) -> DataFrame:
     """One-row frame ``quantile``: linearly interpolated quantile of a whole column.
 
-    No task ever holds the column. Equal values are counted, the counts are
-    added up per equal-width cell (at most ``cells`` rows), and only the
-    distinct values of the one or two cells that hold the wanted ranks are put
-    in order. The cells follow from the minimum and maximum alone, so a re-run
-    after a lost executor finds the same ones.
+    No task ever holds the column. Equal values are counted; the counts are
+    added up per cell of sign and magnitude (a 64th of a power of two, so one
+    far value draws no others together), then per equal-width part of the one
+    or two cells that hold the wanted ranks (at most ``cells`` rows each). Only
+    the distinct values of the one or two parts left are put in order. Cells
+    and parts follow from the values alone, so a re-run after a lost executor
+    finds the same ones.
     """
     counted = (frame.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
                .groupBy("v").agg(F.count("*").alias("c")))
-    span = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                       (F.sum("c") - 1).cast("double").alias("last"))
-    placed = counted.withColumn("s", span.select(F.struct("lo", "hi", "last")).scalar())
-    step = F.try_divide(F.col("s.hi") - F.col("s.lo"), F.lit(float(cells)))
-    cell = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("s.lo"), step)), F.lit(0))
-    celled = placed.withColumn("cell", F.least(cell, F.lit(cells - 1)))
+    last = counted.agg((F.sum("c") - 1).cast("double").alias("last"))
+    size = F.floor(F.log2(F.greatest(F.abs("v"), F.lit(2.0 ** -1000))) * 64)
+    placed = counted.select(
+        "v", "c", last.select("last").scalar().alias("last"), F.lit(0).cast("long").alias("base"),
+        F.when(F.col("v") < 0, -size - 200000).when(F.col("v") > 0, size + 200000)
+        .otherwise(F.lit(0)).alias("cell"))
 
     def holds(before: Column, count: Column) -> Column:
-        low, high = F.floor(F.col("s.last") * q), F.ceil(F.col("s.last") * q)
+        low, high = F.floor(F.col("last") * q), F.ceil(F.col("last") * q)
         return (low < before + count) & (high >= before)
 
-    per_cell = celled.groupBy("cell").agg(F.sum("c").alias("n"), F.first("s").alias("s"))
-    ahead = F.sum("n").over(Window.orderBy("cell")) - F.col("n")
-    wanted = (per_cell.withColumn("ahead", ahead).where(holds(F.col("ahead"), F.col("n")))
-              .select("cell", "ahead"))
-    # At most two cells can hold the two ranks, so this side is always tiny.
-    inside = celled.join(F.broadcast(wanted), "cell")
-    within = F.sum("c").over(Window.partitionBy("cell").orderBy("v")) - F.col("c")
-    ends = (inside.withColumn("before", F.col("ahead") + within)
-            .where(holds(F.col("before"), F.col("c")))
-            .agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("s").alias("s")))
-    part = F.col("s.last") * q - F.floor(F.col("s.last") * q)
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * part).alias("quantile"))
+    def narrowed(rows: DataFrame, within: list[str], part: str) -> DataFrame:
+        """Rows of the parts that hold a wanted rank, with the count ahead of the part."""
+        per_part = rows.groupBy(*within, part).agg(
+            F.sum("c").alias("n"), F.min("base").alias("base"), F.min("last").alias("last"))
+        line = Window.partitionBy(*within).orderBy(part)
+        ahead = per_part.withColumn("ahead", F.col("base") + F.sum("n").over(line) - F.col("n"))
+        wanted = ahead.where(holds(F.col("ahead"), F.col("n"))).select(*within, part, "ahead")
+        # Two ranks lie in two parts at most, so this side is always tiny.
+        return (rows.join(F.broadcast(wanted), [*within, part])
+                .withColumn("base", F.col("ahead")).drop("ahead"))
+
+    near = narrowed(placed, [], "cell")
+    ends = near.groupBy("cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    step = F.try_divide(F.col("hi") - F.col("lo"), F.lit(float(cells)))
+    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), step)), F.lit(0))
+    parted = near.join(F.broadcast(ends), "cell").withColumn(
+        "part", F.least(place, F.lit(cells - 1)))
+    inside = narrowed(parted, ["cell"], "part")
+    within = F.sum("c").over(Window.partitionBy("cell", "part").orderBy("v")) - F.col("c")
+    found = (inside.withColumn("before", F.col("base") + within)
+             .where(holds(F.col("before"), F.col("c")))
+             .agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min("last").alias("last")))
+    part = F.col("last") * q - F.floor(F.col("last") * q)
+    return found.select((F.col("a") + (F.col("b") - F.col("a")) * part).alias("quantile"))
 
 
 def running_before(frame: DataFrame, group: str, value: str, rank_by: str, tie: str,
                    out: str = "before") -> DataFrame:
     """Sum of ``value`` over the rows of ``group`` that rank ahead of each row.
 
-    Rows rank by ``rank_by`` (not negative), highest first, then by ``tie``.
-    A group may be of any size: it is split into bands of nearly equal
-    ``rank_by``, the bands' totals are accumulated (a few thousand rows per
-    group at most), and only rows within a band are sorted.
+    Rows rank by ``rank_by`` (not negative), highest first, then by the md5 of
+    ``tie``, then by ``tie``. A group may be of any size, and so may its ties:
+    it is split into bands of nearly equal ``rank_by``, a band into its values,
+    and the rows of one value into 4096 parts by the first digits of the md5.
+    Totals are accumulated level by level, and only the rows of a part are sorted.
     """
-    band = F.floor(F.log2(F.greatest(F.col(rank_by).cast("double"), F.lit(0.0)) + 1) * 64)
-    banded = frame.withColumn("_band", band.cast("int"))
-    per_band = banded.groupBy(group, "_band").agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(group).orderBy(F.col("_band").desc())
-    offsets = per_band.select(
-        F.col(group).alias("_g"), F.col("_band").alias("_b"),
-        (F.sum("_sum").over(ahead) - F.col("_sum")).alias("_offset"))
-    local = Window.partitionBy(group, "_band").orderBy(F.col(rank_by).desc(), F.col(tie))
+    rank = F.greatest(F.col(rank_by).cast("double"), F.lit(0.0))
+    digest = F.md5(F.col(tie).cast("string").cast("binary"))
+    banded = frame.withColumns({
+        "_band": F.floor(F.log2(rank + 1) * 64).cast("int"), "_rank": rank, "_md5": digest,
+        "_part": F.substring(digest, 1, 3)})
+
+    def ahead(rows: DataFrame, keys: list[str], by: Column, name: str) -> DataFrame:
+        line = Window.partitionBy(*keys).orderBy(by)
+        return rows.withColumn(name, F.sum("_sum").over(line) - F.col("_sum"))
+
+    def summed(rows: DataFrame, total: str, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(total).alias("_sum"))
+
+    parts = summed(banded, value, group, "_band", "_rank", "_part")
+    ranks = summed(parts, "_sum", group, "_band", "_rank")
+    bands = summed(ranks, "_sum", group, "_band")
+    offsets = (
+        ahead(parts, [group, "_band", "_rank"], F.col("_part"), "_a").drop("_sum")
+        .join(ahead(ranks, [group, "_band"], F.col("_rank").desc(), "_b").drop("_sum"),
+              [group, "_band", "_rank"])
+        .join(ahead(bands, [group], F.col("_band").desc(), "_c").drop("_sum"), [group, "_band"])
+        .select(F.col(group).alias("_g"), F.col("_rank").alias("_r"), F.col("_part").alias("_p"),
+                (F.col("_a") + F.col("_b") + F.col("_c")).alias("_offset")))
+    local = Window.partitionBy(group, "_rank", "_part").orderBy("_md5", tie)
     within = F.coalesce(F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, -1)),
                         F.lit(0))
     return (banded.withColumn("_within", within)
-            .join(offsets, (F.col(group) == F.col("_g")) & (F.col("_band") == F.col("_b")))
+            .join(offsets, (F.col(group) == F.col("_g")) & (F.col("_rank") == F.col("_r"))
+                  & (F.col("_part") == F.col("_p")))
             .withColumn(out, F.col("_offset") + F.col("_within"))
-            .drop("_band", "_within", "_g", "_b", "_offset"))
+            .drop("_band", "_rank", "_md5", "_part", "_within", "_g", "_r", "_p", "_offset"))

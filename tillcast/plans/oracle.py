@@ -1321,7 +1321,7 @@ SELECT "group", sku, need, sales,
 FROM (SELECT *, GREATEST(0, CAST(trunc(all_sales / 2.0) AS BIGINT) - all_need) AS gap
       FROM (SELECT *, CAST(SUM(sales) OVER (PARTITION BY "group") AS BIGINT) AS all_sales,
               CAST(SUM(need) OVER (PARTITION BY "group") AS BIGINT) AS all_need,
-              CAST(COALESCE(SUM(sales) OVER (PARTITION BY "group" ORDER BY sales DESC, sku
+              CAST(COALESCE(SUM(sales) OVER (PARTITION BY "group" ORDER BY sales DESC, md5(sku), sku
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
             FROM (SELECT split_part(SKU, '/', 2) AS "group", SKU AS sku,
                     CAST(SUM(Quantity) % 100 AS BIGINT) AS need,
@@ -1394,7 +1394,7 @@ _add("stock_transfer", """
 SELECT sku, location, shortfall, given AS transfer_qty, shortfall - given AS still_short
 FROM (SELECT r.sku, location, shortfall, GREATEST(0, LEAST(shortfall, own - ahead)) AS given
       FROM (SELECT *, CAST(COALESCE(SUM(shortfall) OVER (PARTITION BY sku
-                ORDER BY shortfall DESC, location
+                ORDER BY shortfall DESC, md5(location), location
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
             FROM (SELECT sku, channel || '/' || godown AS location,
                     CAST(ceil(shortfall) AS BIGINT) AS shortfall FROM short
