@@ -387,7 +387,7 @@ SELECT product_name AS Product_Name, sku AS SKU,
 FROM comprehensive""", "comprehensive")
 _cte("batch", f"""
 SELECT p.product_name AS Product_Name, p.SKU,
-       {rd('COALESCE(g.q, 0) / CAST(6 AS DOUBLE)', 1)} AS Current_Monthly_Quantity,
+       {rd('COALESCE(g.q, 0) / CAST((SELECT COUNT(DISTINCT {MONTH}) FROM recent) AS DOUBLE)'.format(MONTH=MONTH), 1)} AS Current_Monthly_Quantity,
        p.predicted_monthly_quantity AS Predicted_Monthly_Quantity,
        {rd('p.growth_rate * 100', 1)} AS Growth_Rate_Percent, s.lead_time AS Lead_Time_Days,
        COALESCE(s.recommended_qty, 0) AS Recommended_Order_Quantity,

@@ -65,7 +65,7 @@ class OrderingChain:
     @cached_property
     def comprehensive_batch(self) -> DataFrame:
         return replenish.comprehensive_ordering_batch(
-            self.predictions, self.tables.recent("SKU", "Godown", "Quantity", "Amount"),
+            self.predictions, self.tables.recent("Date", "SKU", "Godown", "Quantity", "Amount"),
             self.schedule)
 
 
