@@ -7,6 +7,7 @@ building; no SKU's data is gathered.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,17 +30,18 @@ DAILY_COLUMNS = (
     + [f"{c}_lag_{k}" for k in LAGS for c in ("Quantity", "Amount")]
     + [f"{c}_rolling_{n}" for n in WINDOWS for c in ("Quantity", "Amount")]
     + ["Quantity_trend_7d", "Quantity_trend_30d"])
-MONTHLY_COLUMNS = ["Year", "Month", "Quantity_Lag1", "Quantity_Lag3", "Quantity_Lag6",
-                   "Quantity_Lag12", "MA_3", "MA_6", "MA_12", "Month_Sin", "Month_Cos",
-                   "YoY_Growth", "Trend", "is_post_restart"]
-RESTART_COLUMNS = ["Year", "Month", "Quantity_Lag1", "Quantity_Lag2", "Quantity_Lag3",
-                   "MA_2", "MA_3", "MA_6", "Month_Sin", "Month_Cos", "Trend",
-                   "Historical_Seasonal_Factor", "Historical_YoY_Growth", "is_post_restart"]
+# What a training table holds besides the inputs of a model.
+NOT_INPUTS = {"SKU", "Date", "Quantity", "Amount", "Rate", "label", "is_train", "is_test"}
 # The SKU as a model input: its mean units over the training months.
 LEVEL = "sku_level"
 SEED = 42
 
 
+def model_inputs(table: DataFrame) -> list[str]:
+    """The columns that the feature steps and the SKU's level have added."""
+    return [c for c in table.columns if c not in NOT_INPUTS]
+
+
 def forest(trees: int, depth: int, min_leaf: int, subset: str = "auto") -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="raw_prediction",
@@ -145,13 +147,13 @@ def restart_training_table(monthly: DataFrame, seasonal: DataFrame, yoy: DataFra
 
 
 def train_monthly_model(table: DataFrame, trees: int = 150, depth: int = 10) -> PipelineModel:
-    columns = MONTHLY_COLUMNS + [LEVEL]
+    columns = model_inputs(table)
     return _fit(_pipeline(columns, forest(trees, depth, 1, "sqrt")), table.where("is_train"),
                 columns)
 
 
 def train_restart_model(table: DataFrame, trees: int = 100, depth: int = 8) -> PipelineModel:
-    columns = RESTART_COLUMNS + [LEVEL]
+    columns = model_inputs(table)
     return _fit(_pipeline(columns, forest(trees, depth, 1, "sqrt")), table.where("is_train"),
                 columns)
 
@@ -221,10 +223,10 @@ def regression_quality(tested: DataFrame) -> dict[str, float]:
 ENSEMBLE = {"linear": 0.3, "forest": 0.4, "boosting": 0.3}
 
 
-def ensemble_forecast(table: DataFrame, columns: Sequence[str] = tuple(MONTHLY_COLUMNS),
+def ensemble_forecast(table: DataFrame, columns: Sequence[str] | None = None,
                       trees: int = 100, rounds: int = 20) -> DataFrame:
     """Weighted mean of a linear model, a forest and boosted trees on the test months."""
-    used = [*columns, LEVEL]
+    used = [*columns, LEVEL] if columns else model_inputs(table)
     inputs = VectorAssembler(inputCols=used, outputCol="features")
     train = (inputs.transform(_spread(table.where("is_train"), used))
              .select("features", "label").persist(StorageLevel.MEMORY_AND_DISK))
@@ -255,15 +257,19 @@ REGISTRY = ("sku STRING, model_type STRING, training_date TIMESTAMP, model_path
 
 def save_model(spark: SparkSession, model: PipelineModel, skus: DataFrame, root: str,
                model_type: str, trained_at: str) -> str:
-    """Writes a model and a registry entry for every SKU it serves; returns the model's path."""
-    path = f"{root.rstrip('/')}/{model_type}_model"
-    model.write().overwrite().save(path)
+    """Writes a model and a registry entry for every SKU it serves; returns the model's path.
+
+    Every model has a folder of its own, and its entries are appended last: after a
+    failure in between the registry still names whole models only.
+    """
+    version = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/{model_type}_model/{version}"
+    model.write().save(path)
     entries = skus.select(
-        F.col("SKU").alias("sku"), F.lit(model_type).alias("model_type"),
-        F.lit(trained_at).cast("timestamp").alias("training_date"),
-        F.lit(path).alias("model_path"), F.lit("1.0").alias("version"))
-    (entries.drop("model_type").write.mode("overwrite")
-     .parquet(f"{root.rstrip('/')}/registry/model_type={model_type}"))
+        F.col("SKU").alias("sku"), F.lit(trained_at).cast("timestamp").alias("training_date"),
+        F.lit(path).alias("model_path"), F.lit(version).alias("version"))
+    entries.write.mode("append").parquet(
+        f"{root.rstrip('/')}/registry/model_type={model_type}")
     return path
 
 
@@ -275,6 +281,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+# The states that callers compare.
+STATUS = {"none": "No model found", "stale": "Needs retraining", "fresh": "Up to date"}
+
+
 def needs_retraining(skus: DataFrame, registry: DataFrame, last_sales: DataFrame, as_of: str,
                      max_age: int = 30, refresh_age: int = 7) -> DataFrame:
     """Whether each SKU's model is missing, too old, or older than new data allows."""
@@ -288,6 +298,6 @@ def needs_retraining(skus: DataFrame, registry: DataFrame, last_sales: DataFrame
     needs = F.when(exists, stale).otherwise(True)
     return joined.select(
         "sku", exists.alias("exists"), needs.alias("needs_training"), "last_trained",
-        F.when(~exists, "No model found").when(needs, "Needs retraining")
-        .otherwise("Up to date").alias("status"))
+        F.when(~exists, STATUS["none"]).when(needs, STATUS["stale"])
+        .otherwise(STATUS["fresh"]).alias("status"))
 

@@ -117,7 +117,7 @@ class RejectedUpload(ValueError):
 def check_columns(frame: DataFrame, required: list[str]) -> None:
     missing = [name for name in required if name not in frame.columns]
     if missing:
-        raise RejectedUpload(f"Missing required columns: {missing}. Required: {required}")
+        raise RejectedUpload(f"upload lacks {', '.join(missing)}; it needs {', '.join(required)}")
 
 
 def ingest_sales(upload: DataFrame, path: str) -> int:
