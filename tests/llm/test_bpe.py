@@ -35,14 +35,14 @@ def test_every_token_and_character(coder, library):
     same(coder, library, [b.decode() for i, b in coder.t.bytes_of.items()
                           if b.decode("utf-8", "ignore").encode() == b])
     texts = [f"a{chr(c)}b 1{chr(c)}2 -{chr(c)}- {chr(c)} x" for c in range(0x110000)
-             if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0 or c in coder.t.odd)]
+             if not 0xD800 <= c < 0xE000 and (c < 0x600 or c % 97 == 0 or c in coder.t.odd and c % 13 == 0)]
     same(coder, library, texts)
 
 
 def test_random_and_long(coder, library):
     rng = random.Random(1)
     signs = ["a", "aa", "the", " ", "\n", "  ", "'s", "1", "é", "ß", "😀", "<|endoftext|>", "=", "\t", "ing", "x"]
-    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)]
     texts += ["a" * 20000, "=" * 3001, " " * 5000, "ab" * 4000, "the " * 9000, ""]
     same(coder, library, texts)
 

@@ -1,18 +1,18 @@
 """Byte-pair encoding by walking a trie of distinct words.
 
 A text is cut into words as byte-level BPE does. The distinct words of a batch
-go into a trie of bytes, which is walked depth first. The state at a node is
-the last token of the encoding of the prefix that ends there: the token whose
+form a trie of bytes, which is walked depth first. The state at a node is the
+last token of the encoding of the prefix that ends there: the token whose
 bytes end the prefix and that BPE keeps apart from the last token of what
-precedes it. So the encoding of a prefix shared by many words is found once,
-and a word's encoding is read backwards along its last tokens.
+precedes it. So the encoding of a prefix shared by many words is found once;
+it is the encoding of the shorter prefix before its last token, plus that token.
 
 Two neighbouring tokens stay apart unless, at some moment of the merging, the
 piece at the right edge of one and the piece at the left edge of the other
 have a merge that comes before each of them is merged further inside.
 
 Memory is bounded: output leaves in slices, the word cache is emptied at
-``CACHE`` words, and words above ``LONG`` bytes are scanned without a trie.
+``CACHE`` words, and prefixes above ``LONG`` bytes keep their last token only.
 
 Defined cases: a null text is the empty text; the special token's string in a
 text is the special token; repeated rows are encoded alike; an empty table
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -76,9 +77,47 @@ class Tables:
             whole = self.by_bytes[self.bytes_of[a] + self.bytes_of[b]]
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (a, b), rank
-        self.longest = max(map(len, self.by_bytes))
+        self._join_tokens()
         self.odd = _odd_characters()
 
+    def _join_tokens(self) -> None:
+        """One automaton over all tokens: after some bytes its state tells every token
+        that ends there, longest first."""
+        self.child: dict[int, int] = {}
+        own: list[tuple] = [()]
+        for raw, token in self.by_bytes.items():
+            state = 0
+            for byte in raw:
+                key = state << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(own)
+                    own.append(())
+                state = self.child[key]
+            own[state] = ((len(raw), token),)
+        self.fail, self.ends = [0] * len(own), own
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, state in self.child.items():
+            below.setdefault(key >> 8, []).append((key & 255, state))
+        level = [0]
+        while level:
+            deeper = []
+            for state in level:
+                for byte, to in below.get(state, ()):
+                    if state:
+                        self.fail[to] = self.step(self.fail[state], byte)
+                        self.ends[to] = self.ends[to] + self.ends[self.fail[to]]
+                    deeper.append(to)
+            level = deeper
+
+    def step(self, state: int, byte: int) -> int:
+        while True:
+            to = self.child.get(state << 8 | byte)
+            if to is not None:
+                return to
+            if not state:
+                return 0
+            state = self.fail[state]
+
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Pieces at one edge of a token, each with the rank of the merge that ends it."""
         found, ends = [(token, float("inf"))], token
@@ -114,9 +153,12 @@ class Coder:
 
     def __init__(self, tables: Tables):
         self.t = tables
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by left token << 20 | right token
+        self.steps: dict[int, int] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.words: dict[str, bytes] = {}
+        self.packed = {i: i.to_bytes(4, sys.byteorder) for i in tables.bytes_of}
+        self.sizes = {i: len(b) for i, b in tables.bytes_of.items()}
         self.latin = re.compile(LATIN_WORDS)
         self.any = regex.compile(WORDS)
         self.beyond = re.compile("[^\x00-ɏ]")
@@ -124,62 +166,69 @@ class Coder:
         self.specials = re.compile(
             "(" + "|".join(map(re.escape, tables.special)) + ")") if tables.special else None
 
-    def stay_apart(self, left: int, right: int) -> bool:
-        found = self.apart.get((left, right))
-        if found is None:
-            for token, side in ((left, 1), (right, 0)):
-                if token not in self.edges[side]:
-                    self.edges[side][token] = self.t.edge(token, side)
-            merges = self.t.merges.get
-            found = all((q := merges((a, b))) is None or q >= ends_a or q > ends_b
-                        for a, ends_a in self.edges[1][left] for b, ends_b in self.edges[0][right])
-            self.apart[left, right] = found
+    def stay_apart(self, pair: int) -> bool:
+        left, right = pair >> 20, pair & 0xFFFFF
+        for token, side in ((left, 1), (right, 0)):
+            if token not in self.edges[side]:
+                self.edges[side][token] = self.t.edge(token, side)
+        merges = self.t.merges.get
+        found = self.apart[pair] = all(
+            (q := merges((a, b))) is None or q >= ends_a or q > ends_b
+            for a, ends_a in self.edges[1][left] for b, ends_b in self.edges[0][right])
         return found
 
-    def last_token(self, path: bytes | bytearray, n: int, last: list[int]) -> int:
-        """Last token of the encoding of ``path[:n]``; ``last[k]`` is that of ``path[:k]``."""
-        for size in range(min(n, self.t.longest), 0, -1):
-            token = self.t.by_bytes.get(bytes(path[n - size:n]))
-            if token is not None and (size == n or self.stay_apart(last[n - size], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that are not cached, along one trie.
+
+        In byte order words follow each other as a depth-first walk meets them,
+        so the trie is never stored: what is kept is the path to the current
+        node, with the last token and the encoding of each prefix on it. A word
+        starts where its path leaves that of the word before.
+        """
+        packed, apart, ends, steps = self.packed, self.apart, self.t.ends, self.steps
+        last, codes, states, before = [-1], [b""], [0], b""
+        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            shared = 0
+            for x, y in zip(raw, before):  # noqa: B905  the shorter one ends it
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1:], codes[shared + 1:], states[shared + 1:]
+            state = states[-1]
+            for n in range(shared + 1, len(raw) + 1):
+                key = state << 8 | raw[n - 1]
+                state = steps.get(key)
+                if state is None:
+                    state = steps[key] = self.t.step(key >> 8, key & 255)
+                for size, token in ends[state]:
+                    if size == n:
+                        break
+                    pair = last[n - size] << 20 | token
+                    found = apart.get(pair)
+                    if found or (found is None and self.stay_apart(pair)):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                states.append(state)
+                last.append(token)
+                codes.append(b"" if n > LONG else codes[n - size] + packed[token])
+            if len(raw) > LONG:
+                self.words[word] = self.read_back(len(raw), last)
+                del last[LONG + 1:], codes[LONG + 1:], states[LONG + 1:]
+                raw = raw[:LONG]
+            else:
+                self.words[word] = codes[-1]
+            before = raw
 
     def read_back(self, n: int, last: list[int]) -> bytes:
+        """The encoding from the last tokens alone, for words too long to keep all prefixes'."""
         ids = array("i")
         while n:
             ids.append(last[n])
-            n -= len(self.t.bytes_of[last[n]])
+            n -= self.sizes[last[n]]
         ids.reverse()
         return ids.tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that are not cached, one trie for all."""
-        trie: dict = {}
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            if len(raw) > LONG:
-                last = [-1]
-                for n in range(1, len(raw) + 1):
-                    last.append(self.last_token(raw, n, last))
-                self.words[word] = self.read_back(len(raw), last)
-                continue
-            node = trie
-            for byte in raw:
-                node = node.setdefault(byte, {})
-            node[-1] = word
-        path, last = bytearray(), [-1]
-        todo = [(byte, 1, child) for byte, child in trie.items()]
-        while todo:
-            byte, depth, node = todo.pop()
-            del path[depth - 1:], last[depth:]
-            path.append(byte)
-            last.append(self.last_token(path, depth, last))
-            for key, child in node.items():
-                if key == -1:
-                    self.words[child] = self.read_back(depth, last)
-                else:
-                    todo.append((key, depth + 1, child))
-
     def cut(self, text: str) -> list[str]:
         if not self.beyond.search(text):
             return self.latin.findall(text)
@@ -200,7 +249,7 @@ class Coder:
             cuts.append(words)
             new.update(words)
         for name in new & self.t.special.keys():
-            self.words[name] = array("i", [self.t.special[name]]).tobytes()
+            self.words[name] = self.packed[self.t.special[name]]
         self.learn(new - self.words.keys())
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in cuts]
