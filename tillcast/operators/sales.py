@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import DAY_NAMES, month_key, month_name, week_key
 from tillcast.functions.frames import bundle, drop_null_keys, top_by, total
-from tillcast.functions.numeric import (mean_of, money_avg, money_sum, percent_change,
-                                        percent_of, safe_div)
+from tillcast.functions.numeric import (as_money, mean_of, money_avg, money_sum, money_units,
+                                        percent_change, percent_of, safe_div)
 
 
 def sku_performance(sales: DataFrame) -> DataFrame:
@@ -51,11 +51,20 @@ def identify_top_skus(sales: DataFrame, n: int | None = 15) -> DataFrame:
 
 def monthly_trends(sales: DataFrame) -> DataFrame:
     """Units, revenue, distinct SKUs and orders per month, with month-on-month change."""
-    monthly = sales.groupBy(month_key("Date").alias("Month")).agg(
-        F.sum("Quantity").alias("Total_Quantity"),
-        F.round(money_sum("Amount"), 2).alias("Total_Revenue"),
-        F.count_distinct("SKU").alias("Unique_SKUs"),
-        F.count_distinct("Orderid").alias("Unique_Orders"))
+    # Two plain aggregations instead of one with two distinct counts, which would
+    # multiply every sales row before the shuffle.
+    month = month_key("Date").alias("Month")
+    per_sku = sales.groupBy(month, "SKU").agg(
+        F.sum("Quantity").alias("q"), money_units("Amount").alias("m"))
+    orders = (sales.where(F.col("Orderid").isNotNull()).select(month.alias("_month"), "Orderid")
+              .distinct().groupBy("_month").agg(F.count("*").alias("n")))
+    monthly = (per_sku.groupBy("Month").agg(
+        F.sum("q").alias("Total_Quantity"),
+        F.round(as_money(F.sum("m")), 2).alias("Total_Revenue"),
+        F.count("SKU").alias("Unique_SKUs"))
+        .join(orders, F.col("Month").eqNullSafe(F.col("_month")), "left")
+        .select("Month", "Total_Quantity", "Total_Revenue", "Unique_SKUs",
+                F.coalesce("n", F.lit(0)).alias("Unique_Orders")))
     by_month = Window.orderBy("Month")
     return monthly.withColumns({
         "Revenue_Growth": percent_change("Total_Revenue",
@@ -134,13 +143,27 @@ def latest_month_growth(sales: DataFrame) -> DataFrame:
 
 def business_overview(sales: DataFrame) -> DataFrame:
     """Total revenue, orders, SKUs, average order value, growth and date range."""
-    totals = sales.agg(
-        money_sum("Amount").alias("total_revenue"), F.count("*").alias("total_orders"),
-        F.count_distinct("SKU").alias("unique_skus"),
-        F.date_format(F.min("Date"), "yyyy-MM-dd").alias("start"),
-        F.date_format(F.max("Date"), "yyyy-MM-dd").alias("end"))
-    growth = latest_month_growth(sales).select("growth_rate")
-    both = bundle(sales.sparkSession, totals, growth)
+    # One pass over the sales: (month, SKU) cells, then both groupings of the cells at once.
+    cells = sales.groupBy(month_key("Date").alias("month"), "SKU").agg(
+        money_units("Amount").alias("m"), F.count("*").alias("n"),
+        F.min("Date").alias("first"), F.max("Date").alias("last"))
+    month, sku = F.col("month"), F.col("SKU")
+    sides = cells.groupingSets([[month], [sku]], "month", "SKU").agg(
+        F.sum("m").alias("m"), F.sum("n").alias("n"), F.min("first").alias("first"),
+        F.max("last").alias("last"), (F.grouping("SKU") == 1).alias("is_month"))
+    is_month = F.col("is_month")
+    revenue = as_money(F.col("m"))
+    whole = sides.withColumn("before", F.when(is_month, F.lag(revenue).over(
+        Window.partitionBy("is_month", F.when(~is_month, sku)).orderBy("month")))).agg(
+        as_money(F.sum(F.when(is_month, F.col("m")))).alias("total_revenue"),
+        F.coalesce(F.sum(F.when(is_month, F.col("n"))), F.lit(0)).alias("total_orders"),
+        F.count_if(~is_month & sku.isNotNull()).alias("unique_skus"),
+        F.date_format(F.min("first"), "yyyy-MM-dd").alias("start"),
+        F.date_format(F.max("last"), "yyyy-MM-dd").alias("end"),
+        F.max_by(F.when(is_month, F.struct(revenue.alias("revenue"), "before")),
+                 F.when(is_month, month)).alias("_l"))
+    growth = F.when(F.col("_l.before") > 0, percent_change("_l.revenue", "_l.before"))
+    both = whole.withColumn("growth_rate", F.coalesce(growth, F.lit(0.0))).drop("_l")
     return both.withColumn("avg_order_value", safe_div("total_revenue", "total_orders"))
 
 
