@@ -9,10 +9,6 @@ from tillcast.plans.queries import QUERIES
 from tools.check import compare, connect
 
 SQL = dict(ORACLE)
-# Without SQL: models (checked in test_ml) and file times.
-NO_SQL = {"train_daily_model", "train_monthly_model", "train_restart_model", "score_next_month",
-          "monthly_model_accuracy", "analyze_top_skus_monthly", "ensemble_forecast",
-          "model_registry", "data_freshness"}
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +16,8 @@ def duck():
     return connect(SMALL)
 
 
-def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(SQL) == NO_SQL
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES)
     assert set(QUERIES) <= set(registry.queries()) and set(SQL) <= set(registry.oracle_sql())
 
 

