@@ -267,3 +267,10 @@ def test_one_sided_keys_of_return_rates(spark):
     sold = spark.createDataFrame([("a", 10), ("b", 5)], "SKU string, Quantity long")
     back = spark.createDataFrame([("b", -5), ("c", -2)], "SKU string, Quantity long")
     assert {r["sku"] for r in rows(returns.return_rate_by_sku(sold, back))} == {"a", "b", "c"}
+
+
+def test_scratch_lies_on_shared_storage(spark):
+    from tillcast.session import scratch_path
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
