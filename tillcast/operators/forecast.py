@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.frames import drop_null_keys, top_by
-from tillcast.functions.numeric import (clamp, ladder, mean_of, percent_change, percent_of,
+from tillcast.functions.numeric import (clamp, ladder, mean_of, percent_of,
                                         safe_div, to_long)
 from tillcast.operators.channels import CHANNELS
 from tillcast.operators.features import daily_sku_sales
