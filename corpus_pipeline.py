@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as
 Parquet and read again as the next stage's documents. All but the last return
-the columns of ``docs``, further ones included.
+the columns of ``docs``, further ones included. Decisions about single
+documents come back through a Bloom filter of bounded size: texts that it
+clears pass straight through, and only the others meet the decision in a join.
 
 Defined cases: every stage takes null texts, ids and other columns, repeated
 rows and empty tables. Rows that share an id are one document to the joins
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm import langid
+from tillcast.llm.bloom import maybe_among
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import fresh, table, written
 from tillcast.llm.decontaminate import find_contamination
@@ -44,25 +47,30 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays."""
-    groups = simhash_groups(docs)
-    keep = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
-                   .agg(F.count("*").alias("n")), "kept")
-    mine, rows = fresh(docs, "_kept"), fresh(docs, "_rows")
-    kept = docs.join(keep.select(F.col("doc_id").alias(mine), F.col("n").alias(rows)),
-                     docs["doc_id"].eqNullSafe(F.col(mine)))
+    groups = written(simhash_groups(docs), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keep = written(groups.where(stays).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    doubtful = groups.where(~stays).select("doc_id").unionByName(
+        keep.where("n > 1").select("doc_id")).distinct()
+    maybe, mine, rows = (fresh(docs, c) for c in ("_maybe", "_kept", "_rows"))
+    marked = maybe_among(docs, "doc_id", doubtful, maybe)
+    sure = marked.where(~F.col(maybe)).select(docs.columns)
+    kept = marked.where(maybe).join(
+        keep.select(F.col("doc_id").alias(mine), F.col("n").alias(rows)),
+        F.col("doc_id").eqNullSafe(F.col(mine)))
     once = kept.where((F.col(rows) == 1) | F.col(mine).isNull()).select(docs.columns)
-    if keep.where("n > 1 AND doc_id IS NOT NULL").isEmpty():
-        return once
     again = kept.where((F.col(rows) > 1) & F.col(mine).isNotNull()).select(docs.columns)
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    return sure.unionByName(once).unionByName(again.dropDuplicates(["doc_id"]))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    mine = fresh(docs, "_hit")
-    hit = found.where("contaminated").select(F.col("doc_id").alias(mine)).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(mine)), "left_anti")
+    maybe, mine = fresh(docs, "_maybe"), fresh(docs, "_hit")
+    hit = written(found.where("contaminated").select(F.col("doc_id").alias(mine)).distinct(), "hits")
+    marked = maybe_among(docs, "doc_id", hit, maybe)
+    checked = marked.where(maybe).join(hit, F.col("doc_id").eqNullSafe(F.col(mine)), "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(checked).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

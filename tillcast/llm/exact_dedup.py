@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm.bloom import bitmaps, filter_bits, positions, with_maybe
 from tillcast.llm.common import BLANKS, whole, with_group_facts, written
 
-SEGMENT = 32768  # bits in a value of bitmap_construct_agg
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-
 
 def squeezed(text: Column) -> Column:
     """The text without any blank."""
@@ -30,46 +28,15 @@ def squeezed(text: Column) -> Column:
     return text
 
 
-def filter_bits(rows: int, per_row: int = 16) -> int:
-    """Bits of the filter: a power of two, at most 64 MB. Beyond that size more
-    unique rows pass as possibly repeated, which costs shuffle, not results."""
-    bits = LEAST_BITS
-    while bits < rows * per_row and bits < MOST_BITS:
-        bits *= 2
-    return bits
-
-
-def _positions(bits: int) -> list[Column]:
-    """Two positions from the two halves of a row's 64-bit hash."""
-    return [F.col("_h").bitwiseAND(F.lit(bits - 1)),
-            F.shiftrightunsigned("_h", 32).bitwiseAND(F.lit(bits - 1))]
-
-
 def repeated_filter(rows: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps ``(seg, map)`` of the positions hit at least twice by ``rows._h``."""
-    hit = rows.select(F.explode(F.array(*_positions(bits))).alias("p"))
-    twice = hit.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
-    return (twice.groupBy(F.floor(F.col("p") / SEGMENT).cast("int").alias("seg"))
-            .agg(F.bitmap_construct_agg(F.col("p") % SEGMENT).alias("map")))
-
+    """Bitmaps of the positions hit at least twice by ``rows._h``."""
+    hit = rows.select(F.explode(F.array(*positions(F.col("_h"), bits))).alias("p"))
+    return bitmaps(hit.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"))
 
-def maybe_repeated(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Adds ``maybe``: false only if the row's hash occurs once.
 
-    The bitmaps are at most ``bits / 8`` bytes, so the broadcast is bounded."""
-    held = []
-    for i, p in enumerate(_positions(bits)):
-        part = F.broadcast(bitmaps.select(F.col("seg").alias(f"_seg{i}"),
-                                          F.col("map").alias(f"_map{i}")))
-        rows = (rows.withColumn(f"_p{i}", p)
-                .join(part, F.floor(F.col(f"_p{i}") / SEGMENT).cast("int") == F.col(f"_seg{i}"),
-                      "left"))
-        spot = F.col(f"_p{i}") % SEGMENT
-        byte = F.conv(F.hex(F.substring(f"_map{i}", F.floor(spot / 8).cast("int") + 1, F.lit(1))),
-                      16, 10).cast("int")
-        held.append(F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False)))
-    return (rows.withColumn("maybe", held[0] & held[1])
-            .drop(*[f"{c}{i}" for c in ("_seg", "_map", "_p") for i in (0, 1)]))
+def maybe_repeated(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
+    """Adds ``maybe``: false only if the row's hash occurs once."""
+    return with_maybe(rows, F.col("_h"), maps, bits, "maybe")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
