@@ -117,6 +117,22 @@ def test_windows_cover_every_trigger():
     assert pii.window_starts("no trigger") == []
 
 
+def test_written_out_address_without_digit_or_at_sign(model, spark, docs):
+    text = "the words of a text jo.doe (at) mailx.example.com and then some more of it"
+    far = "the words of a text " * 20 + text + " and some more of it" * 20
+    for whole in (text, far):
+        at = whole.index("jo.doe")
+        assert pii.find_spans([whole], model[0]) == [([], [("email", at, at + len("jo.doe (at) mailx.example.com"))])]
+    for sign in ("(at)", "[at]"):
+        long = "w " * 200 + f"{'jo' * 60} {sign} {'a.' * 60}org" + " w" * 200
+        read = {p for s in pii.window_starts(long) for p in range(s, s + pii.WINDOW)}
+        assert read >= set(range(long.index("jo"), long.index("org") + 3))
+    x, y = pii.labelled_windows([text])
+    assert len(x) == 1 and (y[0] == 1).sum() == len("jo.doe (at) mailx.example.com")
+    frame = docs([(1, text), (2, "to jo [at] site [dot] org"), (3, "no datum at all")])
+    assert sorted(pii.sample(frame)) == sorted([text, "to jo [at] site [dot] org"])
+
+
 def test_null_repeated_and_empty_table(spark, docs):
     frame = docs([(1, None), (2, ""), (3, "me@x.org"), (3, "me@x.org"), (None, "1.1.1.1")])
     rows = pii.detect(frame, None).collect()

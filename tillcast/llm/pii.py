@@ -8,9 +8,10 @@ window in which it lies most central, and spans run across windows. A span of
 the tagger that touches no base span is added if it passes the check of its
 kind: digits in number and check sum, address parts in range.
 
-Every kind holds a digit or an ``@``, so windows without either are not read:
-no tag sequence in them could pass. Training sample: at most ``SAMPLE_ROWS``
-rows of at most ``SAMPLE_CHARS`` code points that hold such a character.
+A span passes only with a digit, an ``@`` or an ``(at)`` or ``[at]`` in it, so
+windows that overlap no such sign, nor the address around an at sign, are not
+read. Training sample: at most ``SAMPLE_ROWS`` rows of at most ``SAMPLE_CHARS``
+code points that hold such a sign; written-out addresses count as e-mails there.
 
 Defined cases: a null text is the empty text and has no spans; without
 training rows only base spans are found; repeated rows are read one by one; an
@@ -35,7 +36,8 @@ WINDOW, STRIDE = 96, 64
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1200, 6000, 2400
 LANES = 2048
 
-TRIGGER = re.compile("[0-9@]")
+# What every match of WIDE holds; Java reads the pattern alike.
+TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 # The rules. Runs are entered at their start only, which finds the same
 # matches in linear time.
 LOCAL = re.compile("[A-Za-z0-9._%+-]+")
@@ -122,24 +124,50 @@ def settled(kind: str, text: str, start: int, end: int) -> Span | None:
     return None
 
 
+_SITE = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
+
+
+def _address(text: str, at: int, end: int) -> tuple[int, int, bool]:
+    """Start and end of the address around an at sign, and whether both of its parts are there."""
+    name = at - (at > 0 and text[at - 1] == " ")
+    start = name
+    while start > 0 and text[start - 1] in _LOCAL_SIGNS:
+        start -= 1
+    site = _SITE.match(text, end)
+    return start if start < name else at, site.end() if site else end, start < name and bool(site)
+
+
+def written_out(text: str) -> list[Span]:
+    """E-mail addresses with ``(at)`` or ``[at]``, which the rules do not know."""
+    found: list[Span] = []
+    for m in TRIGGER.finditer(text):
+        if m.end() - m.start() > 1:
+            start, end, both = _address(text, *m.span())
+            if both:
+                found.append(("email", start, end))
+    return found
+
+
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows, on one grid over the whole text, that hold a trigger."""
-    last, found = max(0, -(-(len(text) - WINDOW) // STRIDE)), []
+    """Starts of the windows, on one grid over the whole text, that hold a trigger or
+    a part of the address around one."""
+    last, found = max(0, -(-(len(text) - WINDOW) // STRIDE)), set()
     for m in TRIGGER.finditer(text):
-        first = max(0, -((WINDOW - 1 - m.start()) // STRIDE))
-        for k in range(first, min(m.start() // STRIDE, last) + 1):
-            if not found or found[-1] < k:
-                found.append(k)
-    return [k * STRIDE for k in found]
+        start, end = m.span()
+        if not "0" <= m[0] <= "9":
+            start, end, _ = _address(text, start, end)
+        first = max(0, -((WINDOW - 1 - start) // STRIDE))
+        found.update(range(first, min((end - 1) // STRIDE, last) + 1))
+    return [k * STRIDE for k in sorted(found)]
 
 
 def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS,
                      seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of symbols and tags from texts that the rules label."""
+    """Windows of symbols and tags from texts that the rules and ``written_out`` label."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for text in texts:
-        spans = sorted(base_spans(text), key=lambda s: s[1])
+        spans = sorted([*base_spans(text), *written_out(text)], key=lambda s: s[1])
         pieces, labels, at = [], [], 0
         for kind, start, end in spans:
             if start < at:
@@ -181,7 +209,7 @@ def _rewritten(kind: str, said: str, rng: np.random.Generator) -> str:
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most ``SAMPLE_ROWS`` texts, picked by a hash of the id; a count comes first, so
     that the tasks send about one and a half times as many, however many tasks there are."""
-    usable = docs.where(F.col(text_col).rlike("[0-9@]")
+    usable = docs.where(F.col(text_col).rlike(TRIGGER.pattern)
                         & (F.char_length(text_col) <= SAMPLE_CHARS))
     share = min(1.0, 1.5 * SAMPLE_ROWS / max(1, usable.count()))
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20)
