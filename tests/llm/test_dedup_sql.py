@@ -105,3 +105,32 @@ def test_proximity(spark, docs):
     near = {s: {r._id for r in decontaminate.near_matches(index, spots, s).join(ids, "_row").collect()}
             for s in (0, 1)}
     assert near == {0: {1}, 1: {1, 2}}
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_proximity_of_the_operator(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_TERMS", most)
+    items = spark.createDataFrame([("1", "alpha beta gamma"), ("2", "solo")], "item_id string, text string")
+    texts = [(1, "alpha beta gamma"), (2, "alpha x gamma x x beta alpha"), (3, "alpha x beta"),
+             (4, "alpha x x x beta gamma"), (5, "beta"), (6, None), (7, "beta alpha"), (8, "a solo"),
+             (None, "alpha x beta"), (3, "alpha x beta")]
+    counts = decontaminate._counted(docs(texts).selectExpr("text"), None)
+    listed = decontaminate.item_words(items, "item_id", "text")
+    pairs = [(r.t1, r.p2 - r.p1, r.t2) for r in decontaminate.windows(listed, counts).collect()]
+    names = {"solo": "2"}
+    want = {}
+    for slop in (0, 2, 3):
+        for number, text in texts:
+            said = (text or "").split()
+            want[slop, number] = sorted({names.get(a, "1") for a, d, b in pairs for p, w in enumerate(said)
+                                         if w == a for q, v in enumerate(said) if v == b and abs(q - p - d) <= slop})
+    exact = None
+    for slop in (0, 2, 3):
+        rows = decontaminate.find_contamination(docs(texts), items, slop=slop).collect()
+        assert len(rows) == len(texts)
+        hits = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r["items"]) for r in rows)
+        exact = exact or hits
+        assert hits == exact
+        if slop:
+            assert all(r.near_items == want[slop, r.doc_id] and r.n_near == len(r.near_items) for r in rows)
+    assert want[3, 4] == ["1"] and want[2, 4] == [] and want[3, 1] == ["1"]

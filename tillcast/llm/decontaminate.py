@@ -8,10 +8,14 @@
    rarest, shifted by their distance; then every other word of the item has to
    be in place. Runs of matching words at least as long as a window are hits.
 
+Proximity: with ``slop``, documents are also named in which the two rarest words
+of a window stand at their distance give or take ``slop`` words.
+
 Steps 1 and 3 get the test words by broadcast up to ``MOST_TERMS`` words; the
 second scan then leaves out documents in which no such pair stands at its
-distance. With more test words every word of every document is counted and
-indexed: the same result from a larger index.
+distance, give or take ``slop``: an index serves ``near_matches`` up to the slop
+that it was written with. With more test words every word of every document is
+counted and indexed: the same result from a larger index.
 
 Defined cases: a null text has no words, so it hits nothing and, as an item, is
 found nowhere; an item of fewer words than a window is one window; rows that
@@ -27,7 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import ship, written
@@ -115,15 +119,17 @@ def windows(listed: DataFrame, counts: DataFrame, span: int = SPAN) -> DataFrame
 
 
 def _index(docs: DataFrame, wanted: frozenset[bytes] | None,
-           pairs: dict[bytes, list[tuple[int, bytes]]] | None) -> DataFrame:
+           pairs: dict[bytes, list[tuple[int, bytes]]] | None, slop: int = 0) -> DataFrame:
     """``(_row, _id, n_words, term, positions)``: postings, and one row per document
-    without a word that holds its number of words."""
+    without a word that holds its number of words. With ``pairs`` only documents in which
+    a pair stands at its distance, give or take ``slop``, have postings."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, pairs))
 
     def hopeful(said: list[bytes], look: dict) -> bool:
         for p, word in enumerate(said):
             for apart, other in look.get(word, ()):
-                if 0 <= p + apart < len(said) and said[p + apart] == other:
+                at = p + apart
+                if other in said[max(0, at - slop):max(0, at + slop + 1)]:
                     return True
         return False
 
@@ -167,7 +173,8 @@ def near_matches(index: DataFrame, spots: DataFrame, slop: int = 0) -> DataFrame
     """``(_row, _item, diag, off)``: places where a window's two rarest words stand at their
     distance give or take ``slop`` words; ``diag`` is where the item would begin.
 
-    With slop 0 this is the first step of the phrase search, else a proximity match."""
+    With slop 0 this is the first step of the phrase search, else a proximity match. The
+    index has to be written with that slop or a larger one."""
     lists = index.where("term IS NOT NULL").select("_row", "term", "positions")
     one = lists.select(F.col("_row"), F.col("term").alias("t1"), F.explode("positions").alias("_p"))
     begun = one.join(spots, "t1").select(
@@ -200,9 +207,9 @@ def phrase_runs(index: DataFrame, listed: DataFrame, starts: DataFrame, span: in
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id",
-                       item_text: str = "text", span: int = SPAN) -> DataFrame:
+                       item_text: str = "text", span: int = SPAN, slop: int = 0) -> DataFrame:
     """One row per document: ``id, n_words, n_hit, n_items, items`` (sorted item ids),
-    ``contaminated``."""
+    ``contaminated``; with ``slop`` also ``n_near, near_items``, the proximity matches."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     listed = written(item_words(items, item_col, item_text), "items")
     terms = listed.select("term").distinct()
@@ -216,17 +223,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             pairs = {}
             for r in small_pairs.collect():
                 pairs.setdefault(r.t1.encode(), []).append((r.d, r.t2.encode()))
-    index = written(_index(rows, wanted, pairs), "postings")
+    index = written(_index(rows, wanted, pairs, slop), "postings")
     runs = written(phrase_runs(index, listed, near_matches(index, spots), span), "runs")
     covered = runs.select("_row", F.explode(F.sequence("begin", "end")).alias("p")).distinct()
     hits = covered.groupBy("_row").agg(F.count("*").alias("n_hit")).join(
         runs.groupBy("_row").agg(F.array_sort(F.collect_set("_name")).alias("items")), "_row")
-    return (index.where("term IS NULL").select("_row", "_id", "n_words").join(hits, "_row", "left")
-            .select(F.col("_id").alias(id_col), "n_words",
-                    F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
+    found = index.where("term IS NULL").select("_row", "_id", "n_words").join(hits, "_row", "left")
+    near: list[Column] = []
+    if slop:
+        met = near_matches(index, spots, slop).select("_row", "_item").distinct()
+        names = met.join(listed.select("_item", "_name").distinct(), "_item").groupBy("_row").agg(
+            F.array_sort(F.collect_set("_name")).alias("near_items"))
+        found = found.join(names, "_row", "left")
+        near = [F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near"),
+                F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
+    return found.select(
+        F.col("_id").alias(id_col), "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *near)
 
 
 ship(__name__)
