@@ -29,8 +29,11 @@ from tillcast.llm.simhash import simhash_groups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; a missing ``lang`` is filled in."""
+    """Documents without a language (no text, no letter) go; a missing ``lang`` is filled in,
+    unless there is no labelled text to learn from."""
     model = langid.train(docs.where(~langid.held_out("doc_id", 5, 0)))
+    if not model.langs:
+        return langid.lettered(docs)
     name, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     named = langid.identify(docs, model, lang_name=name, score_name=score)
     kept = named.where(F.col(name) != langid.UNKNOWN)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from conftest import SMALL
 from tillcast.llm import langid
 from tillcast.llm.registry import QUERIES
@@ -76,3 +77,26 @@ def test_null_no_letter_and_empty_table(spark, docs):
     assert langid.identify(frame.limit(0), model).count() == 0
     untrained = langid.train(frame.limit(0))
     assert {r.lang_pred for r in langid.identify(frame, untrained).collect()} == {"und"}
+
+
+def test_languages_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 100)
+    en, fr, de = "the cat and the dog ", "le chat est sur la table ", "der Hund und die Katze "
+    rows = [(i, en, "en") for i in range(5)] + [(10 + i, fr * (10 + i), "fr") for i in range(5)]
+    rows += [(20, de * 100, "de"), (None, de * 100, "de"), (30, en * 6, "en"), (31, en * 7, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.sample(frame, "lang", "text", "doc_id", 6)
+    assert sorted(t for name, t in got if name == "en") == sorted([en] * 5 + [(en * 6)[:100]])
+    assert [t for name, t in got if name == "fr"] == [fr * 10, fr * 11]
+    assert [t for name, t in got if name == "de"] == [(de * 100)[:600]]
+    model = langid.train(frame, rows=6)
+    assert model.predict([en, fr, de])[0] == ["en", "fr", "de"]
+
+
+def test_pipeline_stage_without_labels_keeps_texts_with_a_letter(spark):
+    rows = [(1, "the cat", None), (2, None, None), (3, "12 34", None), (None, "\u00e9t\u00e9", None), (4, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, frame, SMALL)
+    assert kept.schema == frame.schema
+    assert sorted((str(r.doc_id), r.text, r.lang) for r in kept.collect()) == [
+        ("1", "the cat", None), ("None", "\u00e9t\u00e9", None)]

@@ -12,6 +12,12 @@ become one table: a state per context that any of them knows, and per state
 and byte the next state and each language's bits. Texts are scored many
 stretches at a time, each after ``ORDER`` bytes of run-up, whatever their length.
 
+Training sample: per language at most ``SAMPLE_ROWS`` whole texts, those of at
+most ``SAMPLE_CHARS`` code points by a hash of the id. Where a language has too
+few of these, its shortest longer texts follow while the language's code points
+are at most rows times ``SAMPLE_CHARS``; if not even the first of them fits, its
+beginning does, so no language with a labelled text goes unlearnt.
+
 Defined cases: a null text and a text without a letter are ``und`` with score
 0; equal code lengths go to the first language in sort order; without any
 training row every text is ``und``; repeated rows are scored one by one; an
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import ship
@@ -34,17 +40,25 @@ from tillcast.llm.common import ship
 UNKNOWN = "und"
 ORDER = 4
 LEAST_SEEN = 16  # occurrences that make a context of two or more bytes a state
-# Bound of the training sample: rows per language, and code points of a row that may enter.
+# Bound of the training sample: rows per language, and their mean number of code points.
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 4000
 STRETCH, LANES = 512, 4096
 EVIDENCE = 48.0  # bytes at the mean rate that the score weighs at most
 
 
 def sample(labelled: DataFrame, lang: str, text: str, id_col: str, rows: int) -> list:
-    """At most ``rows`` whole texts per language, picked by a hash of the id."""
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()
-                            & (F.char_length(text) <= SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    """At most ``rows`` texts per language: short ones by a hash of the id, then the shortest."""
+    named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    short = F.char_length(text) <= SAMPLE_CHARS
+    seen = named.groupBy(lang).agg(F.count_if(short), F.count("*")).collect()
+    few = [r[0] for r in seen if r[1] < min(rows, r[2])]
+    return _short(named.where(short), {r[0]: r[1] for r in seen if r[1]}, lang, text, id_col, rows) + (
+        _longer(named.where(~short & F.col(lang).isin(few)), {r[0]: r[1] for r in seen}, lang, text,
+                id_col, rows) if few else [])
+
+
+def _short(usable: DataFrame, counts: dict[str, int], lang: str, text: str, id_col: str,
+           rows: int) -> list:
     part = F.create_map(*[x for name, n in counts.items() for x in (
         F.lit(name), F.lit(min(1.0, 2.0 * rows / n)))]) if counts else None
     if part is None:
@@ -60,6 +74,35 @@ def sample(labelled: DataFrame, lang: str, text: str, id_col: str, rows: int) ->
     return found
 
 
+def _longer(usable: DataFrame, short: dict[str, int], lang: str, text: str, id_col: str,
+            rows: int) -> list:
+    """The shortest of the longer texts, as many as rows and code points are left for. Their
+    lengths come first, so that only texts that enter are sent; a task passes on no more than
+    ``rows`` of a language."""
+    sized = usable.select(F.col(lang).alias("l"), F.char_length(text).alias("n"),
+                          F.xxhash64(id_col).alias("h"), F.col(text).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("n", "h"))
+    lengths = sized.select("l", "n", "h").withColumn("k", rank).where(F.col("k") <= rows)
+    room = {name: (rows - n, (rows - n) * SAMPLE_CHARS) for name, n in short.items()}
+    last: dict[str, tuple[int, int, int]] = {}  # texts, length and hash of the last one
+    for row in sorted(lengths.collect(), key=lambda r: (r["l"], r["k"])):
+        left, chars = room[row["l"]]
+        if left and (row["n"] <= chars or row["k"] == 1):
+            last[row["l"]] = (row["k"], row["n"], row["h"])
+            room[row["l"]] = (left - 1, max(0, chars - row["n"]))
+        else:
+            room[row["l"]] = (0, 0)
+    facts = usable.sparkSession.createDataFrame(
+        [(name, *x, (rows - short[name]) * SAMPLE_CHARS) for name, x in last.items()],
+        "_l string, _k int, _n int, _h long, _c int")
+    near = sized.join(F.broadcast(facts), F.col("l") == F.col("_l")).where(
+        (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("h") <= F.col("_h"))))
+    near = near.select("l", "n", "h", "_k", F.substring("t", F.lit(1), F.col("_c")).alias("t"))
+    by_text = F.row_number().over(Window.partitionBy("l").orderBy("n", "h", "t"))
+    taken = near.withColumn("k", by_text).where((F.col("k") <= F.col("_k")) & (F.col("k") <= rows))
+    return [(r["l"], r["t"]) for r in sorted(taken.collect(), key=lambda r: (r["l"], r["k"]))]
+
+
 class Model:
     """The languages' frozen trees as one state table. Its size follows from the sample's."""
 
@@ -201,6 +244,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
     return docs.mapInArrow(run, schema)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t) and has_letter(t)
+                                         for t in batch.column(where).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: Column | str, parts: int, part: int) -> Column:
     """Whether crc32 of the id's text has this remainder; a null id counts as the empty text."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col
