@@ -15,7 +15,10 @@ from tillcast.llm.exact_dedup import exact_dedup
 from tillcast.llm.langid import held_out, identify, train
 from tillcast.llm.line_dedup import line_dedup
 from tillcast.llm.secrets import secret_report
+from tillcast.llm.sharding import shard_documents
 from tillcast.llm.simhash import simhash_groups
+from tillcast.llm.spelling import spelling_variants, word_counts
+from tillcast.llm.whitening import whiten
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +107,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
@@ -115,10 +132,84 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 
+# crc32 in SQL: the table by its rule, and a fold over the UTF-8 bytes of ``{text}``.
+CRC_TABLE = """
+            SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i:
+                CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS tab
+            FROM (SELECT unnest(range(256)) AS b)"""
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+                string_split({text}, ''), lambda c: CASE
+                    WHEN c = '' THEN CAST([] AS BIGINT[])
+                    WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+                    WHEN ord(c) < 2048 THEN [192 | (ord(c) >> 6), 128 | (ord(c) & 63)]
+                    WHEN ord(c) < 65536 THEN
+                        [224 | (ord(c) >> 12), 128 | ((ord(c) >> 6) & 63), 128 | (ord(c) & 63)]
+                    ELSE [240 | (ord(c) >> 18), 128 | ((ord(c) >> 12) & 63),
+                          128 | ((ord(c) >> 6) & 63), 128 | (ord(c) & 63)] END))),
+                lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"""
+ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+# As many other single-byte characters, so that edits of bytes are edits of letters.
+STAND_INS = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) not in "'{}")[:64]
+
 ORACLE = {
+    "op11_spelling": f"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        runs AS (
+            SELECT CAST(doc_id AS VARCHAR) || ':' AS d, unnest(list_transform(regexp_extract_all(
+                coalesce(text, ''), '[A-Za-zÀ-ÿ]+'), lambda r: translate(
+                    r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS r
+            FROM documents),
+        kinds AS (SELECT d, r, count(*) AS n FROM runs GROUP BY d, r),
+        coded AS (SELECT r, n, {CRC32.format(text="d || r")} AS h FROM kinds, crc),
+        damaged AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2)
+                   ELSE r END AS word, n FROM coded),
+        words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n,
+                   translate(word, '{ACCENTED}', '{STAND_INS}') AS w
+            FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n
+            FROM words a JOIN words b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1
+            WHERE levenshtein(a.w, b.w) = 1),
+        best AS (
+            SELECT word, count(*) AS n_near, max(other_n) AS best_n,
+                   first(other ORDER BY other_n DESC, other) AS best
+            FROM near GROUP BY word),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN best_n >= 2 * n THEN best END AS form,
+                   CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+            FROM words LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL
+            SELECT chain.word, formed.form FROM chain JOIN formed ON chain.root = formed.word
+            WHERE formed.form IS NOT NULL),
+        ends AS (
+            SELECT chain.word, root FROM chain JOIN formed ON root = formed.word WHERE form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
+    "op13_sharding": f"""
+        WITH crc AS ({CRC_TABLE}),
+        sized AS (
+            SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                   CAST({CRC32.format(text="coalesce(text, '')")} AS BIGINT) AS text_crc32
+            FROM documents, crc),
+        placed AS (
+            SELECT *, sum(size) OVER (ORDER BY text_crc32, doc_id ROWS UNBOUNDED PRECEDING) - size AS below,
+                   sum(size) OVER () AS total FROM sized),
+        cut AS (
+            SELECT *, CAST((2 * below + size) * 4 // total AS INT) AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY text_crc32, doc_id) - 1 AS slot,
+               CAST(NULL AS INT) AS grown_shard
+        FROM cut""",
     "op2_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
