@@ -4,9 +4,9 @@ import random
 
 import public_tokenizers
 import pytest
+from text_help import SMALL
 from tokenizers import Tokenizer
 
-from conftest import SMALL
 from tillcast.llm import bpe
 from tillcast.llm.registry import QUERIES
 

@@ -3,8 +3,8 @@
 import hashlib
 
 import pytest
+from text_help import SMALL
 
-from conftest import SMALL
 from tillcast.llm import decontaminate, exact_dedup
 from tillcast.llm.line_dedup import line_dedup
 from tillcast.llm.registry import ORACLE, QUERIES

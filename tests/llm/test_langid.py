@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from conftest import SMALL
+from text_help import SMALL
 from tillcast.llm import langid
 from tillcast.llm.registry import QUERIES
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from conftest import SMALL
+from text_help import SMALL
 from tillcast.llm import pii, tagger
 from tillcast.llm.registry import QUERIES
 

@@ -7,9 +7,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from conftest import SMALL
+from __spark_entry__ import queries
+from text_help import SMALL
 from tillcast.llm import langid
-from tillcast.llm.registry import QUERIES
 from test_dedup_sql import plain_hits
 from test_simhash import classes, plain
 
@@ -42,7 +42,7 @@ def test_equals_plain_stages(spark):
     texts = {n: t for n, t in texts.items() if least[n] == n}
     texts = {n: t for n, t in texts.items() if not plain_hits(t, items)[1]}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = {r.doc_id: r for r in QUERIES["pipeline"](spark, SMALL).collect()}
+    got = {r.doc_id: r for r in queries()["pipeline"](spark, SMALL).collect()}
     assert got.keys() == texts.keys() and 0 < len(got) < len(docs)
     for n, text in texts.items():
         assert list(got[n].ids) == library.encode(text, add_special_tokens=False).ids

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from text_help import SMALL
 from tillcast.llm import secrets
 from tillcast.llm.registry import QUERIES
 

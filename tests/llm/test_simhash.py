@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from conftest import SMALL
+from text_help import SMALL
 from tillcast.llm import simhash
 from tillcast.llm.registry import QUERIES
 

@@ -11,8 +11,9 @@ Two neighbouring tokens stay apart unless, at some moment of the merging, the
 piece at the right edge of one and the piece at the left edge of the other
 have a merge that comes before each of them is merged further inside.
 
-Memory is bounded: output leaves in slices, the word cache is emptied at
-``CACHE`` words, and prefixes above ``LONG`` bytes keep their last token only.
+Memory is bounded: texts are read and output leaves in slices, the caches of
+words, token pairs and states are emptied at ``CACHE`` entries each, and prefixes
+above ``LONG`` bytes keep their last token only.
 
 Defined cases: a null text is the empty text; the special token's string in a
 text is the special token; repeated rows are encoded alike; an empty table
@@ -36,9 +37,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import ship
+from tillcast.llm.common import ship, text_slices
 
-CACHE, LONG, SLICE = 200_000, 512, 4_000_000
+CACHE, LONG = 100_000, 512
 
 # Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +58,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tables:
-    """Tokens and merges of a vocabulary file; a few MB whatever the data."""
+    """Tokens and merges of a vocabulary file in flat arrays; a few MB whatever the data."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -65,64 +66,78 @@ class Tables:
         letters = byte_letters()
         raw = {t: bytes(letters[c] for c in t) for t in stored["model"]["vocab"]}
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
-        self.by_bytes = {raw[t]: i for t, i in stored["model"]["vocab"].items()
-                         if t not in self.special}
-        self.bytes_of = {i: b for b, i in self.by_bytes.items()}
+        by_bytes = {raw[t]: i for t, i in stored["model"]["vocab"].items() if t not in self.special}
+        self.bytes_of = {i: b for b, i in by_bytes.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.merges, self.parts, self.rank = {}, {}, {}
+        count = max(self.bytes_of) + 1
+        # The merge that makes a token: its two parts and its rank.
+        self.parts = (array("i", [-1]) * count, array("i", [-1]) * count)
+        self.rank = array("i", [-1]) * count
+        self.merges: dict[int, int] = {}  # by left token << 20 | right token
         for rank, pair in enumerate(stored["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            a, b = self.by_bytes[raw[a]], self.by_bytes[raw[b]]
-            self.merges[a, b] = rank
-            whole = self.by_bytes[self.bytes_of[a] + self.bytes_of[b]]
-            if whole not in self.parts:
-                self.parts[whole], self.rank[whole] = (a, b), rank
-        self._join_tokens()
+            a, b = by_bytes[raw[a]], by_bytes[raw[b]]
+            self.merges[a << 20 | b] = rank
+            whole = by_bytes[self.bytes_of[a] + self.bytes_of[b]]
+            if self.rank[whole] < 0:
+                self.parts[0][whole], self.parts[1][whole], self.rank[whole] = a, b, rank
+        self._join_tokens(by_bytes)
         self.odd = _odd_characters()
 
-    def _join_tokens(self) -> None:
+    def _join_tokens(self, by_bytes: dict[bytes, int]) -> None:
         """One automaton over all tokens: after some bytes its state tells every token
-        that ends there, longest first."""
-        self.child: dict[int, int] = {}
-        own: list[tuple] = [()]
-        for raw, token in self.by_bytes.items():
-            state = 0
-            for byte in raw:
-                key = state << 8 | byte
-                if key not in self.child:
-                    self.child[key] = len(own)
-                    own.append(())
-                state = self.child[key]
-            own[state] = ((len(raw), token),)
-        self.fail, self.ends = [0] * len(own), own
-        below: dict[int, list[tuple[int, int]]] = {}
-        for key, state in self.child.items():
-            below.setdefault(key >> 8, []).append((key & 255, state))
-        level = [0]
+        that ends there, longest first.
+
+        States are numbered by length, then in byte order, so the children of a state follow
+        each other: its bytes are ``labels[first[state]:first[state + 1]]``, and the child
+        behind ``labels[i]`` is state ``i + 1``."""
+        level, labels = [b""], bytearray()
+        self.first, self.own, self.depth = array("i"), array("i"), array("i")
+        tokens, size = sorted(by_bytes), 0
         while level:
-            deeper = []
-            for state in level:
-                for byte, to in below.get(state, ()):
-                    if state:
-                        self.fail[to] = self.step(self.fail[state], byte)
-                        self.ends[to] = self.ends[to] + self.ends[self.fail[to]]
-                    deeper.append(to)
-            level = deeper
+            size += 1
+            tokens = [t for t in tokens if len(t) >= size]
+            below = sorted({t[:size] for t in tokens})
+            at = 0
+            for prefix in level:
+                self.own.append(by_bytes.get(prefix, -1))
+                self.depth.append(size - 1)
+                self.first.append(len(labels))
+                while at < len(below) and below[at].startswith(prefix):
+                    labels.append(below[at][-1])
+                    at += 1
+            level = below
+        self.first.append(len(labels))
+        self.labels = bytes(labels)
+        self.fail = array("i", [0]) * len(self.own)
+        for state in range(len(self.own)):
+            for i in range(self.first[state], self.first[state + 1]):
+                if state:
+                    self.fail[i + 1] = self.step(self.fail[state], self.labels[i])
 
     def step(self, state: int, byte: int) -> int:
         while True:
-            to = self.child.get(state << 8 | byte)
-            if to is not None:
-                return to
+            at = self.labels.find(byte, self.first[state], self.first[state + 1])
+            if at >= 0:
+                return at + 1
             if not state:
                 return 0
             state = self.fail[state]
 
+    def ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """Length and number of the tokens that end in a state, longest first."""
+        found = []
+        while state:
+            if self.own[state] >= 0:
+                found.append((self.depth[state], self.own[state]))
+            state = self.fail[state]
+        return tuple(found)
+
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Pieces at one edge of a token, each with the rank of the merge that ends it."""
         found, ends = [(token, float("inf"))], token
-        while ends in self.parts:
-            rank, ends = self.rank[ends], self.parts[ends][side]
+        while self.rank[ends] >= 0:
+            rank, ends = self.rank[ends], self.parts[side][ends]
             found.append((ends, rank))
         return found
 
@@ -155,10 +170,12 @@ class Coder:
         self.t = tables
         self.apart: dict[int, bool] = {}  # by left token << 20 | right token
         self.steps: dict[int, int] = {}
+        self.ends: dict[int, tuple] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.words: dict[str, bytes] = {}
-        self.packed = {i: i.to_bytes(4, sys.byteorder) for i in tables.bytes_of}
-        self.sizes = {i: len(b) for i, b in tables.bytes_of.items()}
+        count = max(tables.bytes_of) + 1
+        self.packed = [i.to_bytes(4, sys.byteorder) for i in range(count)]
+        self.sizes = array("i", [len(tables.bytes_of.get(i, b"")) for i in range(count)])
         self.latin = re.compile(LATIN_WORDS)
         self.any = regex.compile(WORDS)
         self.beyond = re.compile("[^\x00-ɏ]")
@@ -166,6 +183,14 @@ class Coder:
         self.specials = re.compile(
             "(" + "|".join(map(re.escape, tables.special)) + ")") if tables.special else None
 
+    def forget(self) -> None:
+        """Empties what has grown beyond its bound; all of it can be found again."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        for kept in (self.apart, self.steps, self.ends, *self.edges):
+            if len(kept) > CACHE:
+                kept.clear()
+
     def stay_apart(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
         for token, side in ((left, 1), (right, 0)):
@@ -173,7 +198,7 @@ class Coder:
                 self.edges[side][token] = self.t.edge(token, side)
         merges = self.t.merges.get
         found = self.apart[pair] = all(
-            (q := merges((a, b))) is None or q >= ends_a or q > ends_b
+            (q := merges(a << 20 | b)) is None or q >= ends_a or q > ends_b
             for a, ends_a in self.edges[1][left] for b, ends_b in self.edges[0][right])
         return found
 
@@ -185,7 +210,7 @@ class Coder:
         node, with the last token and the encoding of each prefix on it. A word
         starts where its path leaves that of the word before.
         """
-        packed, apart, ends, steps = self.packed, self.apart, self.t.ends, self.steps
+        packed, apart, ends, steps = self.packed, self.apart, self.ends, self.steps
         last, codes, states, before = [-1], [b""], [0], b""
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared = 0
@@ -200,7 +225,10 @@ class Coder:
                 state = steps.get(key)
                 if state is None:
                     state = steps[key] = self.t.step(key >> 8, key & 255)
-                for size, token in ends[state]:
+                known = ends.get(state)
+                if known is None:
+                    known = ends[state] = self.t.ends(state)
+                for size, token in known:
                     if size == n:
                         break
                     pair = last[n - size] << 20 | token
@@ -239,8 +267,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts, new = [], set()
-        if len(self.words) > CACHE:
-            self.words.clear()
+        self.forget()
         for text in texts:
             parts = self.specials.split(text) if self.specials else [text]
             words = []
@@ -258,19 +285,6 @@ class Coder:
         return b"".join(map(self.t.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """The texts of a batch in slices of bounded size, with the place of the first."""
-    at, texts, size = 0, [], 0
-    for i, value in enumerate(column):
-        texts.append(value.as_py() or "")
-        size += len(texts[-1])
-        if size >= SLICE:
-            yield at, texts
-            at, texts, size = i + 1, [], 0
-    if texts:
-        yield at, texts
-
-
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``id, ids, decoded``: token ids of the whole text, and the text decoded from them."""
@@ -280,7 +294,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            for at, texts in _slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1)):
                 found = coder.encode(texts)
                 ends = np.cumsum([0, *map(len, found)])
                 ids = pa.ListArray.from_arrays(

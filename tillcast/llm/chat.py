@@ -25,13 +25,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillcast.llm.common import ship, whole, written
+from tillcast.llm.common import ship, whole, with_key_facts, written
 
 ROLE, TEXT, END = "<s>[INST]", "[/INST]", "</s>"
 _ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;")]
+RANGE = 1024  # turns that are numbered, or become one string, together
 _TURN = re.compile(r"<s>\[INST\]([^<\[]*)\[/INST\]([^<\[]*)</s>")
 
 
@@ -41,6 +43,19 @@ def escape(text: str) -> str:
     return text
 
 
+def escaped(text: str) -> Column:
+    """``escape`` of a column."""
+    out = F.col(text)
+    for sign, name in _ESCAPES:
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def joined(pieces: Column) -> Column:
+    """The strings ``s`` of ordered structs as one."""
+    return F.array_join(F.transform(pieces, lambda p: p["s"]), "")
+
+
 def unescape(text: str) -> str:
     for sign, name in reversed(_ESCAPES):
         text = text.replace(name, sign)
@@ -77,11 +92,23 @@ def masked_text(formatted: str, mask: list[tuple[int, int]]) -> str:
 
 def linear(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role",
            text: str = "text") -> DataFrame:
-    """Messages of unbranched conversations: each turn replies to the one before it."""
-    order = Window.partitionBy("_tree").orderBy("_turn", "role", "text")
+    """Messages of unbranched conversations: each turn replies to the one before it.
+
+    Turns are numbered inside ranges of turn values, and the ranges' counts add up, so that no
+    task sorts the whole of a long conversation."""
     rows = turns.select(F.col(tree).cast("long").alias("_tree"), F.col(turn).alias("_turn"),
                         whole(role).alias("role"), whole(text).alias("text"))
-    numbered = rows.withColumn("_id", F.row_number().over(order).cast("long"))
+    whole_number = isinstance(rows.schema["_turn"].dataType, T.IntegralType)
+    rows = rows.withColumn("_range", F.floor(F.col("_turn") / RANGE) if whole_number
+                           else F.lit(0).cast("long"))
+    order = Window.partitionBy("_tree", "_range").orderBy("_turn", "role", "text")
+    before = Window.partitionBy("_tree").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_tree", "_range").count().select(
+        F.col("_tree").alias("_t"), F.col("_range").alias("_r"),
+        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.withColumn("_place", F.row_number().over(order)).join(
+        starts, F.col("_tree").eqNullSafe(F.col("_t")) & F.col("_range").eqNullSafe(F.col("_r")))
+    numbered = numbered.withColumn("_id", F.col("_start") + F.col("_place"))
     return numbered.select("_tree", "_id", F.when(F.col("_id") > 1, F.col("_id") - 1).alias("_parent"),
                            "role", "text", F.lit(0.0).alias("_score"))
 
@@ -98,7 +125,10 @@ def messages(rows: DataFrame, tree: str, number: str, parent: str, role: str, te
 
 def paths(said: DataFrame) -> DataFrame:
     """``(_tree, _leaf, _id, _up)``: the messages of every root-to-leaf path, with their
-    distance from the leaf."""
+    distance from the leaf.
+
+    A round's one join takes both the paths found so far and the replies themselves further up,
+    and is written once."""
     nodes = said.select("_tree", "_id", "_parent").dropDuplicates(["_tree", "_id"])
     known = nodes.select("_tree", F.col("_id").alias("_parent"))
     same = [F.col("a._tree").eqNullSafe(F.col("b._tree"))]
@@ -113,11 +143,14 @@ def paths(said: DataFrame) -> DataFrame:
     most = nodes.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0
     reach = 1
     while reach <= most and not up.isEmpty():
-        more = steps.alias("a").join(up.alias("b"), [*same, F.col("a._id") == F.col("b._id")]).select(
-            "a._tree", "a._leaf", F.col("b._to").alias("_id"), (F.col("a._up") + reach).alias("_up"))
-        steps = written(steps.unionByName(more), "paths")
-        up = written(up.alias("a").join(up.alias("b"), [*same, F.col("a._to") == F.col("b._id")])
-                     .select("a._tree", "a._id", "b._to"), "replies")
+        ahead = steps.select("_tree", "_leaf", "_up", F.col("_id").alias("_at")).unionByName(
+            up.select("_tree", F.col("_id").alias("_leaf"), F.lit(-1).cast("long").alias("_up"),
+                      F.col("_to").alias("_at")))
+        moved = written(ahead.alias("a").join(up.alias("b"), [*same, F.col("a._at") == F.col("b._id")])
+                        .select("a._tree", "a._leaf", F.col("b._to").alias("_id"), "a._up"), "moved")
+        steps = steps.unionByName(moved.where("_up >= 0").withColumn("_up", F.col("_up") + reach))
+        up = moved.where("_up < 0").select("_tree", F.col("_leaf").alias("_id"),
+                                           F.col("_id").alias("_to"))
         reach *= 2
     if not up.isEmpty():  # only a circle is longer than its tree has messages
         rooted = steps.alias("a").join(roots.alias("b"), [
@@ -144,51 +177,63 @@ def ranked(said: DataFrame, found: DataFrame, best: int | None = 1) -> DataFrame
 
 
 def conversations(said: DataFrame, best: int | None = 1) -> DataFrame:
-    """``conv_id, leaf, rank, formatted, mask``: each chosen path as one conversation."""
-    said = written(said, "messages")
-    found = paths(said)
-    chosen = ranked(said, found, best)
-    texts = said.dropDuplicates(["_tree", "_id"]).select("_tree", "_id", "role", "text")
-    turns = (chosen.alias("a").join(found.alias("b"), [
-        F.col("a._tree").eqNullSafe(F.col("b._tree")), F.col("a._leaf") == F.col("b._leaf")])
-        .select("a._tree", "a._leaf", "a.rank", "b._id", "b._up").alias("c")
-        .join(texts.alias("d"), [F.col("c._tree").eqNullSafe(F.col("d._tree")),
-                                 F.col("c._id") == F.col("d._id")])
-        .select("c._tree", "c._leaf", "c.rank", F.struct(
-            (-F.col("c._up")).alias("at"), "d.role", "d.text").alias("t")))
-    whole_paths = turns.groupBy("_tree", "_leaf", "rank").agg(
-        F.array_sort(F.collect_list("t")).alias("turns"))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [format_turns([(t["role"], t["text"]) for t in turns.as_py()])
-                    for turns in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.array([m[0] for m in made], pa.string()),
-                 pa.array([[{"start": s, "end": e} for s, e in m[1]] for m in made], span)],
-                ["conv_id", "leaf", "rank", "formatted", "mask"])
+    """``conv_id, leaf, rank, formatted, mask``: each chosen path as one conversation.
 
-    return whole_paths.mapInArrow(
-        run, "conv_id long, leaf long, rank int, formatted string, "
-             "mask array<struct<start:long,end:long>>")
+    Turns are escaped while they are rows. Stretches of ``RANGE`` turns become a string each,
+    with the mask inside them, and only those strings meet in the conversation's row."""
+    said = written(said, "messages")
+    found = written(paths(said), "found").withColumn("_path", F.struct("_tree", "_leaf"))
+    chosen = ranked(said, found.drop("_path"), best).select(
+        F.struct("_tree", "_leaf").alias("_path"), "rank")
+    texts = said.dropDuplicates(["_tree", "_id"]).select(
+        "_tree", "_id", F.concat(F.lit(ROLE), escaped("role"), F.lit(TEXT)).alias("head"),
+        escaped("text").alias("body"), (F.col("role") == "assistant").alias("learnt"))
+    turns = (with_key_facts(found, "_path", "_id", chosen).alias("c")
+             .join(texts.alias("d"), [F.col("c._tree").eqNullSafe(F.col("d._tree")),
+                                      F.col("c._id") == F.col("d._id")])
+             .select("c._tree", "c._leaf", "c.rank", (-F.col("c._up")).alias("at"),
+                     (-F.floor(F.col("c._up") / RANGE)).alias("part"), "d.head", "d.body", "d.learnt"))
+    size, tail = F.char_length("head") + F.char_length("body") + len(END), len(END)
+    so_far = Window.partitionBy("_tree", "_leaf", "part").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, 0)
+    placed = turns.withColumn("stop", F.sum(size).over(so_far))
+    parts = placed.groupBy("_tree", "_leaf", "part", "rank").agg(
+        joined(F.array_sort(F.collect_list(F.struct(
+            "at", F.concat("head", "body", F.lit(END)).alias("s"))))).alias("s"),
+        F.array_sort(F.collect_list(F.when(F.col("learnt"), F.struct(
+            (F.col("stop") - tail - F.char_length("body")).alias("start"),
+            (F.col("stop") - tail).alias("end"))))).alias("mask"), F.max("stop").alias("size"))
+    earlier = Window.partitionBy("_tree", "_leaf").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    moved = F.transform("mask", lambda m: F.struct(
+        (m["start"] + F.col("start")).alias("start"), (m["end"] + F.col("start")).alias("end")))
+    return parts.groupBy("_tree", "_leaf", "rank").agg(
+        joined(F.array_sort(F.collect_list(F.struct("part", "s")))).alias("formatted"),
+        F.array_sort(F.flatten(F.collect_list(moved))).alias("mask")).select(
+        F.col("_tree").alias("conv_id"), F.col("_leaf").alias("leaf"), "rank", "formatted", "mask")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id, turns, loss_text, formatted_chars``, from the formatted strings alone."""
-    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    """``conv_id, turns, loss_text, formatted_chars``, from the formatted strings alone, one
+    conversation at a time."""
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, masks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            turns = [[{"role": r, "text": t} for r, t in read_turns(x)] for x in texts]
-            losses = [masked_text(x, [(m["start"], m["end"]) for m in mask])
-                      for x, mask in zip(texts, masks, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(turns, turn), pa.array(losses, pa.string()),
-                 pa.array([len(x) for x in texts], pa.int64())],
-                ["conv_id", "turns", "loss_text", "formatted_chars"])
+            for at in range(batch.num_rows):
+                text, mask = batch.column(1)[at].as_py(), batch.column(2)[at].values
+                turns = read_turns(text)
+                said = pa.StructArray.from_arrays(
+                    [pa.array([t[side] for t in turns], pa.string()) for side in (0, 1)],
+                    names=["role", "text"])
+                ranges = zip(mask.field("start").to_pylist(), mask.field("end").to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 1),
+                     pa.ListArray.from_arrays(pa.array([0, len(turns)], pa.int32()), said).cast(kind),
+                     pa.array([masked_text(text, list(ranges))], pa.string()),
+                     pa.array([len(text)], pa.int64())],
+                    ["conv_id", "turns", "loss_text", "formatted_chars"])
 
     return formatted.select("conv_id", "formatted", "mask").mapInArrow(
         run, "conv_id long, turns array<struct<role:string,text:string>>, loss_text string, "

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tillcast.session import scratch_path
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SALTS = 64
+SLICE = 1 << 20  # characters of text that a Python task holds as strings at a time
 
 
 def ship(module_name: str) -> None:
@@ -34,6 +37,20 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch, null as empty, in slices of about ``SLICE`` characters, with the
+    place of the first."""
+    at, texts, size = 0, [], 0
+    for i, value in enumerate(column):
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= SLICE:
+            yield at, texts
+            at, texts, size = i + 1, [], 0
+    if texts:
+        yield at, texts
+
+
 def whole(text: Column | str) -> Column:
     """The text with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -88,3 +105,6 @@ def with_key_facts(rows: DataFrame, key: str, spread: str, facts: DataFrame) ->
     back = used.withColumnsRenamed({key: "_key", "_salt": "_s"})
     on = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_s"))
     return salted.join(back, on).drop("_key", "_s", "_salt")
+
+
+ship(__name__)

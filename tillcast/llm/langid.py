@@ -9,7 +9,9 @@ exact sum of -log2 of those probabilities over all of its bytes.
 
 A context can only be the last ``ORDER`` bytes, so the trees of all languages
 become one table: a state per context that any of them knows, and per state
-and byte the next state and each language's bits. Texts are scored many
+and byte the next state and each language's bits. A context of two or more bytes
+is a state if some language's sample has it at least ``LEAST_SEEN`` times; rarer
+ones leave their bytes to the shorter context. Texts are scored many
 stretches at a time, each after ``ORDER`` bytes of run-up, whatever their length.
 
 Training sample: per language at most ``SAMPLE_ROWS`` whole texts, those of at
@@ -35,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import ship
+from tillcast.llm.common import ship, text_slices
 
 UNKNOWN = "und"
 ORDER = 4
 LEAST_SEEN = 16  # occurrences that make a context of two or more bytes a state
 # Bound of the training sample: rows per language, and their mean number of code points.
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 4000
-STRETCH, LANES = 512, 4096
+STRETCH, LANES = 256, 4096
 EVIDENCE = 48.0  # bytes at the mean rate that the score weighs at most
 
 
@@ -235,11 +237,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            names, scores = shared.value.predict(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
-                schema.fieldNames())
+            for at, texts in text_slices(batch.column(where)):
+                names, scores = shared.value.predict(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(at, len(texts)).columns, pa.array(names, pa.string()),
+                     pa.array(scores)], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -250,8 +252,8 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(t) and has_letter(t)
-                                         for t in batch.column(where).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([has_letter(t) for _, texts in text_slices(
+                batch.column(where)) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

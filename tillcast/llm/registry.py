@@ -6,7 +6,6 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tillcast.llm import chat, pii, quality
 from tillcast.llm.bpe import encode
 from tillcast.llm.common import table, whole
@@ -135,7 +134,6 @@ QUERIES = {
     "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
     "op13_sharding": op13_sharding,
-    "pipeline": corpus_pipeline.run,
 }
 
 # crc32 in SQL: the table by its rule, and a fold over the UTF-8 bytes of ``{text}``.
@@ -287,6 +285,3 @@ ORACLE = {
             FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM g""",
 }
-
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
