@@ -2,14 +2,13 @@ import os
 import sys
 
 import pytest
+from retail_help import SMALL
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tillcast.session import build_session  # noqa: E402
 from tillcast.sources.tables import RetailTables  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -27,9 +26,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def tables(spark):
     return RetailTables(spark, SMALL, grain="brand")
-
-
-def rows(frame, *order):
-    """Collected rows as dicts, in the given order."""
-    found = [r.asDict(recursive=True) for r in frame.collect()]
-    return sorted(found, key=lambda r: tuple(str(r[c]) for c in order)) if order else found

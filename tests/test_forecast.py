@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from retail_help import rows
 
 from tillcast.operators import features, forecast
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from conftest import SMALL
+from retail_help import SMALL
 from tillcast.plans.oracle import ORACLE
 from tillcast.plans.queries import QUERIES
 from tools.check import compare, connect

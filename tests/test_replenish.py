@@ -1,6 +1,6 @@
 """Reorder chain: a checked five-row example and the branches it does not reach."""
 
-from conftest import rows
+from retail_help import rows
 from pyspark.sql import functions as F
 
 from tillcast.operators import planning, replenish

@@ -4,7 +4,7 @@ import datetime as dt
 import hashlib
 
 import pytest
-from conftest import rows
+from retail_help import rows
 from pyspark.sql import functions as F
 
 from tillcast.operators import channels, quality, returns, sales

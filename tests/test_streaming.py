@@ -1,10 +1,13 @@
 """Streams equal the batch result; late rows and repeats are dropped."""
 
 import datetime as dt
+import random
 
-from conftest import rows
+from pyspark.sql import functions as F
+from retail_help import rows
 
-from tillcast.streaming import jobs
+from tillcast.operators.planning import LOCATION, closing_stock_movement
+from tillcast.streaming import ingest, jobs, stock
 
 EVENTS = "ts timestamp, key string, n long, value double"
 
@@ -73,3 +76,74 @@ def test_open_days_complete_the_daily_totals(spark, tmp_path):
     got = rows(jobs.with_open_days(final, arrived, "ts", ["key"], "n", "value"), "Date", "key")
     assert [(r["Date"].day, r["key"], r["Quantity"]) for r in got] == [
         (1, "a", 1), (1, "b", 2), (3, "a", 1), (6, "a", 1)]
+
+
+# -- checked ingest -----------------------------------------------------------------
+
+RAW = "Date string, SKU string, Quantity string, Amount string"
+COLS = ["Date", "SKU", "Quantity", "Amount"]
+
+
+def _ingest(spark, source, base):
+    stream = jobs.read_stream(spark, source, RAW, files_per_trigger=1)
+    ingest.ingest_checked(stream, f"{base}/data", f"{base}/checkpoint").awaitTermination()
+    counted = rows(ingest.arrivals(spark, f"{base}/data", COLS), "batch")
+    return counted, rows(ingest.accepted(spark, f"{base}/data", COLS), "SKU"), rows(
+        ingest.rejected(spark, f"{base}/data", COLS), "raw")
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    source, base = str(tmp_path / "in"), str(tmp_path)
+    for good, bad in ((3, 1), (0, 2), (2, 0)):
+        made = [("2024-01-01", f"S{i}", "1", "2.5") for i in range(good)]
+        made += [("never", f"S{i}", "1", "2.5") for i in range(bad)]
+        spark.createDataFrame(made, RAW).coalesce(1).write.mode("append").parquet(source)
+    counted, sound, refused = _ingest(spark, source, base)
+    assert sum(c["arrived"] for c in counted) == 8 == len(sound) + len(refused)
+    assert all(c["arrived"] == c["stored"] + c["rejected"] for c in counted) and len(refused) == 3
+    # The last batch was written, but the run died before it was marked as done.
+    last = max(int(p.name) for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    assert _ingest(spark, source, base) == (counted, sound, refused)
+    spark.createDataFrame([("2024-01-02", "T", "-1", "1")], RAW).write.mode("append").parquet(source)
+    again = _ingest(spark, source, base)
+    assert again[1] == sound and len(again[2]) == 4
+
+
+# -- stock ----------------------------------------------------------------------------
+
+SNAPSHOTS = "channel string, godown string, sku string, Date date, closing_qty long"
+
+
+def _stock(spark, folder, base):
+    stream = jobs.read_stream(spark, f"{folder}/*", SNAPSHOTS, files_per_trigger=1)
+    closed = stock.closing_stock_stream(stream.withColumn("at", F.col("Date").cast("timestamp")), "at", "20 days")
+    jobs.run_to_table(closed, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(stock.OUTPUT).parquet(f"{base}/out")
+
+
+def test_stock_equals_batch_for_any_order_and_restart(spark, tmp_path):
+    """Rows of three locations and 25 days in files of mixed order, in one run or in several."""
+    pick = random.Random(3)
+    made = [("F", g, s, dt.date(2024, 1, 1 + d), pick.randint(1, 9)) for d in range(0, 25, 1)
+            for g in ("north", "south") for s in ("A", "B") if pick.random() < 0.7]
+    made += made[::5]  # units of one day from more than one file add up
+    parts = [[r for r in made if r[3].day <= 9], [r for r in made if 6 <= r[3].day and r[3].day > 9 and r[3].day < 18],
+             [r for r in made if r[3].day >= 18]]
+    for turn, order in enumerate(((0, 1, 2), (1, 0, 2))):
+        base, folder = tmp_path / f"run{turn}", tmp_path / f"in{turn}"
+        for n, i in enumerate(order):
+            mixed = parts[i][:]
+            pick.shuffle(mixed)
+            spark.createDataFrame(mixed, SNAPSHOTS).coalesce(1).write.parquet(f"{folder}/{n}")
+            if turn == 1:  # a run per file, each from the state that the one before left
+                _stock(spark, folder, base)
+        closed = _stock(spark, folder, base)
+        whole = spark.createDataFrame(made, SNAPSHOTS).groupBy(*LOCATION, "Date").agg(
+            F.sum("closing_qty").alias("closing_qty"))
+        keys = [*LOCATION, "Date"]
+        want = rows(closing_stock_movement(whole).select(*closed.columns), *keys)
+        done = rows(closed, *keys)
+        assert 0 < len(done) < len(want) and all(r in want for r in done)
+        assert rows(stock.with_open_stock(closed, whole), *keys) == want

@@ -421,12 +421,12 @@ def backtest(monthly: DataFrame, folds: int | None = 6, window: int = 3,
     return tested if folds is None else tested.where(F.col("fold") <= folds)
 
 
-def backtest_metrics(tested: DataFrame) -> DataFrame:
-    """MAE, RMSE, MAPE, R² and direction accuracy over all tested rows."""
+def backtest_metrics(tested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """MAE, RMSE, MAPE, R² and direction accuracy over all tested rows, or per value of ``by``."""
     a, p, prev = F.col("actual"), F.col("predicted"), F.col("previous")
     error = p - a
     same_way = F.signum(a - prev) == F.signum(p - prev)
-    sums = tested.agg(
+    sums = tested.groupBy(*by).agg(
         F.count("*").alias("tests"), F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         (F.avg(safe_div(F.abs(error), F.abs(a))) * 100).alias("mape"),
@@ -434,7 +434,7 @@ def backtest_metrics(tested: DataFrame) -> DataFrame:
         (F.avg(F.when(prev.isNotNull(), same_way.cast("double"))) * 100)
         .alias("direction_accuracy"))
     fit = 1 - safe_div("sse", F.col("spread") * F.col("tests"))
-    return sums.select("tests", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"),
+    return sums.select(*by, "tests", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"),
                        F.round("mape", 4).alias("mape"), F.round(fit, 6).alias("r2"),
                        F.round("direction_accuracy", 4).alias("direction_accuracy"))
 

@@ -8,13 +8,13 @@ building; no SKU's data is gathered.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,7 +23,7 @@ from tillcast.functions.frames import top_by
 from tillcast.functions.numeric import safe_div
 from tillcast.operators.features import (LAGS, WINDOWS, monthly_features, restart_features,
                                          with_patterns)
-from tillcast.operators.forecast import accuracy_metrics, holdout_tail
+from tillcast.operators.forecast import accuracy_metrics, backtest_metrics, holdout_tail
 
 DAILY_COLUMNS = (
     ["Year", "Month", "DayOfWeek", "DayOfMonth", "WeekOfYear"]
@@ -217,6 +217,78 @@ def regression_quality(tested: DataFrame) -> dict[str, float]:
     return {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("mae", "rmse", "r2")}
 
 
+# -- rolling origin -----------------------------------------------------------------
+
+ORIGIN_INPUTS = ["lag_1", "lag_2", "lag_3", "lag_12", "mean_3", "mean_6", "level", "season",
+                 "Month_Sin", "Month_Cos", "months_before"]
+
+
+def origin_table(monthly: DataFrame) -> DataFrame:
+    """Per SKU and month what was known before the month began, and the month's units.
+
+    Every input looks at earlier rows of the SKU only, so one table serves all origins: a model
+    for a cutoff trains on the rows before it, and no row knows more than its own past."""
+    by_month = Window.partitionBy("SKU").orderBy("Date")
+    past = by_month.rowsBetween(Window.unboundedPreceding, -1)
+    same_month = Window.partitionBy("SKU", "Month").orderBy("Date").rowsBetween(
+        Window.unboundedPreceding, -1)
+
+    def mean_of_last(n: int) -> Column:
+        return F.avg("Quantity").over(by_month.rowsBetween(-n, -1))
+
+    level = F.avg("Quantity").over(past)
+    known = monthly.select("SKU", "Date", "Month", F.col("Quantity").cast("double").alias("actual"),
+                           F.col("Quantity").cast("double").alias("Quantity")).withColumns({
+        **{f"lag_{k}": F.lag("Quantity", k).over(by_month) for k in (1, 2, 3, 12)},
+        "mean_3": mean_of_last(3), "mean_6": mean_of_last(6), "level": level,
+        "season": F.avg("Quantity").over(same_month),
+        "months_before": F.count("*").over(past).cast("double"),
+        "Month_Sin": month_sin(), "Month_Cos": month_cos()})
+    filled = {c: F.coalesce(F.col(c), F.col("level")) for c in ORIGIN_INPUTS if c.startswith("lag")}
+    return (known.where("months_before > 0").withColumns(filled)
+            .withColumn("season", F.coalesce("season", "level"))
+            .withColumn("label", F.col("actual")).drop("Quantity"))
+
+
+def origins(table: DataFrame, last: int = 6) -> list:
+    """The last months of the table, each of which becomes a cutoff."""
+    months = table.select("Date").distinct().orderBy(F.desc("Date")).limit(last).collect()
+    return sorted(r["Date"] for r in months)
+
+
+def rolling_origin(table: DataFrame, cutoffs: Sequence, trees: int = 40, depth: int = 8,
+                   min_leaf: int = 5, fit: Callable | None = None) -> DataFrame:
+    """``cutoff, SKU, actual, predicted, average, previous``: each cutoff's month as forecast by a
+    model that was fitted to the months before it, next to the mean of the three months before.
+
+    ``table`` is read once for each cutoff; write it first. ``fit`` takes the training rows and
+    gives a model with ``raw_prediction``; a forest by default."""
+    def fitted(train: DataFrame) -> PipelineModel:
+        return _fit(_pipeline(ORIGIN_INPUTS, forest(trees, depth, min_leaf, "onethird")), train,
+                    ORIGIN_INPUTS)
+
+    found = None
+    for cutoff in cutoffs:
+        before = F.col("Date") < F.lit(cutoff)
+        model = (fit or fitted)(table.where(before))
+        month = _score(model, table.where(F.col("Date") == F.lit(cutoff))).select(
+            F.lit(cutoff).alias("cutoff"), "SKU", "actual", "predicted",
+            F.col("mean_3").alias("average"), F.col("lag_1").alias("previous"))
+        found = month if found is None else found.unionByName(month)
+    return found
+
+
+def origin_metrics(tested: DataFrame) -> DataFrame:
+    """Errors of model and moving average per cutoff and over all (``cutoff`` null)."""
+    whole = tested.withColumn("cutoff", F.lit(None).cast("date"))
+    rows = tested.unionByName(whole)
+    model = backtest_metrics(rows, ["cutoff"])
+    plain = backtest_metrics(rows.withColumn("predicted", F.col("average")), ["cutoff"])
+    plain = plain.select(*[F.col(c).alias(f"average_{c}") for c in plain.columns])
+    same = model["cutoff"].eqNullSafe(plain["average_cutoff"])
+    return model.join(plain, same).drop("average_cutoff", "average_tests")
+
+
 # -- ensemble ---------------------------------------------------------------------
 
 # Weights of the three models.

@@ -351,6 +351,16 @@ _add("save_tables", """
 SELECT 'sales_data' AS table_name, COUNT(*) AS rows FROM lineitem
 UNION ALL SELECT 'sku_master', COUNT(*) FROM sku_master
 UNION ALL SELECT 'moq_leadtime', COUNT(*) FROM moq_terms""", "sku_master", "moq_terms")
+_UPLOADS = """
+SELECT CAST({number} AS INTEGER) AS version, CAST({uploads} AS INTEGER) AS uploads, COUNT(*) AS rows,
+       {total} AS quantity, COUNT(DISTINCT SKU) AS skus FROM sales WHERE {when}"""
+_add("versioned_uploads", " UNION ALL ".join(
+    _UPLOADS.format(number=n, uploads=min(n, 3), total=total(), when=when) for n, when in enumerate(
+        ('"Date" < DATE \'1997-01-01\'', f'"Date" < {RECENT}', "true", "true"), 1)), "sales")
+_add("dedupe_loads", f"""
+SELECT {YEAR} AS "Year", COUNT(*) AS rows, COUNT(DISTINCT Orderid) AS orders,
+       COUNT(DISTINCT SKU) AS skus
+FROM (SELECT DISTINCT Orderid, SKU, Statefrom, "Date" FROM p_sales) GROUP BY 1""", "p_sales")
 _add("export_schedule_csv", "SELECT * FROM schedule", "schedule")
 
 _cte("comprehensive", f"""
@@ -424,6 +434,9 @@ _add("ingest_sales", f"SELECT COUNT(*) AS records_processed, COUNT(*) AS stored_
                      f"{total()} AS quantity FROM sales", "sales")
 _add("ingest_sku_master", "SELECT COUNT(*) AS skus_processed, COUNT(*) AS stored_rows "
                           "FROM sku_master", "sku_master")
+_add("pattern_fold", f"""
+SELECT SKU, month, factor, {rd('yoy', 8)} AS yoy FROM seasonal LEFT JOIN yoy USING (SKU)""",
+     "seasonal", "yoy")
 _add("pattern_cache", """
 SELECT COUNT(*) AS factors, COUNT(DISTINCT SKU) AS total_skus,
        (SELECT COUNT(*) FROM yoy) AS yoy_skus FROM seasonal""", "seasonal", "yoy")
@@ -917,7 +930,7 @@ GROUP BY ALL"""
 
 _SIMPLE = "CASE WHEN months >= 2 THEN GREATEST(0, recent_mean * 1.1::DOUBLE) ELSE row_mean END"
 _TWO = "CASE WHEN months >= 6 THEN 'high' WHEN months >= 2 THEN 'medium' ELSE 'low' END"
-_cte("p_recent_months", _recent_months("SKU", "p_recent"), "p_recent")
+_cte("p_all_months", _recent_months("SKU", "p_sales"), "p_sales")
 _cte("all_months", _recent_months("SKU", "sales"), "sales")
 _cte("channel_months", _recent_months("SKU, Partyname", "sales"), "sales")
 _cte("location_months", _recent_months("SKU, Partyname, Godown", "sales"), "sales")
@@ -928,7 +941,7 @@ SELECT a.sku AS SKU, COALESCE({_SIMPLE}, 0) AS predicted_quantity,
        CASE WHEN months IS NULL THEN 'discontinued' ELSE 'active' END AS status
 FROM (SELECT CAST(p_partkey AS VARCHAR) AS sku FROM part
       UNION SELECT p_brand FROM part) a
-LEFT JOIN p_recent_months m ON a.sku = m.SKU""", "p_recent_months")
+LEFT JOIN p_all_months m ON a.sku = m.SKU""", "p_all_months")
 _add("top5_monthly_predict", f"""
 SELECT SKU AS sku, total_quantity, {rd(_SIMPLE, 1)} AS predicted_quantity, {_TWO} AS confidence,
        'active' AS status FROM all_months ORDER BY total_quantity DESC, SKU LIMIT 5""",
@@ -1304,6 +1317,17 @@ LEFT JOIN (SELECT sku, CASE WHEN return_rate > 100 THEN 'critical' WHEN return_r
 
 _add("stream_ingest_sales", f"SELECT {MONTH} AS \"Month\", COUNT(*) AS rows, {total()} AS "
                             f"quantity FROM sales GROUP BY 1", "sales")
+_add("stream_ingest_checked", f"""
+SELECT reasons, COUNT(*) AS rows,
+       CASE WHEN reasons = '' THEN {big('SUM(l_quantity)')} END AS quantity
+FROM (SELECT l_quantity, array_to_string(list_filter([
+          CASE WHEN l_partkey % 5 = 0 THEN 'missing Amount' END,
+          CASE WHEN l_tax = 0 THEN 'bad Date' END,
+          CASE WHEN l_discount = 0 THEN 'bad Quantity' END,
+          CASE WHEN l_partkey % 7 = 0 THEN 'bad SKU' END,
+          CASE WHEN l_discount <> 0 AND l_returnflag = 'R' THEN 'negative Quantity' END],
+          lambda x: x IS NOT NULL), ', ') AS reasons
+      FROM lineitem) GROUP BY 1""")
 _add("stream_dedupe", "SELECT event_type, COUNT(*) AS events, COUNT(DISTINCT event_id) AS "
                       "distinct_events FROM events GROUP BY 1")
 _add("stream_daily_sales", f"""
@@ -1345,6 +1369,7 @@ _add("closing_stock", "SELECT * FROM latest_stock", "latest_stock")
 _add("closing_stock_movement", """
 SELECT *, closing_qty - lag(closing_qty) OVER (PARTITION BY channel, godown, sku ORDER BY "Date")
          AS movement FROM snapshots""", "snapshots")
+ORACLE["closing_stock_stream"] = ORACLE["closing_stock_movement"]
 _add("resolve_godown", f"""
 SELECT Godown AS "GodownName", COUNT(*) AS rows, COUNT(DISTINCT Flag) AS spellings,
        {total()} AS quantity FROM sales GROUP BY 1""", "sales")
@@ -1413,6 +1438,23 @@ SELECT COUNT(*) AS tests, {rd('avg(abs(predicted - actual))', 4)} AS mae,
        {rd('avg(CASE WHEN previous IS NOT NULL THEN CAST(sign(actual - previous) = '
            'sign(predicted - previous) AS INTEGER) END) * 100', 4)} AS direction_accuracy
 FROM walk WHERE fold <= 6""", "walk")
+_cte("origins", """
+SELECT SKU, "Date" AS cutoff, CAST(Quantity AS DOUBLE) AS actual,
+       avg(Quantity) OVER (PARTITION BY SKU ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
+         AS predicted,
+       lag(Quantity) OVER (PARTITION BY SKU ORDER BY "Date") AS previous FROM monthly""", "monthly")
+_add("rolling_backtest", f"""
+SELECT cutoff, COUNT(*) AS tests, {rd('avg(abs(predicted - actual))', 4)} AS average_mae,
+       {rd('sqrt(avg((predicted - actual) * (predicted - actual)))', 4)} AS average_rmse,
+       {rd('avg(abs(predicted - actual) / NULLIF(abs(actual), 0)) * 100', 4)} AS average_mape,
+       {rd('1 - SUM((predicted - actual) * (predicted - actual)) / (var_pop(actual) * COUNT(*))',
+           6)} AS average_r2,
+       {rd('avg(CAST(sign(actual - previous) = sign(predicted - previous) AS INTEGER)) * 100', 4)}
+         AS average_direction_accuracy,
+       true AS mae_below_average, true AS rmse_below_average, true AS r2_above_average
+FROM origins WHERE previous IS NOT NULL
+  AND cutoff IN (SELECT DISTINCT cutoff FROM origins WHERE previous IS NOT NULL ORDER BY 1 DESC LIMIT 6)
+GROUP BY ROLLUP (cutoff)""", "origins")
 
 
 def _festival(a: int, b: int) -> str:

@@ -13,9 +13,9 @@ from tillcast.operators import (channels, features, forecast, ml, planning, qual
                                 returns, sales)
 from tillcast.plans.pipeline import AS_OF, OrderingChain, run_pipeline
 from tillcast.session import scratch_path
-from tillcast.sources import readers, sinks
+from tillcast.sources import loads, patterns, readers, sinks, versions
 from tillcast.sources.tables import CHANNELS, POST_RESTART_YEAR, RESTART_YEAR, RetailTables
-from tillcast.streaming import jobs
+from tillcast.streaming import ingest, jobs, stock
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,20 +127,56 @@ def write_results(t: RetailTables) -> DataFrame:
 
 @query
 def save_tables(t: RetailTables) -> DataFrame:
-    folder = scratch_path(t.spark, "tables")
-    tag = folder.rsplit("-", 1)[1]
-    names = sinks.save_tables({
-        f"sales_data_{tag}": t.sales("Date", "SKU", "Quantity", "Amount"),
-        f"sku_master_{tag}": t.sku_master(), f"moq_leadtime_{tag}": t.moq_leadtime()},
-        folder=folder)
+    """Three tables replaced below one folder; the catalog stays as it is."""
+    saved = versions.save_versions(t.spark, {
+        "sales_data": t.sales("Date", "SKU", "Quantity", "Amount"),
+        "sku_master": t.sku_master(), "moq_leadtime": t.moq_leadtime()},
+        scratch_path(t.spark, "tables"))
     out = None
-    for name in names:
-        one = t.spark.table(name).agg(F.lit(name.rsplit("_", 1)[0]).alias("table_name"),
-                                      F.count("*").alias("rows"))
+    for name, table in saved.items():
+        one = table.read().agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query
+def versioned_uploads(t: RetailTables) -> DataFrame:
+    """Three uploads, one of them sent twice, then a merge of the segments: what each version holds."""
+    table = versions.VersionedTable(t.spark, scratch_path(t.spark, "versions"))
+    cols = ("Date", "SKU", "Quantity")
+    first, second = t.sales(*cols, until="1997-01-01"), t.sales(*cols, since="1997-01-01", until=t.recent_from)
+    for upload in (first, second, first, t.recent(*cols)):
+        table.append(upload)
+    table.compact()
+    out = None
+    for found in table.history():
+        one = table.read(found.number).agg(
+            F.lit(found.number).alias("version"), F.lit(len(found.uploads)).alias("uploads"),
+            F.count("*").alias("rows"), F.sum("Quantity").alias("quantity"),
+            F.count_distinct("SKU").alias("skus"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def dedupe_loads(t: RetailTables) -> DataFrame:
+    """Loads that overlap by years, and one that comes twice: every sale is stored once."""
+    store = loads.SalesStore(t.spark, scratch_path(t.spark, "loads"))
+    parts = t.at_grain("part")
+
+    def raw(since: str | None, until: str | None) -> DataFrame:
+        sold = parts.sales("Orderid", "SKU", "Statefrom", "Date", "Quantity", "Amount", since=since,
+                           until=until)
+        return sold.select(*[F.col(c).cast("string").alias(c) for c in sold.columns])
+
+    for since, until in ((None, "1997-01-01"), ("1996-01-01", "1999-01-01"), (None, "1997-01-01"),
+                         ("1998-06-01", None)):
+        store.load(raw(since, until))
+    return store.sales.read().groupBy(F.year("Date").alias("Year")).agg(
+        F.count("*").alias("rows"), F.count_distinct("Orderid").alias("orders"),
+        F.count_distinct("SKU").alias("skus"))
+
+
 @query
 def export_schedule_csv(t: RetailTables) -> DataFrame:
     path = scratch_path(t.spark, "schedule-csv")
@@ -221,6 +257,22 @@ def pattern_cache(t: RetailTables) -> DataFrame:
         yoy.agg(F.count("*").alias("yoy_skus")))
 
 
+@query
+def pattern_fold(t: RetailTables) -> DataFrame:
+    """Patterns from loads that come out of order, one of them twice and one taken back."""
+    store = patterns.PatternStore(t.spark, scratch_path(t.spark, "pattern-store"))
+    cols = ("Date", "SKU", "Quantity")
+    early, late = t.sales(*cols, until="1997-06-15"), t.sales(*cols, since="1997-06-15", until=t.recent_from)
+    store.fold(late, "late")
+    store.fold(early, "early")
+    store.fold(late, "late")
+    store.fold(t.recent(*cols), "too new")
+    store.compact()
+    store.take_back(t.recent(*cols), "too new, back")
+    seasonal, yoy = store.patterns()
+    return seasonal.join(yoy, "SKU", "left").withColumn("yoy", F.round("yoy", 8))
+
+
 @query
 def data_freshness(t: RetailTables) -> DataFrame:
     found = readers.data_freshness(t.spark, {
@@ -757,7 +809,7 @@ def simple_monthly_predict(t: RetailTables) -> DataFrame:
     parts = t.at_grain("part")
     asked = parts.sku_master().select("sku").unionByName(
         t.at_grain("brand").sku_master().select("sku"))
-    return forecast.simple_monthly_predict(asked, parts.recent("Date", "SKU", "Quantity"))
+    return forecast.simple_monthly_predict(asked, parts.sales("Date", "SKU", "Quantity"))
 
 
 @query
@@ -1184,6 +1236,45 @@ def stream_ingest_sales(t: RetailTables) -> DataFrame:
         F.count("*").alias("rows"), F.sum("Quantity").alias("quantity"))
 
 
+RAW_SALE = ["Date", "SKU", "Quantity", "Amount"]
+
+
+@query
+def stream_ingest_checked(t: RetailTables) -> DataFrame:
+    """Arriving text rows, some of them spoiled: stored and rejected rows by reason."""
+    out = scratch_path(t.spark, "stream-checked")
+    lines = jobs.read_stream(t.spark, f"{t.root}/lineitem.parquet*", t.table("lineitem").schema)
+    units = F.col("l_quantity").cast("long").cast("string")
+    raw = lines.select(
+        F.when(F.col("l_tax") == 0, "n/a").otherwise(
+            F.date_format("l_shipdate", "yyyy-MM-dd")).alias("Date"),
+        F.concat(F.lit("  "), F.col("l_partkey").cast("string"),
+                 F.when(F.col("l_partkey") % 7 == 0, "!").otherwise("")).alias("SKU"),
+        F.when(F.col("l_discount") == 0, "many").when(F.col("l_returnflag") == "R", F.concat(
+            F.lit("-"), units)).otherwise(units).alias("Quantity"),
+        F.when(F.col("l_partkey") % 5 > 0, F.col("l_extendedprice").cast("string")).otherwise(" ")
+        .alias("Amount"))
+    ingest.ingest_checked(raw, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    sound = ingest.accepted(t.spark, f"{out}/data", RAW_SALE).agg(
+        F.lit("").alias("reasons"), F.count("*").alias("rows"), F.sum("Quantity").alias("quantity"))
+    turned_away = ingest.rejected(t.spark, f"{out}/data", RAW_SALE).groupBy(
+        F.array_join("reasons", ", ").alias("reasons")).agg(
+        F.count("raw").alias("rows"), F.lit(None).cast("long").alias("quantity"))
+    return sound.unionByName(turned_away)
+
+
+@query
+def closing_stock_stream(t: RetailTables) -> DataFrame:
+    """Stock movement from arriving lines: closed days from the stream's state, then the open ones."""
+    out = scratch_path(t.spark, "stream-stock")
+    lines = jobs.read_stream(t.spark, f"{t.root}/lineitem.parquet*", t.table("lineitem").schema)
+    arriving = t.stock_lines(lines).withColumn("at", F.col("Date").cast("timestamp"))
+    closed = stock.closing_stock_stream(arriving, "at")
+    jobs.run_to_table(closed, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    done = t.spark.read.schema(stock.OUTPUT).parquet(f"{out}/data")
+    return stock.with_open_stock(done, t.closing_stock())
+
+
 @query
 def stream_dedupe(t: RetailTables) -> DataFrame:
     """Every event arrives twice; one copy of each is kept."""
@@ -1321,6 +1412,21 @@ def backtest_metrics(t: RetailTables) -> DataFrame:
     return forecast.backtest_metrics(forecast.backtest(_monthly(t)))
 
 
+@query
+def rolling_backtest(t: RetailTables) -> DataFrame:
+    """A model per cutoff next to the moving average; the flags fail for a model that has learnt
+    nothing."""
+    path = scratch_path(t.spark, "origins")
+    ml.origin_table(_monthly(t)).write.parquet(path)
+    table = t.spark.read.parquet(path)
+    errors = ml.origin_metrics(ml.rolling_origin(table, ml.origins(table)))
+    return errors.select(
+        "cutoff", "tests", *[c for c in errors.columns if c.startswith("average_")],
+        (F.col("mae") <= F.col("average_mae")).alias("mae_below_average"),
+        (F.col("rmse") <= F.col("average_rmse")).alias("rmse_below_average"),
+        (F.col("r2") >= F.col("average_r2")).alias("r2_above_average"))
+
+
 @query
 def festival_flags(t: RetailTables) -> DataFrame:
     flagged = quality.festival_flags(t.sales("Date", "Quantity"))

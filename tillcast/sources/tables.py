@@ -170,10 +170,14 @@ class RetailTables:
         The test data has no stock table; the units handled at a location on
         a day stand in for its closing quantity.
         """
-        moved = self.sales("Date", "Partyname", "Godown", "SKU", "Quantity")
-        return (moved.groupBy("Date", F.col("Partyname").alias("channel"),
-                              F.col("Godown").alias("godown"), F.col("SKU").alias("sku"))
-                .agg(F.sum("Quantity").alias("closing_qty")))
+        return (self.stock_lines(self.table("lineitem")).groupBy("Date", "channel", "godown", "sku")
+                .agg(F.sum("closing_qty").alias("closing_qty")))
+
+    def stock_lines(self, lines: DataFrame) -> DataFrame:
+        """The units of each line as a part of its day's snapshot."""
+        return self._facts(lines, ("Date", "Partyname", "Godown", "SKU", "Quantity")).select(
+            "Date", F.col("Partyname").alias("channel"), F.col("Godown").alias("godown"),
+            F.col("SKU").alias("sku"), F.col("Quantity").alias("closing_qty"))
 
     def godown_master(self) -> DataFrame:
         return self.table("supplier").select(
