@@ -1,6 +1,7 @@
 """Exact and line duplicates and contamination: SQL on the small tables, hard cases by hand."""
 
 import hashlib
+import time
 
 import pytest
 from text_help import SMALL
@@ -134,3 +135,34 @@ def test_proximity_of_the_operator(spark, docs, monkeypatch, most):
         if slop:
             assert all(r.near_items == want[slop, r.doc_id] and r.n_near == len(r.near_items) for r in rows)
     assert want[3, 4] == ["1"] and want[2, 4] == [] and want[3, 1] == ["1"]
+
+
+def test_long_texts_in_linear_time(docs):
+    """Texts of 200,000 repeated lines lose them in seconds."""
+    shared = "\n".join(f"repeated line number {i}" for i in range(200_000))
+    start = time.time()
+    rows = {r.doc_id: r for r in line_dedup(docs([(1, shared), (2, f"own\n{shared}\nown")])).collect()}
+    assert time.time() - start < 60
+    assert rows[1].text == shared and rows[2].text == "own\nown" and rows[2].n_dropped == 200_000
+
+
+def test_rows_without_id_and_with_one_id(docs):
+    """Rows without an id are one document for counting, but each keeps its own other lines."""
+    long = "a line that repeats a lot"
+    texts = [(None, f"{long}\nown {i}") for i in range(300)] + [(None, f"{long}\nown 0")] * 2
+    assert {r.n_dropped for r in line_dedup(docs(texts)).collect()} == {0}
+    rows = line_dedup(docs([*texts, (4, f"{long}\nx"), (4, f"y\n{long}"), (9, long)])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows if r.doc_id) == [
+        ("4", f"{long}\nx"), ("4", f"y\n{long}"), ("9", "")]
+    assert sorted(r.text for r in rows if r.doc_id is None) == sorted(t.split("\n")[1] for _, t in texts)
+
+
+def test_more_documents_than_two(docs):
+    texts = [(i, f"found in all of them\nfound in some, {i % 2 and 'odd' or 'even'} ones") for i in range(5)]
+    texts += [(0, "found in all of them"), (None, "found in some, odd ones")]
+    got = {least: sorted((str(r.doc_id), r.n_dropped) for r in line_dedup(docs(texts), min_docs=least).collect())
+           for least in (3, 4)}
+    assert got[3] == [("0", 0), ("0", 0), ("1", 1), ("2", 2), ("3", 2), ("4", 2), ("None", 1)]
+    assert got[4] == [("0", 0), ("0", 0), ("1", 1), ("2", 1), ("3", 1), ("4", 1), ("None", 0)]
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup(docs(texts).selectExpr("*", "1 AS n_lines"))

@@ -139,3 +139,37 @@ def test_null_repeated_and_empty_table(spark, docs):
     assert sorted((str(r.doc_id), len(r.base), len(r.added)) for r in rows) == [
         ("1", 0, 0), ("2", 0, 0), ("3", 1, 0), ("3", 1, 0), ("None", 1, 0)]
     assert pii.train(frame.limit(0)) is None and pii.detect(frame.limit(0), None).count() == 0
+
+
+def test_settled_spans():
+    """The tagger's own borders first, then wider ones; all that fit; long runs in pieces."""
+    card = "4111.1111.1111.1111"
+    assert pii.settled("card", f"card {card} 05/27", 5, 24) == [("card", 5, 24)]
+    assert pii.settled("card", f"card {card} 05/27", 7, 23) == []  # no border holds a card
+    assert pii.settled("card", f"card {card}, 05/27", 7, 22) == [("card", 5, 24)]
+    two = f"{card} or {card}"
+    assert pii.settled("card", two, 0, len(two)) == [("card", 0, 19), ("card", 23, 42)]
+    assert pii.settled("ip", "at 10 . 0 . 0 . 1 and 10:0:0:2", 3, 30) == [("ip", 3, 17), ("ip", 22, 30)]
+    many = ", ".join(f"name{i} (at) site{i}.org" for i in range(40))
+    assert len(many) > 2 * pii.MOST
+    found = pii.settled("email", many, 0, len(many))
+    assert len(found) >= 38 and all(a[2] <= b[1] for a, b in itertools.pairwise(found))
+
+
+def test_sample_windows_come_from_all_texts():
+    texts = [f"{'word ' * 30}call +49 30 1234567{i % 10} now. " * 20 for i in range(12)]
+    x, y = pii.labelled_windows(texts, most=50)
+    assert x.shape == y.shape == (50, pii.WINDOW) and y.any()
+    again, _ = pii.labelled_windows(texts, most=50)
+    assert (x == again).all()
+    whole, _ = pii.labelled_windows(texts, most=10_000)
+    assert 200 < len(whole) < 10_000
+    late = pii.labelled_windows(texts[:1], most=10_000)[0]
+    assert len(late) > 12  # more than the first windows of a text
+
+
+def test_very_long_text(model, docs):
+    text = "plain words only " * 40_000 + "mail ann (at) example.org or 10.0.0.1"
+    row = pii.detect(docs([text]), model).first()
+    assert [(s.kind, text[s.start:s.end]) for s in row.base] == [("ip", "10.0.0.1")]
+    assert all(s.start > 680_000 for s in row.added)

@@ -69,3 +69,12 @@ def test_incremental_entropy_equals_counting(spark, word):
     want = max(direct(word[i:i + 20]) for i in range(len(word) - 19))
     got = spark.range(1).select(secrets.best_entropy(F.lit(word)).alias("h")).first().h
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_every_class_of_candidates(spark, docs):
+    """Letters alone are scored too; words, paths and joined words are left alone."""
+    found = {"qWzKxvTbLmNrPyHsJdGfCa": 1, "qWzKxvTbLmNrPyHsJ7dGfCa": 1, "antidisestablishmentarianism": 0,
+             "InternationalizationService": 0, "/usr/local/share/applications": 0, "snake_case_name_of_some_kind": 0,
+             "ZmFrZS1rZXk/dGhhdC1pcw+x": 1, "2024-01-02-2025-03-04-17": 0, "a" * 40: 0}
+    rows = secrets.secret_report(docs([f"see {w} here" for w in found])).collect()
+    assert {list(found)[r.doc_id]: r.n_entropy for r in rows} == found

@@ -1,14 +1,15 @@
 """Line-level duplicate removal across documents.
 
-Lines are exploded with their position, their keys hashed to 128 bits, and
-distinct documents counted per hash. A key found in enough documents loses
-its lines everywhere but in the document with the smallest id; the rest is
-put together again in order of position.
+Lines are exploded with their position and their keys hashed once, to 128 bits.
+Distinct documents are counted per hash; a key found in enough documents loses
+its lines everywhere but in the document with the smallest id. What comes back
+to a row are the positions of the lines it loses, and the text is put together
+again from the other positions, in time proportional to its lines.
 
 Defined cases: a null or empty text is one empty line; rows with the same id
-are one document for counting, and each is rewritten; a null id is a document
-that ranks behind every other; an empty table gives an empty result; further
-columns pass through untouched.
+are one document for counting, and each is rewritten by its own text; a null id
+is a document that ranks behind every other, its rows dealt out by their texts;
+an empty table gives an empty result; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -29,24 +30,33 @@ def key_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key)))
 
 
-def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10,
-                  min_docs: int = 2) -> DataFrame:
-    """``(_id, _drop)``: per document the hashes whose lines it loses."""
-    lines = docs.select(
-        F.col(id_col).alias("_id"),
-        F.posexplode(F.split(whole(text_col), "\n")).alias("_pos", "_line"))
-    hashed = lines.select("_id", key_hash(F.col("_line"), min_chars).alias("_k")).where(
-        "_k IS NOT NULL")
-    pairs = written(hashed.groupBy("_id", "_k").agg(F.lit(1).alias("_one"))
-                    .select("_id", "_k").withColumn("_rank", F.struct(
-                        F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))), "line-pairs")
-    shared = with_group_facts(
-        pairs, "_k", "_id",
-        facts={"_docs": F.count("*"), "_first": F.min("_rank")},
-        merge={"_docs": F.sum("_docs"), "_first": F.min("_first")},
-        keep=F.col("_docs") >= min_docs)
+def row_key(text_col: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.unhex(F.md5(whole(text_col)))
+
+
+def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10,
+               min_docs: int = 2) -> DataFrame:
+    """``(_id, _row, _drop)``: the positions of the lines that the rows of an id and text lose."""
+    lines = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_row"),
+                        F.posexplode(F.split(whole(text_col), "\n")).alias("_pos", "_line"))
+    keyed = written(lines.select("_id", "_row", "_pos", key_hash(F.col("_line"), min_chars).alias("_k"))
+                    .where("_k IS NOT NULL"), "line-keys")
+    ranked = keyed.withColumn("_rank", F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
+    facts = {"_first": F.min("_rank"), "_last": F.max("_rank")}
+    merge = {"_first": F.min("_first"), "_last": F.max("_last")}
+    # Two documents are there if the smallest id is not the largest one; more are counted, and
+    # then rows of one id stay in one part of a key.
+    enough, spread = F.col("_first") != F.col("_last"), "_row"
+    if min_docs > 2:
+        facts["_docs"] = F.count_distinct("_id") + F.max(F.col("_id").isNull().cast("int"))
+        merge["_docs"] = F.sum("_docs")
+        enough, spread = F.col("_docs") >= min_docs, "_id"
+    elif min_docs < 2:
+        enough = F.lit(True)
+    shared = with_group_facts(ranked, "_k", spread, facts, merge, keep=enough)
     return (shared.where(F.col("_rank") != F.col("_first"))
-            .groupBy("_id").agg(F.collect_list("_k").alias("_drop")))
+            .groupBy("_id", "_row").agg(F.collect_list("_pos").alias("_drop")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -54,21 +64,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                dropped_col: str = "n_dropped") -> DataFrame:
     """The documents with rewritten text, plus line counts before and of the loss.
 
-    The list of a document is as long as its own lines at most. A text whose
-    lines all stay is returned as it is.
+    ``lines_col`` and ``dropped_col`` must be new names. A text whose lines all stay is returned
+    as it is.
     """
-    drops = repeated_keys(docs, id_col, text_col, min_chars, min_docs)
-    mine, lost = fresh(docs, "_mine"), fresh(docs, "_drop")
-    joined = docs.join(drops.select(F.col("_id").alias(mine), F.col("_drop").alias(lost)),
-                       docs[id_col].eqNullSafe(F.col(mine)), "left")
-    lines = F.split(whole(text_col), "\n")
-    stays = F.filter(lines, lambda line: ~F.coalesce(
-        F.array_contains(F.col(lost), key_hash(line, min_chars)), F.lit(False)))
-    split, rest = fresh(docs, "_lines"), fresh(docs, "_rest")
-    cut = (joined.withColumn(split, F.size(lines).cast("long"))
-           .withColumn(rest, F.when(F.col(lost).isNotNull(), stays)))
-    columns = [F.coalesce(F.array_join(rest, "\n"), F.col(text_col)).alias(c)
-               if c == text_col else F.col(c) for c in docs.columns]
+    clash = {lines_col.lower(), dropped_col.lower()} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"there is a column {', '.join(sorted(clash))} already")
+    drops = lost_lines(docs, id_col, text_col, min_chars, min_docs)
+    mine, row, text_key, lost = (fresh(docs, c) for c in ("_mine", "_row", "_text_key", "_drop"))
+    keyed = docs.withColumn(text_key, row_key(text_col))
+    joined = keyed.join(drops.select(F.col("_id").alias(mine), F.col("_row").alias(row),
+                                     F.col("_drop").alias(lost)),
+                        keyed[id_col].eqNullSafe(F.col(mine)) & (F.col(text_key) == F.col(row)), "left")
+    split, kept = fresh(docs, "_lines"), fresh(docs, "_kept")
+    cut = joined.withColumn(split, F.split(whole(text_col), "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
+    cut = cut.withColumn(kept, F.when(F.col(lost).isNotNull(), places))
+    rest = F.array_join(F.transform(kept, lambda p: F.get(F.col(split), p)), "\n")
+    columns = [F.coalesce(rest, F.col(text_col)).alias(c) if c == text_col else F.col(c)
+               for c in docs.columns]
     return cut.select(
-        *columns, F.col(split).alias(lines_col),
-        F.coalesce(F.col(split) - F.size(rest), F.lit(0)).cast("long").alias(dropped_col))
+        *columns, F.size(split).cast("long").alias(lines_col),
+        F.when(F.col(kept).isNotNull(), F.size(split) - F.size(kept)).otherwise(F.lit(0))
+        .cast("long").alias(dropped_col))

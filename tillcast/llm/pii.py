@@ -11,9 +11,12 @@ kind: digits in number and check sum, address parts in range.
 A span passes only with a digit, an ``@`` or an ``(at)`` or ``[at]`` in it, so
 windows that overlap no such sign, nor the address around an at sign, are not
 read. Training sample: at most ``SAMPLE_ROWS`` rows of at most ``SAMPLE_CHARS``
-code points that hold such a sign; written-out addresses count as e-mails there.
+code points that hold such a sign, and of all their windows at most
+``SAMPLE_WINDOWS``, picked by a hash; written-out addresses count as e-mails there.
 
-Defined cases: a null text is the empty text and has no spans; without
+Defined cases: a null text is the empty text and has no spans; texts of any length
+are read whole; where two windows are equally central the earlier one's tag counts,
+and of the tagger's spans that touch each other the first stays; without
 training rows only base spans are found; repeated rows are read one by one; an
 empty table gives an empty result; further columns are not read.
 """
@@ -21,6 +24,7 @@ empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,19 +113,33 @@ EDGE = 3  # characters by which a tagger's span may be short at either end
 MOST = 320  # an e-mail address, the longest of the kinds, has no more characters
 
 
-def settled(kind: str, text: str, start: int, end: int) -> Span | None:
-    """The span of that kind that overlaps the tagger's and passes the kind's check."""
+def settled(kind: str, text: str, start: int, end: int) -> list[Span]:
+    """The spans of that kind that overlap the tagger's and pass the kind's check.
+
+    The tagger's own borders are tried first, then borders widened to the next blank and by
+    ``EDGE``; the first of them that hold a fitting match give all that they hold. A span of more
+    than ``MOST`` characters is taken in pieces of that size."""
     if end - start > MOST:
-        return None
-    while start > 0 and end - start < MOST and not text[start - 1].isspace():
-        start -= 1
-    for m in WIDE[kind].finditer(text, max(0, start - EDGE), min(len(text), end + EDGE)):
-        said = m[0]
-        fits = {"card": lambda: is_card(said), "phone": lambda: is_phone(said), "email": lambda: True,
-                "ip": lambda: is_ip(re.findall("[0-9]+", said))}[kind]()
-        if fits and m.start() < end and m.end() > start:
-            return kind, *m.span()
-    return None
+        found: list[Span] = []
+        for at in range(start, end, MOST):
+            found += [s for s in settled(kind, text, at, min(end, at + MOST))
+                      if not found or s[1] >= found[-1][2]]
+        return found
+    wide = start
+    while wide > 0 and end - wide < MOST and not text[wide - 1].isspace():
+        wide -= 1
+    for low, high in ((start, end), (max(0, wide - EDGE), min(len(text), end + EDGE))):
+        fits = [(kind, *m.span()) for m in WIDE[kind].finditer(text, low, high)
+                if m.start() < end and m.end() > start and _passes(kind, m[0])]
+        if fits:
+            return fits
+    return []
+
+
+def _passes(kind: str, said: str) -> bool:
+    if kind == "ip":
+        return is_ip(re.findall("[0-9]+", said))
+    return {"card": is_card, "phone": is_phone}.get(kind, bool)(said)
 
 
 _SITE = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
@@ -163,10 +181,11 @@ def window_starts(text: str) -> list[int]:
 
 def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS,
                      seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of symbols and tags from texts that the rules and ``written_out`` label."""
+    """Windows of symbols and tags from texts that the rules and ``written_out`` label: of all
+    windows of all texts, those ``most`` with the smallest crc32 of text number and start."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text in texts:
+    kept: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for number, text in enumerate(texts):
         spans = sorted([*base_spans(text), *written_out(text)], key=lambda s: s[1])
         pieces, labels, at = [], [], 0
         for kind, start, end in spans:
@@ -181,15 +200,15 @@ def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS,
         labels += [0] * len(pieces[-1])
         whole = "".join(pieces)
         signs, tags = tagger.symbols(whole), np.array(labels, dtype=np.int64)
-        for start in window_starts(whole)[:12]:
-            x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+        for start in window_starts(whole):
+            x, y = np.zeros(WINDOW, np.int16), np.zeros(WINDOW, np.int16)
             part = signs[start:start + WINDOW]
             x[:len(part)], y[:len(part)] = part, tags[start:start + WINDOW]
-            xs.append(x)
-            ys.append(y)
-            if len(xs) == most:
-                return np.array(xs), np.array(ys)
-    return np.array(xs, np.int64).reshape(-1, WINDOW), np.array(ys, np.int64).reshape(-1, WINDOW)
+            kept.append((zlib.crc32(f"{number}:{start}".encode()), x, y))
+        if len(kept) > 4 * most:
+            kept = sorted(kept, key=lambda k: k[0])[:most]
+    kept = sorted(kept, key=lambda k: k[0])[:most]
+    return tuple(np.array([k[i] for k in kept], np.int64).reshape(-1, WINDOW) for i in (1, 2))
 
 
 def _rewritten(kind: str, said: str, rng: np.random.Generator) -> str:
@@ -275,9 +294,9 @@ def find_spans(texts: list[str], model: dict | None) -> list[tuple[list[Span], l
     for text, sure, more in zip(texts, base, hoped, strict=True):
         added = []
         for kind, start, end in more:
-            span = settled(kind, text, start, end)
-            if span and not any(s < span[2] and e > span[1] for _, s, e in [*sure, *added]):
-                added.append(span)
+            for span in settled(kind, text, start, end):
+                if not any(s < span[2] and e > span[1] for _, s, e in [*sure, *added]):
+                    added.append(span)
         out.append((sure, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
 

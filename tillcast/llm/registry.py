@@ -19,6 +19,8 @@ from tillcast.llm.simhash import simhash_groups
 from tillcast.llm.spelling import spelling_variants, word_counts
 from tillcast.llm.whitening import whiten
 
+SLOP = 2  # words by which a proximity match may be off
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -49,10 +51,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                               slop=SLOP)
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        "contaminated")
+                        "contaminated", "n_near",
+                        F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,10 +255,32 @@ ORACLE = {
                    FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
                   FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        iw AS (SELECT item, len(w) AS size, unnest(w) AS t, unnest(range(len(w))) AS p FROM b WHERE len(w) > 0),
+        dw AS (SELECT doc_id, t, p FROM (
+                   SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d)
+               WHERE t IN (SELECT t FROM iw)),
+        seen AS (SELECT t, count(*) AS c FROM dw GROUP BY t),
+        spans AS (
+            SELECT s.item, s.p AS s, list_sort(list({'c': coalesce(c, 0), 't': i.t, 'p': i.p})) AS ws
+            FROM iw s JOIN iw i ON i.item = s.item AND i.p BETWEEN s.p AND s.p + 9
+                 LEFT JOIN seen ON seen.t = i.t
+            WHERE s.p <= greatest(s.size - 10, 0) GROUP BY s.item, s.p),
+        pairs AS (
+            SELECT DISTINCT item, ws[1].t AS t1, coalesce(ws[2].t, ws[1].t) AS t2,
+                   coalesce(ws[2].p, ws[1].p) - ws[1].p AS apart
+            FROM spans WHERE ws[1].c > 0),
+        near AS (
+            SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT x.doc_id, item FROM pairs JOIN dw x ON x.t = t1
+                  JOIN dw y ON y.doc_id = x.doc_id AND y.t = t2 AND y.p - x.p - apart BETWEEN -2 AND 2)
+            GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)""",
+               sha256(coalesce(named.items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+               CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+               sha256(coalesce(near.items, '')) AS near_sha256
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+             LEFT JOIN near USING (doc_id)""",
     "op4_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -5,7 +5,7 @@ runs of key-like characters) are searched with a sliding window: the window's
 character counts are updated by the character that enters and the one that
 leaves, and with them the sum of c*log2(c) from which the Shannon entropy of
 the window follows. Each character class has its own threshold: hexadecimal,
-letters and digits, and the wider base64 alphabet. A candidate whose best
+letters alone, letters and digits, and the wider base64 alphabet. A candidate whose best
 window reaches the threshold becomes a span unless the allow-list knows it or
 a base span covers part of it.
 
@@ -13,7 +13,9 @@ Positions count code points. A private-use character marks the ends of
 matches while a text is being cut; if the text has it already, it is first
 exchanged for another one, which no rule can match either.
 
-Defined cases: a null text is the empty text; an empty table gives an empty
+Defined cases: a null text is the empty text; texts of any length are scanned
+whole; of windows with equal entropy any will do, as only the value counts;
+spans that start together are ordered by kind; an empty table gives an empty
 result; repeated rows are scanned one by one; further columns are not read.
 """
 
@@ -38,12 +40,13 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Bits per character that a window of 20 must reach, by class of the candidate.
-LIMITS = {"hexdigits": 3.0, "alphanumeric": 3.6, "base64": 3.8}
-# Known harmless strings: documentation keys, UUIDs, dates and number groups, file-name
-# and identifier words joined by signs, one piece repeated.
+LIMITS = {"hexdigits": 3.0, "letters": 4.0, "alphanumeric": 3.6, "base64": 3.8}
+# Known harmless strings: documentation keys, UUIDs, dates and number groups, words and
+# numbers of at most four digits joined by signs (so any string of letters and signs that has a
+# sign), one piece repeated. Letters alone are no exception: they have a limit of their own.
 ALLOWED = (r"EXAMPLE|example|^[0-9_=/+-]*$"
            r"|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-           r"|^(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))*[/_=+-]*$"
+           r"|^(?=.*[/_=+-])[/_=+-]*(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))*[/_=+-]*$"
            r"|^(.{1,8})\1+.?$")
 
 MARK, OTHER = "\ue000", "\ue001"  # private use
@@ -115,10 +118,10 @@ def best_entropy(word: Column, window: int = WINDOW) -> Column:
 def suspicious(word: Column) -> Column:
     """Whether a candidate's entropy says secret and no allow-list entry says otherwise."""
     limit = (F.when(word.rlike("^[0-9a-fA-F]+$"), LIMITS["hexdigits"])
+             .when(word.rlike("^[A-Za-z]+$"), LIMITS["letters"])
              .when(word.rlike("^[0-9A-Za-z]+$"), LIMITS["alphanumeric"])
              .otherwise(LIMITS["base64"]))
-    mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
-    return F.when(mixed & ~word.rlike(ALLOWED), best_entropy(word) >= limit).otherwise(F.lit(False))
+    return F.when(~word.rlike(ALLOWED), best_entropy(word) >= limit).otherwise(F.lit(False))
 
 
 def _plain(spans: Column) -> Column:

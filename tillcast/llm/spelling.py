@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.common import ascii_lower, ship, with_group_facts, with_key_facts, written
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
+# Common letters first, so that dealing them out in turn gives parts of about equal use.
+LETTERS = "etaoinshrdlucmwfgypbvkjxqz" + "".join(map(chr, range(0xC0, 0x100)))
+PLACE = np.array([max(0, LETTERS.find(chr(c))) for c in range(256)])
 RUN = "[A-Za-zÀ-ÿ]+"
-GROUPS = 4
+GROUPS = 5
 BLOCK_WORDS, BLOCK_CHARS = 2048, 1 << 16
-TILE = 1 << 21  # distances, or letters of candidates, held at a time
+TILE = 1 << 19  # distances, or letters of candidates, held at a time
 
 # Steps from a block to its partners, each pair of blocks from one side only: the same letter
 # totals, one letter more in a part, or one letter moved from a part to an earlier one.
@@ -107,11 +109,12 @@ def block_pairs(packed: DataFrame) -> DataFrame:
 def letter_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of words of one length as numbers, and how often each word has each letter."""
     codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-    codes = codes.reshape(len(words), -1).astype(np.int64)
-    column = np.where(codes < 0xC0, codes - ord("a"), codes - 0xC0 + 26)
+    column = PLACE[codes.reshape(len(words), -1)]
     cells = (np.arange(len(words))[:, None] * len(LETTERS) + column).ravel()
     counts = np.bincount(cells, minlength=len(words) * len(LETTERS))
-    return column, counts.reshape(len(words), len(LETTERS)).astype(np.float64)
+    # Squares up to 2^24 are whole in single precision.
+    kind = np.float32 if column.shape[1] <= 2000 else np.float64
+    return column, counts.reshape(len(words), len(LETTERS)).astype(kind)
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,12 +131,14 @@ def near_pairs(left: list[str], right: list[str], same: bool) -> tuple[np.ndarra
     longer. With ``same`` both are one list and a pair is given once."""
     a, counts = letter_matrix(left)
     b, others = letter_matrix(right)
-    own, other = (counts * counts).sum(axis=1), (others * others).sum(axis=1)
+    # |x - y|^2 = x.x + y.y - 2 x.y as one product, over the letters that both sides have.
+    both = counts.any(axis=0) & others.any(axis=0)
+    one = np.ones((len(left), 1), counts.dtype), np.ones((len(right), 1), others.dtype)
+    x = np.hstack([counts[:, both] * -2, (counts * counts).sum(axis=1, keepdims=True), one[0]])
+    y = np.hstack([others[:, both], one[1], (others * others).sum(axis=1, keepdims=True)]).T
     found, rows = [], max(1, TILE // len(right))
     for at in range(0, len(left), rows):
-        near = (own[at:at + rows, None] + other[None, :]
-                - 2 * (counts[at:at + rows] @ others.T)) <= 2
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(x[at:at + rows] @ y <= 2)
         i += at
         if same:
             i, j = i[i < j], j[i < j]
