@@ -1,4 +1,4 @@
-"""Versions, loads with rejects, and patterns from partial sums."""
+"""Versions, loads with rejects, mixed headers, and partial sums of patterns and distinct counts."""
 
 import datetime as dt
 
@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from retail_help import rows
 
 from tillcast.functions import bloom
-from tillcast.operators import features, forecast
+from tillcast.operators import features, forecast, sketches
 from tillcast.operators.quality import dedupe_sales
-from tillcast.sources import loads, patterns, versions
+from tillcast.sources import loads, patterns, readers, versions
 
 PLAIN = "k long, v string"
 
@@ -214,3 +214,56 @@ def test_new_month_does_not_read_the_history(spark, tmp_path):
     store.fold(spark.read.parquet(new))
     assert rows(store.monthly(), "Year") == [
         {"SKU": "A", "Year": 2023, "Month": 1, "Quantity": 3}, {"SKU": "A", "Year": 2024, "Month": 1, "Quantity": 4}]
+
+
+# -- files whose headers differ -----------------------------------------------------
+
+
+def test_mixed_headers(spark, tmp_path):
+    files = {
+        "a.csv": "Date,SKU,Quantity,Amount\n2024-01-01,A,1,2.5\n",
+        "b.csv": "﻿Amount, sku ,Note,\"Quantity\",Date\n7,B,\"x, y\",2,2024-01-02\n,,,,\n",
+        "more/c.csv": "DATE,SKU,QTY,Amount,Amount\n2024-01-03,C,3,9,1\n",
+        "empty.csv": "", "header.csv": "Date,SKU,Quantity,Amount\n", "_SUCCESS": "",
+        "same.csv": "Date,SKU,Quantity,Amount\n2024-01-04,D,x,4\n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    schema = "Date date, SKU string, Quantity bigint, Amount double, Godown string"
+    required = ["Date", "SKU", "Quantity", "Amount"]
+    got = rows(readers.read_mixed(spark, str(tmp_path), schema, required, {"qty": "Quantity"}), "SKU")
+    assert [(r["Date"] and r["Date"].day, r["SKU"], r["Quantity"], r["Amount"], r["Godown"]) for r in got] == [
+        (1, "A", 1, 2.5, None), (2, "B", 2, 7.0, None), (3, "C", 3, 9.0, None), (4, "D", None, 4.0, None),
+        (None, None, None, None, None)]
+    (tmp_path / "bad.csv").write_text("Date,SKU,Amount\n2024-01-05,E,1\n")
+    with pytest.raises(ValueError, match="Quantity in .*bad.csv"):
+        readers.read_mixed(spark, str(tmp_path), schema, required, {"qty": "Quantity"})
+    (tmp_path / "none").mkdir()
+    assert readers.read_mixed(spark, str(tmp_path / "none"), schema, required).count() == 0
+
+
+# -- sketches ---------------------------------------------------------------------
+
+
+def test_sketches_of_any_cut_count_alike(spark, tmp_path):
+    sold = spark.range(60000).selectExpr(
+        "date_add(DATE'2024-01-01', CAST(id % 90 AS INT)) AS Date", "CAST(id % 7001 AS STRING) AS Orderid",
+        "CAST(id % 311 AS STRING) AS SKU")
+    store = sketches.DistinctStore(spark, str(tmp_path / "s"), ["Orderid", "SKU"])
+    for i, where in enumerate(("Date < '2024-02-20'", "Date >= '2024-02-01'", "SKU < '2'")):
+        assert store.add(sold.where(where), str(i)) > 0
+    assert store.add(sold.where("SKU < '2'"), "2") == 0
+    exact = {r["m"]: r for r in rows(sold.groupBy(F.date_format("Date", "yyyy-MM").alias("m")).agg(
+        F.count_distinct("Orderid").alias("o"), F.count_distinct("SKU").alias("s")))}
+    whole = rows(sketches.estimates(sketches.daily_sketches(sold, ["Orderid", "SKU"]),
+                                    F.date_format("Date", "yyyy-MM"), ["Orderid", "SKU"]), "period")
+    for _ in range(2):
+        got = rows(store.monthly(), "period")
+        assert [r["period"] for r in got] == [r["period"] for r in whole] and len(got) == 3
+        for r in [*got, *whole]:
+            assert abs(r["Orderid"] - exact[r["period"]]["o"]) <= 4 * sketches.standard_error() * 7001
+            assert abs(r["SKU"] - exact[r["period"]]["s"]) <= 3
+        store.compact()
+    week = rows(store.trailing("2024-01-31", 7))[0]
+    true = sold.where("Date BETWEEN '2024-01-25' AND '2024-01-31'").select("Orderid").distinct().count()
+    assert abs(week["Orderid"] - true) <= 4 * sketches.standard_error() * true

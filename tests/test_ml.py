@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from retail_help import rows
 
 from tillcast.operators import features, forecast, ml
+from tillcast.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +95,45 @@ def test_retraining_rules(spark):
         ml.needs_retraining(skus, registry, last, "2025-06-30"))}
     assert got == {"old": "Needs retraining", "fresh": "Up to date", "idle": "Up to date",
                    "new_data": "Needs retraining", "none": "No model found"}
+
+
+def test_origin_inputs_know_the_past_only(spark, monthly):
+    """Changing a SKU's last month changes no input, and only the label of that month."""
+    table = rows(ml.origin_table(monthly), "SKU", "Date")
+    last = max(r["Date"] for r in table)
+    other = monthly.withColumn("Quantity", F.when(F.col("Date") == F.lit(last), F.col("Quantity") * 100)
+                               .otherwise(F.col("Quantity")))
+    for a, b in zip(table, rows(ml.origin_table(other), "SKU", "Date"), strict=True):
+        assert all(a[c] == b[c] for c in ml.ORIGIN_INPUTS)
+        assert (a["label"] == b["label"]) == (a["Date"] != last or a["label"] == 0)
+
+
+def test_rolling_origin_trains_before_each_cutoff(spark, monthly, tmp_path):
+    ml.origin_table(monthly).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    cutoffs, seen = ml.origins(table, 3), []
+
+    def fit(train):
+        seen.append(train.agg(F.max("Date")).first()[0])
+        return ml._fit(ml._pipeline(ml.ORIGIN_INPUTS, ml.forest(10, 5, 5)), train, ml.ORIGIN_INPUTS)
+
+    tested = ml.rolling_origin(table, cutoffs, fit=fit)
+    assert len(cutoffs) == 3 and all(s < c for s, c in zip(seen, cutoffs, strict=True))
+    found = {r["cutoff"]: r for r in rows(ml.origin_metrics(tested))}
+    assert set(found) == {*cutoffs, None} and found[None]["tests"] == sum(found[c]["tests"] for c in cutoffs)
+    kept = rows(tested)
+    for c in cutoffs:
+        mine = [r for r in kept if r["cutoff"] == c]
+        assert found[c]["mae"] == pytest.approx(sum(abs(r["predicted"] - r["actual"]) for r in mine) / len(mine), abs=1e-4)
+        assert found[c]["average_mae"] == pytest.approx(sum(abs(r["average"] - r["actual"]) for r in mine) / len(mine), abs=1e-4)
+
+
+def test_a_constant_forecast_is_found_out(spark, monthly):
+    """The flags of the model queries fail where nothing was learnt."""
+    tested = monthly.select("SKU", "Date", F.col("Quantity").cast("double").alias("actual"))
+    mean = tested.agg(F.avg("actual")).first()[0]
+    for predicted in (F.lit(0.0), F.lit(mean), F.lit(mean * 2)):
+        flat = tested.withColumn("predicted", predicted)
+        assert not flat.limit(1).select(queries._beats_constant(flat, "predicted").alias("b")).first().b
+    good = tested.withColumn("predicted", F.col("actual") * 0.9)
+    assert good.limit(1).select(queries._beats_constant(good, "predicted").alias("b")).first().b

@@ -1,9 +1,11 @@
 """Reorder chain: a checked five-row example and the branches it does not reach."""
 
-from retail_help import rows
+import random
+
 from pyspark.sql import functions as F
+from retail_help import rows
 
-from tillcast.operators import planning, replenish
+from tillcast.operators import forecast, planning, replenish
 
 CHAIN = [
     ("CMSM01C", 2617, 87.24925424904615, 482,
@@ -109,9 +111,50 @@ def test_group_top_up_and_transfer(spark):
         "group string, sku string, need long, sales long")
     minimum = spark.createDataFrame([("g", 110), ("h", 50)], "group string, group_moq long")
     got = {r["sku"]: r["top_up"] for r in rows(planning.group_moq(orders, minimum))}
-    assert got == {"a": 50, "b": 30, "c": 10, "d": 0}
+    # Equal sales go by the md5 of the SKU, as ``running_before`` says: c before b.
+    assert got == {"a": 50, "b": 10, "c": 30, "d": 0}
     short = spark.createDataFrame([("s", "x", 5), ("s", "y", 9), ("s", "z", 5)],
                                   "sku string, location string, shortfall long")
     own = spark.createDataFrame([("s", 12)], "sku string, own_qty long")
     given = {r["location"]: r["transfer_qty"] for r in rows(planning.stock_transfer(short, own))}
     assert given == {"y": 9, "x": 3, "z": 0}
+
+
+def test_shared_transfer(spark):
+    """Sums are exact, no location gets more than it lacks, and shares are within one unit."""
+    pick = random.Random(2)
+    short = [(f"s{k}", f"loc{i}", pick.randint(0, 40)) for k in range(8) for i in range(pick.randint(1, 60))]
+    short += [("ties", f"t{i}", 3) for i in range(500)] + [("none", "x", 5)]
+    own = [(f"s{k}", pick.choice([0, 7, 100, 333, 5000])) for k in range(8)] + [("ties", 1000), ("spare", 9)]
+    got = rows(planning.stock_transfer_shared(
+        spark.createDataFrame(short, "sku string, location string, shortfall long"),
+        spark.createDataFrame(own, "sku string, own_qty long")), "sku", "location")
+    assert {r["sku"] for r in got} <= {s for s, _ in own} and all(r["shortfall"] > 0 for r in got)
+    for sku, stock in own:
+        mine = [r for r in got if r["sku"] == sku]
+        total = sum(r["shortfall"] for r in mine)
+        assert sum(r["transfer_qty"] for r in mine) == min(stock, total)
+        for r in mine:
+            assert 0 <= r["transfer_qty"] <= r["shortfall"]
+            assert r["still_short"] == r["shortfall"] - r["transfer_qty"]
+            if total > stock:
+                assert abs(r["transfer_qty"] - stock * r["shortfall"] / total) < 1
+    ties = [r["transfer_qty"] for r in got if r["sku"] == "ties"]
+    assert sorted(ties) == [2] * 500 and sum(ties) == 1000
+
+
+def test_positions_equal_demand_and_stock_apart(spark, tables):
+    """One pass over the days gives what two passes over the sales do."""
+    positions = planning.location_positions(tables.location_days())
+    months = forecast.recent_months(tables.sales("Date", "SKU", "Partyname", "Godown", "Quantity"),
+                                    ["SKU", "Partyname", "Godown"])
+    demand = months.select(F.col("SKU").alias("sku"), F.col("Partyname").alias("channel"),
+                           F.col("Godown").alias("godown"), (F.col("recent_mean") * 1.1).alias("demand"))
+    stock = planning.closing_stock_latest(tables.closing_stock())
+    keys = ["level", "sku", "channel", "godown"]
+    want = rows(planning.shortfall(demand, stock), *keys)
+    assert rows(planning.shortfall_of(positions), *keys) == want
+    assert rows(planning.stockout_outlook_of(positions), "sku") == rows(
+        planning.stockout_outlook(demand, stock), "sku")
+    plan = planning.shortfall_of(positions)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") == 1

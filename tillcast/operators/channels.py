@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import DAY_NAMES, MONTH_NAMES, month_key
 from tillcast.functions.frames import bundle, drop_null_keys, top_by
-from tillcast.functions.numeric import (mean_of, money_avg, money_sum, percent_of, safe_div)
+from tillcast.functions.numeric import (as_money, mean_of, money_avg, money_sum, money_units,
+                                        percent_of, safe_div)
 from tillcast.operators.sales import with_product_name
 
 # The two sales channels and their report labels.
@@ -211,14 +212,26 @@ def top_share(frame: DataFrame, value: str, key: str, out: str, n: int = 5) -> D
         F.round(percent_of("best", "whole"), 6).alias(out))
 
 
-def bi_concentration(per_sku: DataFrame, per_state: DataFrame) -> DataFrame:
-    """Share of units of the five best SKUs and of revenue of the five best states.
+def kpi_cells(sales: DataFrame) -> DataFrame:
+    """``kind, key, q, n, money``: units, rows and revenue per day, SKU and destination
+    state, from one read of the sales: each row counts once per kind, summed before it moves."""
+    day, sku, state = (F.col(c) for c in ("Date", "SKU", "Stateto"))
+    sets = sales.groupingSets([[day], [sku], [state]], day, sku, state).agg(
+        F.sum("Quantity").alias("q"), F.count("*").alias("n"), money_units("Amount").alias("money"), F.grouping("Date").alias("_d"),
+        F.grouping("SKU").alias("_s"))
+    kind = F.when(F.col("_d") == 0, "day").when(F.col("_s") == 0, "sku").otherwise("state")
+    key = F.when(F.col("_d") == 0, day.cast("string")).when(F.col("_s") == 0, sku).otherwise(state)
+    return sets.select(kind.alias("kind"), key.alias("key"), "q", "n", "money")
 
-    Takes the results of ``bi_sku_performance`` and ``bi_state_performance``.
-    """
-    return bundle(per_sku.sparkSession,
-                  top_share(per_sku, "Total_Quantity", "SKU", "top_5_sku_share"),
-                  top_share(per_state, "Amount", "Stateto", "top_5_state_share"))
+
+def bi_concentration(cells: DataFrame) -> DataFrame:
+    """Share of units of the five best SKUs and of revenue of the five best states, from
+    ``kpi_cells``."""
+    known = drop_null_keys(cells, "key")
+    skus = known.where(F.col("kind") == "sku").select("key", F.col("q").alias("Total_Quantity"))
+    states = known.where(F.col("kind") == "state").select("key", as_money(F.col("money")).alias("Amount"))
+    return bundle(cells.sparkSession, top_share(skus, "Total_Quantity", "key", "top_5_sku_share"),
+                  top_share(states, "Amount", "key", "top_5_state_share"))
 
 
 def bi_row_means(sales: DataFrame) -> DataFrame:
@@ -259,13 +272,18 @@ def price_stats(sales: DataFrame) -> DataFrame:
         F.round(r, 6).alias("price_quantity_corr"), effect.alias("price_effect"))
 
 
-def kpi_report(sales: DataFrame, per_sku: DataFrame, per_state: DataFrame) -> DataFrame:
-    """Headline figures: revenue, units, SKUs, daily units, order value, concentration."""
-    totals = sales.agg(
-        money_sum("Amount").alias("total_revenue"), F.sum("Quantity").alias("total_units"),
-        F.count("*").alias("total_orders"), F.count_distinct("SKU").alias("total_skus"))
-    daily = _daily_units(sales).agg(mean_of("Quantity").alias("daily_avg"))
-    joined = bundle(sales.sparkSession, totals, daily, bi_concentration(per_sku, per_state))
+def kpi_report(cells: DataFrame) -> DataFrame:
+    """Headline figures: revenue, units, SKUs, daily units, order value, concentration.
+
+    ``cells``: ``kpi_cells``, written first where sales are large, as several figures start there.
+    """
+    skus = cells.where(F.col("kind") == "sku")
+    totals = skus.agg(
+        as_money(F.sum("money")).alias("total_revenue"), F.sum("q").alias("total_units"),
+        F.sum("n").alias("total_orders"), F.count("key").alias("total_skus"))
+    days = drop_null_keys(cells.where(F.col("kind") == "day"), "key")
+    daily = days.agg(mean_of("q").alias("daily_avg"))
+    joined = bundle(cells.sparkSession, totals, daily, bi_concentration(cells))
     return joined.withColumns({
         "avg_order_value": safe_div("total_revenue", "total_orders"),
         "revenue_per_sku": safe_div("total_revenue", "total_skus")})

@@ -71,15 +71,33 @@ def daily_rolling_means(daily: DataFrame, windows: Sequence[int] = WINDOWS) -> D
 
 
 def daily_trend_slope(daily: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """Least-squares slope of the units of the last sale days."""
-    numbered = daily.withColumn("_row", F.row_number().over(_by_day()))
+    """Least-squares slope of the units of the last sale days; null until there are as many, and
+    where units are missing.
 
-    def slope(n: int) -> Column:
-        frame = _by_day().rowsBetween(1 - n, 0)
-        return F.when(F.count("Quantity").over(frame) == n,
-                      F.regr_slope("Quantity", "_row").over(frame))
+    Slopes come from running sums of the units and of units times position: a window's sums
+    are the differences of two rows, so the cost does not grow with the window's width. Units are
+    whole numbers, so the sums are exact.
+    """
+    order = _by_day()
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    units = F.coalesce("Quantity", F.lit(0)).cast("decimal(19,0)")
+    summed = daily.withColumn("_row", F.row_number().over(order)).withColumns({
+        "_units": F.sum(units).over(so_far), "_moment": F.sum(units * F.col("_row")).over(so_far),
+        "_known": F.count("Quantity").over(so_far)})
 
-    return numbered.withColumns({f"Quantity_trend_{n}d": slope(n) for n in windows}).drop("_row")
+    def within(name: str, n: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, n).over(order), F.lit(0))
+
+    def slope(n: int) -> Column:
+        # Positions 0 to n - 1 inside the window.
+        y = within("_units", n)
+        xy = within("_moment", n) - (F.col("_row") - (n - 1)) * y
+        spread = n * n * (n * n - 1) / 12
+        whole = (F.col("_row") >= n) & (within("_known", n) == n)
+        return F.when(whole, (xy * n - y * (n * (n - 1) // 2)).cast("double") / spread)
+
+    return summed.withColumns({f"Quantity_trend_{n}d": slope(n) for n in windows}).drop(
+        "_row", "_units", "_moment", "_known")
 
 
 def daily_features(daily: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:

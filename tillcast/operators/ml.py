@@ -104,13 +104,14 @@ def train_daily_model(features: DataFrame, trees: int = 100, depth: int = 10) ->
 
 def daily_model_metrics(model: PipelineModel, features: DataFrame,
                         target_mape: float = 12.0) -> DataFrame:
-    """MAPE, RMSE and whether the model passes, on the last 30 days."""
+    """MAPE, RMSE, the spread of the actual units (which is the RMSE of the best constant) and
+    whether the model passes, on the last 30 days."""
     _, held = split_last_days(features)
     error = F.col("raw_prediction") - F.col("label")
     sums = model.transform(held).agg(
         F.count("*").alias("validation_rows"),
         (F.avg(safe_div(F.abs(error), F.abs("label"))) * 100).alias("mape"),
-        F.sqrt(F.avg(error * error)).alias("rmse"))
+        F.sqrt(F.avg(error * error)).alias("rmse"), F.stddev_pop("label").alias("spread"))
     return sums.withColumn("passes", F.col("mape") <= target_mape)
 
 

@@ -77,6 +77,27 @@ def resolve_godown(rows: DataFrame, master: DataFrame, name: str = "Godown") ->
     return (rows.join(spellings, F.trim(F.col(name)) == F.col("_s"), "left").drop("_s"))
 
 
+def location_positions(days: DataFrame, last: int = 3, growth: float = 0.1) -> DataFrame:
+    """``sku, channel, godown, demand, closing_qty, as_of, total_qty`` per location.
+
+    ``days``: one row per location and day with ``closing_qty``, the units of that day, and
+    ``n_rows``, the sales behind it. Expected monthly demand is the mean of the last ``last``
+    months plus growth, from the second month on, else the mean sale. Demand and stock come out
+    of one pass over the days, so nothing is joined.
+    """
+    months = days.groupBy(*LOCATION, F.trunc("Date", "month").alias("_month")).agg(
+        F.sum("closing_qty").alias("q"), F.sum("n_rows").alias("n"),
+        F.max(F.struct("Date", "closing_qty")).alias("last"))
+    back = Window.partitionBy(*LOCATION).orderBy(F.col("_month").desc())
+    late = F.col("_r") <= last
+    known = months.withColumn("_r", F.row_number().over(back)).groupBy(*LOCATION).agg(
+        safe_div(F.sum(F.when(late, F.col("q"))), F.count_if(late)).alias("recent_mean"),
+        F.sum("q").alias("total_qty"), F.max("last").alias("last"))
+    return known.select(
+        "sku", "channel", "godown", (F.col("recent_mean") * F.lit(1 + growth)).alias("demand"),
+        F.col("last.closing_qty").alias("closing_qty"), F.col("last.Date").alias("as_of"), "total_qty")
+
+
 def shortfall(demand: DataFrame, stock: DataFrame) -> DataFrame:
     """Demand that stock does not cover, per warehouse, per channel and overall.
 
@@ -84,10 +105,21 @@ def shortfall(demand: DataFrame, stock: DataFrame) -> DataFrame:
     aggregated once; no location-level join is needed.
     """
     keys = ["sku", "channel", "godown"]
-    stacked = demand.select(*keys, F.col("demand").cast("double"),
-                            F.lit(0).cast("double").alias("stock")).unionByName(
+    return _levels(demand.select(*keys, F.col("demand").cast("double"),
+                                 F.lit(0).cast("double").alias("stock")).unionByName(
         stock.select(*keys, F.lit(0).cast("double").alias("demand"),
-                     F.col("closing_qty").cast("double").alias("stock")))
+                     F.col("closing_qty").cast("double").alias("stock"))))
+
+
+def shortfall_of(positions: DataFrame) -> DataFrame:
+    """The same from ``location_positions``."""
+    return _levels(positions.select(
+        "sku", "channel", "godown", F.coalesce("demand", F.lit(0.0)).alias("demand"),
+        F.coalesce("closing_qty", F.lit(0)).cast("double").alias("stock")))
+
+
+def _levels(stacked: DataFrame) -> DataFrame:
+    keys = ["sku", "channel", "godown"]
     cells = stacked.groupBy(*keys).agg(F.sum("demand").alias("demand"),
                                        F.sum("stock").alias("stock"))
     s, c, g = (F.col(k) for k in keys)
@@ -144,7 +176,13 @@ def stockout_outlook(demand: DataFrame, stock: DataFrame, horizon: int = 30,
                      days_in_month: int = 30) -> DataFrame:
     """Per SKU the days until stock runs out and how many locations run out in time."""
     keys = ["sku", "channel", "godown"]
-    joined = demand.join(stock.select(*keys, "closing_qty"), keys, "left").withColumns({
+    return stockout_outlook_of(demand.join(stock.select(*keys, "closing_qty"), keys, "left"),
+                               horizon, days_in_month)
+
+
+def stockout_outlook_of(positions: DataFrame, horizon: int = 30, days_in_month: int = 30) -> DataFrame:
+    """The same from rows with demand and stock of a location side by side."""
+    joined = positions.withColumns({
         "_daily": F.col("demand") / days_in_month,
         "_stock": F.coalesce("closing_qty", F.lit(0))})
     days = F.when(F.col("_daily") > 0, safe_div("_stock", "_daily")).otherwise(999.0)
@@ -168,3 +206,31 @@ def stock_transfer(shortfalls: DataFrame, own_stock: DataFrame) -> DataFrame:
         "sku", "location", "shortfall", given.alias("transfer_qty"),
         (F.col("shortfall") - given).alias("still_short"))
 
+
+def stock_transfer_shared(shortfalls: DataFrame, own_stock: DataFrame) -> DataFrame:
+    """Own stock handed out in proportion to the shortfalls, in whole units.
+
+    ``shortfalls``: sku, location, shortfall in whole units; ``own_stock``: sku, own_qty. Where
+    stock covers everything, everyone gets the shortfall. Where it is scarce, a location gets the
+    whole part of its share, and the units left over go one each to the largest remainders, equal
+    ones in the order of the location's md5. Transfers of a SKU add up to its stock, and none is
+    above its shortfall. A SKU's locations are ranked in bounded parts, however many there are.
+    """
+    short = shortfalls.where(F.col("shortfall") > 0)
+    wanted = short.groupBy("sku").agg(F.sum("shortfall").alias("_all"))
+    supply = wanted.join(own_stock, "sku").select(
+        F.col("sku").alias("_sku"), "_all", F.greatest(F.lit(0), F.least("own_qty", "_all"))
+        .cast("long").alias("_own"))
+    exact = F.col("_own").cast("decimal(19,0)") * F.col("shortfall").cast("decimal(19,0)")
+    shared = short.join(supply, F.col("sku") == F.col("_sku")).withColumns({
+        "_share": F.floor(exact / F.col("_all")).cast("long"),
+        "_rest": (exact % F.col("_all")).cast("long")})
+    left = shared.groupBy(F.col("sku").alias("_s")).agg(
+        (F.min("_own") - F.sum("_share")).alias("_left"))
+    ranked = running_before(shared.withColumn("_one", F.lit(1)), "sku", "_one", "_rest", "location",
+                            out="_ahead")
+    extra = ((F.col("_rest") > 0) & (F.col("_ahead") < F.col("_left"))).cast("long")
+    given = F.col("_share") + extra
+    return ranked.join(left, F.col("sku") == F.col("_s")).select(
+        "sku", "location", "shortfall", given.alias("transfer_qty"),
+        (F.col("shortfall") - given).alias("still_short"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.calendar import day_name, month_key
 from tillcast.functions.frames import bundle, drop_null_keys, exact_quantile, top_by
-from tillcast.functions.numeric import as_money, money_sum, money_units, percent_of, safe_div
+from tillcast.functions.numeric import (MONEY_UNIT, as_money, money_sum, money_units, percent_of,
+                                        safe_div)
 
 
 def returns_overview(returns: DataFrame) -> DataFrame:
@@ -118,16 +119,39 @@ def top_return_rates(rates: DataFrame, key: str, n: int = 20) -> DataFrame:
     return top_by(rates, n, "return_rate", key)
 
 
+def return_cells(sales: DataFrame, returns: DataFrame, *keys: str) -> DataFrame:
+    """``keys, sold, back, returned, lost``: units sold and returned, returned rows and money per
+    cell. Both tables are stacked and summed once; reports of any of the keys start from here."""
+    none = F.lit(0).cast("long")
+    money = F.rint(F.col("Amount") * MONEY_UNIT).cast("long").cast("decimal(18,0)")
+    stacked = sales.select(*keys, F.col("Quantity").alias("sold"), F.lit(None).cast("long").alias("back"),
+                           none.alias("row"), F.lit(None).cast("decimal(18,0)").alias("lost")).unionByName(
+        returns.select(*keys, F.lit(None).cast("long").alias("sold"), F.col("Quantity").alias("back"),
+                       (none + 1).alias("row"), money.alias("lost")))
+    return stacked.groupBy(*keys).agg(F.sum("sold").alias("sold"), F.sum("back").alias("back"),
+                                      F.sum("row").alias("returned"), F.sum("lost").alias("lost"))
+
+
+def rate_of_cells(cells: DataFrame, key: str, name: str) -> DataFrame:
+    """The columns of ``return_rate_by`` and ``lost`` for one of the cells' keys."""
+    summed = drop_null_keys(cells, key).groupBy(F.col(key).alias(name)).agg(
+        F.sum("sold").alias("sold"), F.abs(F.sum("back")).alias("back"), F.abs(F.sum("lost")).alias("lost"))
+    return summed.select(
+        name, F.coalesce(percent_of("back", "sold"), F.lit(0.0)).alias("return_rate"),
+        F.coalesce("sold", F.lit(0)).alias("sales_quantity"),
+        F.coalesce("back", F.lit(0)).alias("returns_quantity"), "lost")
+
+
 def return_rate_totals(sales: DataFrame, returns: DataFrame) -> DataFrame:
-    """Overall rate, returned revenue and units, and SKUs with returns."""
-    sold = drop_null_keys(sales, "SKU").agg(
-        F.coalesce(F.sum("Quantity"), F.lit(0)).alias("total_sales"))
-    per_sku = drop_null_keys(returns, "SKU").groupBy("SKU").agg(
-        F.abs(F.sum("Quantity")).alias("q"))
-    back = per_sku.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("total_returns"),
-                       F.count("*").alias("unique_skus_returned"))
-    amount = returns.agg(F.abs(money_sum("Amount")).alias("returns_revenue"))
-    return bundle(sales.sparkSession, sold, back, amount).withColumn(
+    """Overall rate, returned revenue and units, and SKUs with returns, from one sum per SKU."""
+    cells = return_cells(sales, returns, "SKU")
+    known = F.col("SKU").isNotNull()
+    sums = cells.agg(
+        F.coalesce(F.sum(F.when(known, F.col("sold"))), F.lit(0)).alias("total_sales"),
+        F.coalesce(F.sum(F.when(known, F.abs("back"))), F.lit(0)).alias("total_returns"),
+        F.count_if(known & (F.col("returned") > 0)).alias("unique_skus_returned"),
+        F.abs(as_money(F.sum("lost"))).alias("returns_revenue"))
+    return sums.withColumn(
         "overall_return_rate",
         F.when(F.col("total_sales") > 0, percent_of("total_returns", "total_sales"))
         .otherwise(0.0))

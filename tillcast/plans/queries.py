@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillcast.functions.calendar import month_key
 from tillcast.functions.frames import bundle
 from tillcast.operators import (channels, features, forecast, ml, planning, quality, replenish,
-                                returns, sales)
+                                returns, sales, sketches)
 from tillcast.plans.pipeline import AS_OF, OrderingChain, run_pipeline
 from tillcast.session import scratch_path
 from tillcast.sources import loads, patterns, readers, sinks, versions
@@ -63,6 +63,29 @@ def sales_csv_scan(t: RetailTables) -> DataFrame:
         F.count("Rate").alias("with_rate"))
 
 
+@query
+def sales_mixed_headers(t: RetailTables) -> DataFrame:
+    """One folder of CSV files in three layouts: other orders, spellings and extra columns."""
+    folder = scratch_path(t.spark, "mixed-csv")
+    sold = t.sales("Date", "SKU", "Quantity", "Amount", "Godown", "Orderid")
+    layouts = [
+        sold.where(F.year("Date") <= 1996).select("Date", "SKU", "Quantity", "Amount", "Godown", "Orderid"),
+        sold.where(F.year("Date").between(1997, 1999)).select(
+            F.lit("x").alias("Note"), F.col("Amount").alias("amount"), F.col("SKU").alias("sku "),
+            F.col("Quantity").alias("Qty"), F.col("Date").alias(" Date"), F.col("Orderid").alias("OrderID")),
+        sold.where(F.year("Date") > 1999).select(
+            F.col("Orderid").alias("order id"), "Date", F.col("Amount").alias("Amount"), "SKU",
+            F.col("Godown").alias("FulfillmentCenterID"), F.col("Quantity").alias("QUANTITY"))]
+    for layout in layouts:
+        layout.write.mode("append").option("header", True).csv(folder)
+    read = readers.read_mixed(t.spark, folder, readers.schemas.SALES, readers.schemas.REQUIRED_SALES, {
+        "qty": "Quantity", "order id": "Orderid", "FulfillmentCenterID": "Godown"})
+    return read.groupBy(month_key("Date").alias("month")).agg(
+        F.count("*").alias("rows"), F.sum("Quantity").alias("quantity"),
+        F.count_distinct("SKU").alias("skus"), F.count("Orderid").alias("with_order"),
+        F.count("Godown").alias("with_godown"))
+
+
 def _raw_sales(t: RetailTables) -> DataFrame:
     """Lines as a raw file holds them: padded names, text dates, some unreadable."""
     line = t.table("lineitem")
@@ -500,6 +523,25 @@ def network_counts(t: RetailTables) -> DataFrame:
     return sales.network_counts(t.sales("Godown", "Statefrom", "Stateto"))
 
 
+@query
+def distinct_from_sketches(t: RetailTables) -> DataFrame:
+    """Orders and SKUs per month from stored daily sketches, next to the exact counts."""
+    store = sketches.DistinctStore(t.spark, scratch_path(t.spark, "sketches"), ["Orderid", "SKU"])
+    cols = ("Date", "Orderid", "SKU")
+    parts = t.at_grain("part")
+    for i, (since, until) in enumerate(((None, "1998-03-15"), ("1998-01-01", "2000-06-01"),
+                                        ("2000-06-01", None))):
+        store.add(parts.sales(*cols, since=since, until=until), f"load {i}")
+    store.compact()
+    exact = parts.sales(*cols).groupBy(month_key("Date").alias("period")).agg(
+        F.count_distinct("Orderid").alias("orders"), F.count_distinct("SKU").alias("skus"))
+    allowed = 4 * sketches.standard_error()
+    near = [(F.abs(F.col(est) - F.col(n)) <= F.ceil(F.col(n) * allowed)).alias(f"{n}_near")
+            for est, n in (("Orderid", "orders"), ("SKU", "exact_skus"))]
+    exact = exact.withColumnRenamed("skus", "exact_skus")
+    return exact.join(store.monthly(), "period").select("period", "orders", "exact_skus", *near)
+
+
 @query
 def historical_monthly(t: RetailTables) -> DataFrame:
     return sales.historical_monthly(t.history("Date", "Quantity", "Amount"),
@@ -606,9 +648,15 @@ def bi_state_performance(t: RetailTables) -> DataFrame:
     return channels.bi_state_performance(t.sales("Stateto", "Quantity", "Amount"))
 
 
+def _kpi_cells(t: RetailTables) -> DataFrame:
+    path = scratch_path(t.spark, "kpi-cells")
+    channels.kpi_cells(t.sales("Date", "SKU", "Stateto", "Quantity", "Amount")).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query
 def bi_concentration(t: RetailTables) -> DataFrame:
-    return channels.bi_concentration(bi_sku_performance(t), bi_state_performance(t))
+    return channels.bi_concentration(_kpi_cells(t))
 
 
 @query
@@ -623,8 +671,7 @@ def price_stats(t: RetailTables) -> DataFrame:
 
 @query
 def kpi_report(t: RetailTables) -> DataFrame:
-    return channels.kpi_report(t.sales("Date", "SKU", "Quantity", "Amount"),
-                               bi_sku_performance(t), bi_state_performance(t))
+    return channels.kpi_report(_kpi_cells(t))
 
 
 # -- windows and features -----------------------------------------------------------------
@@ -877,7 +924,7 @@ def train_daily_model(t: RetailTables) -> DataFrame:
     rows = _daily_model_input(t)
     tested = ml.daily_model_metrics(ml.train_daily_model(rows), rows)
     return tested.select("validation_rows", _usable("mape").alias("mape_usable"),
-                         _usable("rmse").alias("rmse_usable"),
+                         (_usable("rmse") & (F.col("rmse") < F.col("spread"))).alias("beats_constant"),
                          (F.col("passes") == (F.col("mape") <= 12)).alias("gate_holds"))
 
 
@@ -886,9 +933,30 @@ def _usable(value: str) -> Column:
     return F.coalesce((F.col(value) >= 0) & (F.col(value) < float("inf")), F.lit(False))
 
 
-def _usable_rows(tested: DataFrame) -> DataFrame:
-    """Test rows with what can be checked of their predictions without the model."""
-    return tested.select("SKU", "Date", "actual", _usable("predicted").alias("usable"))
+def _tested_rows(t: RetailTables, tested: DataFrame) -> DataFrame:
+    """Test rows with what can be checked of their predictions without the model: that each is
+    usable, and that together they miss by less than the best constant would, which a model that
+    has learnt nothing does not."""
+    path = scratch_path(t.spark, "tested")
+    tested.write.parquet(path)
+    stored = t.spark.read.parquet(path)
+    return stored.select("SKU", "Date", "actual", _usable("predicted").alias("usable"),
+                         _beats_constant(stored, "predicted").alias("beats_constant"))
+
+
+def _beats_constant(tested: DataFrame, predicted: str) -> Column:
+    error = F.col(predicted) - F.col("actual")
+    return tested.agg(
+        (F.sum(error * error) < F.var_pop("actual") * F.count("*") * 0.999).alias("b")).scalar()
+
+
+def _plausible(scored: DataFrame, table: DataFrame, predicted: str, factor: Column | float = 1.0) -> DataFrame:
+    """Adds whether a SKU's forecast lies between a fifth and five times its mean training month,
+    times ``factor``."""
+    levels = table.groupBy(F.col("SKU").alias("_sku")).agg(F.max(ml.LEVEL).alias("_level"))
+    usual = F.col("_level") * factor
+    return scored.join(levels, F.col("sku") == F.col("_sku")).withColumn(
+        "plausible", _usable(predicted) & F.col(predicted).between(usual / 5, usual * 5))
 
 
 def _monthly_table(t: RetailTables) -> DataFrame:
@@ -903,13 +971,13 @@ def _restart_table(t: RetailTables) -> DataFrame:
 @query
 def train_monthly_model(t: RetailTables) -> DataFrame:
     table = _monthly_table(t)
-    return _usable_rows(ml.model_test_rows(ml.train_monthly_model(table), table))
+    return _tested_rows(t, ml.model_test_rows(ml.train_monthly_model(table), table))
 
 
 @query
 def train_restart_model(t: RetailTables) -> DataFrame:
     table = _restart_table(t)
-    return _usable_rows(ml.model_test_rows(ml.train_restart_model(table), table))
+    return _tested_rows(t, ml.model_test_rows(ml.train_restart_model(table), table))
 
 
 @query
@@ -917,9 +985,9 @@ def score_next_month(t: RetailTables) -> DataFrame:
     seasonal, yoy = _patterns(t)
     table = _restart_table(t)
     scored = ml.score_next_month_seasonal(ml.train_restart_model(table), table, seasonal, yoy)
-    return scored.select("sku", "next_month", "confidence", "has_historical_patterns",
-                         F.round("seasonal_adjustment", 6).alias("seasonal_adjustment"),
-                         _usable("predicted_quantity").alias("usable"))
+    return _plausible(scored, table, "predicted_quantity", F.col("seasonal_adjustment")).select(
+        "sku", "next_month", "confidence", "has_historical_patterns",
+        F.round("seasonal_adjustment", 6).alias("seasonal_adjustment"), "plausible")
 
 
 @query
@@ -927,8 +995,8 @@ def score_next_month_monthly(t: RetailTables) -> DataFrame:
     """The same from the monthly model over the whole history."""
     table = _monthly_table(t)
     scored = ml.score_next_month(ml.train_monthly_model(table), table, POST_RESTART_YEAR)
-    return scored.select("sku", "next_month", "confidence",
-                         _usable("predicted_quantity").alias("usable"))
+    return _plausible(scored, table, "predicted_quantity").select(
+        "sku", "next_month", "confidence", "plausible")
 
 
 @query
@@ -946,16 +1014,28 @@ def analyze_top_skus_monthly(t: RetailTables) -> DataFrame:
     found = ml.analyze_top_skus_monthly(_monthly(t), post_restart_year=POST_RESTART_YEAR)
     return found.select("SKU", "test_months",
                         F.round("avg_monthly_demand", 6).alias("avg_monthly_demand"), "next_month",
-                        (_usable("mae") & _usable("predicted_quantity")).alias("usable"))
+                        (_usable("mae") & _usable("predicted_quantity")).alias("usable"),
+                        F.col("predicted_quantity").between(
+                            F.col("avg_monthly_demand") / 5, F.col("avg_monthly_demand") * 5)
+                        .alias("plausible"))
 
 
 @query
 def ensemble_forecast(t: RetailTables) -> DataFrame:
-    found = ml.ensemble_forecast(_monthly_table(t))
+    path = scratch_path(t.spark, "ensemble")
+    ml.ensemble_forecast(_monthly_table(t)).write.parquet(path)
+    found = t.spark.read.parquet(path)
     blend = sum(F.col(name) * weight for name, weight in ml.ENSEMBLE.items())
+
+    def missed(name: str) -> Column:
+        return F.sum((F.col(name) - F.col("actual")) ** 2)
+
+    worst = F.greatest(*[missed(name) for name in ml.ENSEMBLE])
     return found.select(
         "SKU", "Date", "actual", _usable("predicted").alias("usable"),
-        (F.abs(F.greatest(blend, F.lit(0.0)) - F.col("predicted")) < 1e-6).alias("is_blend"))
+        _beats_constant(found, "predicted").alias("beats_constant"),
+        (F.abs(F.greatest(blend, F.lit(0.0)) - F.col("predicted")) < 1e-6).alias("is_blend"),
+        found.agg((missed("predicted") <= worst).alias("b")).scalar().alias("beats_worst"))
 
 
 @query
@@ -968,10 +1048,10 @@ def model_registry(t: RetailTables) -> DataFrame:
     loaded = ml.load_model(path)
     known = ml.load_registry(t.spark, root)
     scored = ml.model_test_rows(loaded, table).groupBy("SKU").agg(
-        F.avg("predicted").alias("mean_predicted"))
-    return known.join(scored, known["sku"] == scored["SKU"]).select(
-        known["sku"], "model_type", F.col("version").isNotNull().alias("versioned"),
-        _usable("mean_predicted").alias("usable"))
+        F.avg("predicted").alias("mean_predicted")).withColumnRenamed("SKU", "_scored")
+    both = known.join(scored, F.col("sku") == F.col("_scored"))
+    return _plausible(both, table, "mean_predicted").select(
+        "sku", "model_type", F.col("version").isNotNull().alias("versioned"), "plausible")
 
 
 @query
@@ -1201,11 +1281,10 @@ def high_risk_states(t: RetailTables) -> DataFrame:
 
 @query
 def high_risk_impact(t: RetailTables) -> DataFrame:
-    sku_rates = returns.return_rate_by(*_sku_sides(t, "Amount"), {"sku": "SKU"},
-                                       lost=returns.returned_money())
-    state_rates = returns.return_rate_by_state(t.sales("Stateto", "Quantity"),
-                                               t.returns("Stateto", "Quantity"))
-    return returns.high_risk_impact(sku_rates, state_rates, 50, 40)
+    parts, cols = t.at_grain("part"), ("SKU", "Stateto", "Quantity", "Amount")
+    cells = returns.return_cells(parts.sales(*cols), parts.returns(*cols), "SKU", "Stateto")
+    return returns.high_risk_impact(returns.rate_of_cells(cells, "SKU", "sku"),
+                                    returns.rate_of_cells(cells, "Stateto", "state"), 50, 40)
 
 
 @query
@@ -1356,18 +1435,13 @@ def resolve_godown(t: RetailTables) -> DataFrame:
                                               F.sum("Quantity").alias("quantity"))
 
 
-def _location_demand(t: RetailTables) -> DataFrame:
-    months = forecast.recent_months(t.sales("Date", "SKU", "Partyname", "Godown", "Quantity"),
-                                    ["SKU", "Partyname", "Godown"])
-    return months.select(F.col("SKU").alias("sku"), F.col("Partyname").alias("channel"),
-                         F.col("Godown").alias("godown"),
-                         (F.col("recent_mean") * F.lit(1.1)).alias("demand"))
+def _positions(t: RetailTables) -> DataFrame:
+    return planning.location_positions(t.location_days())
 
 
 @query
 def shortfall(t: RetailTables) -> DataFrame:
-    return planning.shortfall(_location_demand(t),
-                              planning.closing_stock_latest(t.closing_stock()))
+    return planning.shortfall_of(_positions(t))
 
 
 @query
@@ -1453,17 +1527,26 @@ def quality_rules(t: RetailTables) -> DataFrame:
 
 @query
 def stockout_outlook(t: RetailTables) -> DataFrame:
-    return planning.stockout_outlook(_location_demand(t),
-                                     planning.closing_stock_latest(t.closing_stock()))
+    return planning.stockout_outlook_of(_positions(t))
 
 
-@query
-def stock_transfer(t: RetailTables) -> DataFrame:
-    """Whole units short per location, served from a tenth of the SKU's sales."""
-    rows = shortfall(t).where(F.col("level") == "godown")
+def _short_and_own(t: RetailTables) -> tuple[DataFrame, DataFrame]:
+    """Whole units short per location, and a tenth of the SKU's sales as own stock."""
+    positions = _positions(t)
+    rows = planning.shortfall_of(positions).where(F.col("level") == "godown")
     short = rows.select(
         "sku", F.concat_ws("/", "channel", "godown").alias("location"),
         F.ceil("shortfall").cast("long").alias("shortfall"))
-    own = t.sales("SKU", "Quantity").groupBy(F.col("SKU").alias("sku")).agg(
-        (F.sum("Quantity") / 10).cast("long").alias("own_qty"))
-    return planning.stock_transfer(short, own)
+    return short, positions.groupBy("sku").agg(
+        (F.sum("total_qty") / 10).cast("long").alias("own_qty"))
+
+
+@query
+def stock_transfer(t: RetailTables) -> DataFrame:
+    return planning.stock_transfer(*_short_and_own(t))
+
+
+@query
+def stock_transfer_shared(t: RetailTables) -> DataFrame:
+    """The same shortfalls served in proportion, in whole units."""
+    return planning.stock_transfer_shared(*_short_and_own(t))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,75 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
          else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
 
 
+def csv_headers(spark: SparkSession, path: str, most: int = 1 << 16) -> dict[str, tuple[str, ...]]:
+    """The trimmed header of every CSV file below a folder, from the first line alone.
+
+    ``most`` bounds the bytes read of a file; a longer header is an error."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found, files = {}, fs.listFiles(root, True)
+    names = []
+    while files.hasNext():
+        name = files.next().getPath()
+        if not name.getName().startswith(("_", ".")):
+            names.append(name.toString())
+
+    def first_line(name: str) -> str:
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            reader = spark._jvm.org.apache.hadoop.util.LineReader(stream)
+            line = spark._jvm.org.apache.hadoop.io.Text()
+            if reader.readLine(line, most) >= most:
+                raise ValueError(f"the header of {name} is longer than {most} bytes")
+            return line.toString()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        for name, line in zip(names, pool.map(first_line, names), strict=True):
+            if line.strip():  # an empty file has no rows
+                cells = next(csv.reader([line.lstrip("\ufeff")]))
+                found[name] = tuple(cell.strip() for cell in cells)
+    return found
+
+
+def read_mixed(spark: SparkSession, path: str, schema: T.StructType | str,
+               required: Sequence[str] = (), names: dict[str, str] | None = None) -> DataFrame:
+    """CSV files of one folder whose headers differ in order, spelling or number of columns.
+
+    Files are grouped by header, each group is read by name, and the groups are united. ``names``
+    maps other spellings of a column, in any case, to its name. A column that a group lacks is
+    null there; a required one is an error that names the files. Of two columns with one name the
+    first in the schema's spelling counts, else the first.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    spelled = {k.strip().lower(): v for k, v in (names or {}).items()}
+    spelled |= {f.name.lower(): f.name for f in wanted.fields}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in csv_headers(spark, path).items():
+        groups.setdefault(header, []).append(file)
+    out = None
+    for header, files in sorted(groups.items()):
+        place: dict[str, int] = {}
+        for i, cell in enumerate(header):
+            name = spelled.get(cell.lower())
+            if name and (name not in place or (cell == name != header[place[name]])):
+                place[name] = i
+        missing = [name for name in required if name not in place]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {', '.join(sorted(files)[:3])}"
+                             + (f" and {len(files) - 3} more" if len(files) > 3 else ""))
+        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        part = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+                .option("enforceSchema", True).csv(files))
+        part = part.select(*[
+            (F.trim(F.col(f"c{place[f.name]}")).try_cast(f.dataType) if f.name in place
+             else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], wanted) if out is None else out
+
+
 def read_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Sales in the standard schema with ``Month`` and ``Week`` labels."""
     return with_period_labels(

@@ -92,15 +92,28 @@ def schedule_bundle(schedule: DataFrame, urgency_summary: DataFrame) -> dict[str
     }
 
 
+# Fixed value: what the report writes where a SKU without an order has no value.
+NO_ORDER = "N/A"
+
+
+def with_no_order_text(comprehensive: DataFrame) -> DataFrame:
+    """The table as it is written: lead time and days remaining are text, ``N/A`` where a SKU has
+    no order."""
+    return comprehensive.withColumns({
+        name: F.coalesce(F.col(name).cast("string"), F.lit(NO_ORDER))
+        for name in ("Lead_Time_Days", "Days_Remaining")})
+
+
 def comprehensive_bundle(comprehensive: DataFrame, godown_summary: DataFrame,
                          sku_godown: DataFrame, growth_over: float = 50) -> dict[str, DataFrame]:
     """Sheets of the comprehensive report."""
+    shown = with_no_order_text(comprehensive)
     return {
-        "Comprehensive_Analysis": comprehensive,
+        "Comprehensive_Analysis": shown,
         "Godown_Summary": godown_summary,
         "SKU_by_Godown": sku_godown,
-        "Critical_Orders_Only": comprehensive.where(F.col("Urgency") == "CRITICAL"),
-        "High_Growth_SKUs": comprehensive.where(F.col("Growth_Rate_Percent") > growth_over),
+        "Critical_Orders_Only": shown.where(F.col("Urgency") == "CRITICAL"),
+        "High_Growth_SKUs": shown.where(F.col("Growth_Rate_Percent") > growth_over),
     }
 
 

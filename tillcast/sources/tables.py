@@ -173,6 +173,11 @@ class RetailTables:
         return (self.stock_lines(self.table("lineitem")).groupBy("Date", "channel", "godown", "sku")
                 .agg(F.sum("closing_qty").alias("closing_qty")))
 
+    def location_days(self) -> DataFrame:
+        """The snapshots with ``n_rows``, the sales of the day at the location."""
+        return (self.stock_lines(self.table("lineitem")).groupBy("Date", "channel", "godown", "sku")
+                .agg(F.sum("closing_qty").alias("closing_qty"), F.count("closing_qty").alias("n_rows")))
+
     def stock_lines(self, lines: DataFrame) -> DataFrame:
         """The units of each line as a part of its day's snapshot."""
         return self._facts(lines, ("Date", "Partyname", "Godown", "SKU", "Quantity")).select(
