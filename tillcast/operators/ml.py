@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from datetime import date, timedelta
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -251,10 +252,13 @@ def origin_table(monthly: DataFrame) -> DataFrame:
             .withColumn("label", F.col("actual")).drop("Quantity"))
 
 
-def origins(table: DataFrame, last: int = 6) -> list:
-    """The last months of the table, each of which becomes a cutoff."""
-    months = table.select("Date").distinct().orderBy(F.desc("Date")).limit(last).collect()
-    return sorted(r["Date"] for r in months)
+def origins(table: DataFrame, last: int = 6, last_sale: date | None = None) -> list[date]:
+    """The last months of the table, each of which becomes a cutoff; with ``last_sale`` only
+    months that were over by that day, as a month's first days say little about its units."""
+    months = table.select("Date").distinct()
+    if last_sale:
+        months = months.where(F.add_months("Date", 1) <= F.lit(last_sale + timedelta(days=1)))
+    return sorted(r["Date"] for r in months.orderBy(F.desc("Date")).limit(last).collect())
 
 
 def rolling_origin(table: DataFrame, cutoffs: Sequence, trees: int = 40, depth: int = 8,

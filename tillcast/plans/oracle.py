@@ -1462,8 +1462,11 @@ SELECT cutoff, COUNT(*) AS tests, {rd('avg(abs(predicted - actual))', 4)} AS ave
          AS average_direction_accuracy,
        true AS mae_below_average, true AS rmse_below_average, true AS r2_above_average
 FROM origins WHERE previous IS NOT NULL
-  AND cutoff IN (SELECT DISTINCT cutoff FROM origins WHERE previous IS NOT NULL ORDER BY 1 DESC LIMIT 6)
-GROUP BY ROLLUP (cutoff)""", "origins")
+  AND cutoff IN (SELECT DISTINCT cutoff FROM origins
+                 WHERE previous IS NOT NULL
+                   AND cutoff + INTERVAL 1 MONTH <= (SELECT MAX("Date") FROM sales) + INTERVAL 1 DAY
+                 ORDER BY 1 DESC LIMIT 6)
+GROUP BY ROLLUP (cutoff)""", "origins", "sales")
 
 
 def _festival(a: int, b: int) -> str:

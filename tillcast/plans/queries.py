@@ -951,12 +951,12 @@ def _beats_constant(tested: DataFrame, predicted: str) -> Column:
 
 
 def _plausible(scored: DataFrame, table: DataFrame, predicted: str, factor: Column | float = 1.0) -> DataFrame:
-    """Adds whether a SKU's forecast lies between a fifth and five times its mean training month,
+    """Adds whether a SKU's forecast lies between a tenth and ten times its mean training month,
     times ``factor``."""
     levels = table.groupBy(F.col("SKU").alias("_sku")).agg(F.max(ml.LEVEL).alias("_level"))
     usual = F.col("_level") * factor
     return scored.join(levels, F.col("sku") == F.col("_sku")).withColumn(
-        "plausible", _usable(predicted) & F.col(predicted).between(usual / 5, usual * 5))
+        "plausible", _usable(predicted) & F.col(predicted).between(usual / 10, usual * 10))
 
 
 def _monthly_table(t: RetailTables) -> DataFrame:
@@ -1016,7 +1016,7 @@ def analyze_top_skus_monthly(t: RetailTables) -> DataFrame:
                         F.round("avg_monthly_demand", 6).alias("avg_monthly_demand"), "next_month",
                         (_usable("mae") & _usable("predicted_quantity")).alias("usable"),
                         F.col("predicted_quantity").between(
-                            F.col("avg_monthly_demand") / 5, F.col("avg_monthly_demand") * 5)
+                            F.col("avg_monthly_demand") / 10, F.col("avg_monthly_demand") * 10)
                         .alias("plausible"))
 
 
@@ -1493,7 +1493,8 @@ def rolling_backtest(t: RetailTables) -> DataFrame:
     path = scratch_path(t.spark, "origins")
     ml.origin_table(_monthly(t)).write.parquet(path)
     table = t.spark.read.parquet(path)
-    errors = ml.origin_metrics(ml.rolling_origin(table, ml.origins(table)))
+    last_sale = t.sales("Date").agg(F.max("Date")).first()[0]
+    errors = ml.origin_metrics(ml.rolling_origin(table, ml.origins(table, last_sale=last_sale)))
     return errors.select(
         "cutoff", "tests", *[c for c in errors.columns if c.startswith("average_")],
         (F.col("mae") <= F.col("average_mae")).alias("mae_below_average"),
