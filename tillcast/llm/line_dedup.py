@@ -38,8 +38,10 @@ def row_key(text_col: str) -> Column:
 def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10,
                min_docs: int = 2) -> DataFrame:
     """``(_id, _row, _drop)``: the positions of the lines that the rows of an id and text lose."""
-    lines = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_row"),
-                        F.posexplode(F.split(whole(text_col), "\n")).alias("_pos", "_line"))
+    # Keys of whole texts are found before the lines are dealt out, once per text.
+    cut = docs.select(F.col(id_col).alias("_id"), row_key(text_col).alias("_row"),
+                      F.split(whole(text_col), "\n").alias("_lines"))
+    lines = cut.select("_id", "_row", F.posexplode("_lines").alias("_pos", "_line"))
     keyed = written(lines.select("_id", "_row", "_pos", key_hash(F.col("_line"), min_chars).alias("_k"))
                     .where("_k IS NOT NULL"), "line-keys")
     ranked = keyed.withColumn("_rank", F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
@@ -71,19 +73,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clash:
         raise ValueError(f"there is a column {', '.join(sorted(clash))} already")
     drops = lost_lines(docs, id_col, text_col, min_chars, min_docs)
-    mine, row, text_key, lost = (fresh(docs, c) for c in ("_mine", "_row", "_text_key", "_drop"))
-    keyed = docs.withColumn(text_key, row_key(text_col))
+    mine, row, text_key, lost, split, empty = (
+        fresh(docs, c) for c in ("_mine", "_row", "_text_key", "_drop", "_lines", "_empty"))
+    # The text goes through the join as its lines, so that it is cut once.
+    keyed = docs.select(*[c for c in docs.columns if c != text_col], F.col(text_col).isNull().alias(empty),
+                        F.split(whole(text_col), "\n").alias(split), row_key(text_col).alias(text_key))
     joined = keyed.join(drops.select(F.col("_id").alias(mine), F.col("_row").alias(row),
                                      F.col("_drop").alias(lost)),
                         keyed[id_col].eqNullSafe(F.col(mine)) & (F.col(text_key) == F.col(row)), "left")
-    split, kept = fresh(docs, "_lines"), fresh(docs, "_kept")
-    cut = joined.withColumn(split, F.split(whole(text_col), "\n"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
-    cut = cut.withColumn(kept, F.when(F.col(lost).isNotNull(), places))
-    rest = F.array_join(F.transform(kept, lambda p: F.get(F.col(split), p)), "\n")
-    columns = [F.coalesce(rest, F.col(text_col)).alias(c) if c == text_col else F.col(c)
-               for c in docs.columns]
-    return cut.select(
-        *columns, F.size(split).cast("long").alias(lines_col),
-        F.when(F.col(kept).isNotNull(), F.size(split) - F.size(kept)).otherwise(F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
+    text = (F.when(F.col(empty), F.lit(None)).when(F.col(lost).isNull(), F.array_join(split, "\n"))
+            .otherwise(F.array_join(F.transform(kept, lambda p: F.get(F.col(split), p)), "\n")))
+    return joined.select(
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.size(split).cast("long").alias(lines_col),
+        F.when(F.col(lost).isNotNull(), F.size(split) - F.size(kept)).otherwise(F.lit(0))
         .cast("long").alias(dropped_col))

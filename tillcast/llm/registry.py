@@ -254,7 +254,7 @@ ORACLE = {
         places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
                    FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-                  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+                  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
         iw AS (SELECT item, len(w) AS size, unnest(w) AS t, unnest(range(len(w))) AS p FROM b WHERE len(w) > 0),
         dw AS (SELECT doc_id, t, p FROM (
                    SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d)
