@@ -90,5 +90,6 @@ def test_written_shards_hold_every_row(spark, docs, tmp_path):
     shards = sharding.shard_documents(named, id_col="name", carry=["lang"]).groupBy("shard").agg(
         {"size": "sum", "lang": "max"}).collect()
     assert len(shards) == 8 and all(r["max(lang)"] == "x" for r in shards)
-    with pytest.raises(ValueError, match="slot"):
-        sharding.write_shards(frame.selectExpr("*", "1 AS slot"), str(tmp_path / "other"))
+    sharding.write_shards(frame.selectExpr("*", "-1 AS slot", "'x' AS shard"), str(tmp_path / "other"))
+    other = spark.read.parquet(str(tmp_path / "other"))
+    assert other.where("slot = -1 AND shard = 'x'").select("_shard", "_slot").distinct().count() == len(texts)

@@ -36,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillcast.llm.common import ship, text_slices
+from tillcast.llm.common import fresh, ship, text_slices
 
 UNKNOWN = "und"
 ORDER = 4
@@ -227,9 +228,9 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text",
              lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the predicted language and its score."""
-    from pyspark.sql import types as T
-
+    """All columns of ``docs`` plus the predicted language and its score; a name that is taken
+    gets underscores in front."""
+    lang_name, score_name = fresh(docs, lang_name), fresh(docs, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()),

@@ -66,12 +66,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                dropped_col: str = "n_dropped") -> DataFrame:
     """The documents with rewritten text, plus line counts before and of the loss.
 
-    ``lines_col`` and ``dropped_col`` must be new names. A text whose lines all stay is returned
-    as it is.
+    A count whose name is taken gets underscores in front. A text whose lines all stay is
+    returned as it is.
     """
-    clash = {lines_col.lower(), dropped_col.lower()} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"there is a column {', '.join(sorted(clash))} already")
+    lines_col, dropped_col = fresh(docs, lines_col), fresh(docs, dropped_col)
     drops = lost_lines(docs, id_col, text_col, min_chars, min_docs)
     mine, row, text_key, lost, split, empty = (
         fresh(docs, c) for c in ("_mine", "_row", "_text_key", "_drop", "_lines", "_empty"))

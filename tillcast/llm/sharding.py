@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import written
+from tillcast.llm.common import fresh, written
 
 PROBES = 256
 KEYS = ("_crc", "_place", "_row")
@@ -157,7 +157,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[Rang
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
                     text_col: str = "text", tolerance: float = 0.0,
                     carry: Sequence[str] = ()) -> DataFrame:
-    """``id, size, text_crc32, shard, slot`` and the columns in ``carry``, one row per row.
+    """``id, size, text_crc32, shard, slot`` and the columns in ``carry``, one row per row. A name
+    that ``carry`` has too gets underscores in front.
 
     ``tolerance`` is the share of a shard's mean bytes by which a cut may be off."""
     rows = keyed(docs, id_col, text_col, carry)
@@ -177,9 +178,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
         F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_move"))
     numbered = placed.withColumn("_task", F.shiftright("_at", 33)).join(
         F.broadcast(starts), ["_shard", "_task"])
+    names = [fresh(docs.select(id_col, *carry), n) for n in ("size", "text_crc32", "shard", "slot")]
+    made = [F.col("_size"), F.col("_crc"), F.col("_shard"), F.col("_at") + F.col("_move")]
     return numbered.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
-        F.col("_shard").alias("shard"), (F.col("_at") + F.col("_move")).alias("slot"),
+        F.col("_id").alias(id_col), *[c.alias(n) for c, n in zip(made, names, strict=True)],
         *[F.col("_kept")[c].alias(c) for c in carry])
 
 
@@ -187,8 +189,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
                  text_col: str = "text", tolerance: float = 0.0001) -> None:
     """All rows and columns of ``docs`` in one folder per shard below ``path``."""
     rest = [c for c in docs.columns if c != id_col]
-    clash = {"size", "text_crc32", "shard", "slot"} & {c.lower() for c in rest}
-    if clash:
-        raise ValueError(f"columns of these names are made here: {', '.join(sorted(clash))}")
     (shard_documents(docs, shards, id_col, text_col, tolerance, rest)
-     .write.partitionBy("shard").parquet(path))
+     .write.partitionBy(fresh(docs, "shard")).parquet(path))
