@@ -93,11 +93,12 @@ def predict_next_month(sales: DataFrame, history: DataFrame | None, sku_master:
                        min_rows: int = 30) -> DataFrame:
     """Next-month units per SKU from recent level, growth and season.
 
-    Only the ``top_n`` SKUs by revenue are forecast; all of them when None.
+    Only the ``top_n`` SKUs by revenue are forecast; all of them when None. The best SKUs come
+    from the same daily sums as the forecast, so sales are read once.
     """
     daily = daily_sku_sales(sales)
     if top_n is not None:
-        best = identify_top_skus(sales, top_n).select("SKU")
+        best = identify_top_skus(daily, top_n).select("SKU")
         daily = daily.join(best, "SKU", "left_semi")
     profile = demand_profile(daily, days).where(
         (F.col("rows") >= min_rows) & (F.col("sale_days") >= min_rows))

@@ -35,6 +35,13 @@ def _staged(t: RetailTables) -> OrderingChain:
     return OrderingChain(t).staged(scratch_path(t.spark, "stages"))
 
 
+def _stored(t: RetailTables, frame: DataFrame, label: str) -> DataFrame:
+    """The frame written once, for models that read it for training, test and forecast."""
+    path = scratch_path(t.spark, label)
+    frame.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def _text_godowns(frame: DataFrame) -> DataFrame:
     """Godown arrays as text, so that results compare as plain values."""
     return frame.withColumn("godown_distribution", F.array_join(F.transform(
@@ -649,9 +656,7 @@ def bi_state_performance(t: RetailTables) -> DataFrame:
 
 
 def _kpi_cells(t: RetailTables) -> DataFrame:
-    path = scratch_path(t.spark, "kpi-cells")
-    channels.kpi_cells(t.sales("Date", "SKU", "Stateto", "Quantity", "Amount")).write.parquet(path)
-    return t.spark.read.parquet(path)
+    return _stored(t, channels.kpi_cells(t.sales("Date", "SKU", "Stateto", "Quantity", "Amount")), "kpi-cells")
 
 
 @query
@@ -937,9 +942,7 @@ def _tested_rows(t: RetailTables, tested: DataFrame) -> DataFrame:
     """Test rows with what can be checked of their predictions without the model: that each is
     usable, and that together they miss by less than the best constant would, which a model that
     has learnt nothing does not."""
-    path = scratch_path(t.spark, "tested")
-    tested.write.parquet(path)
-    stored = t.spark.read.parquet(path)
+    stored = _stored(t, tested, "tested")
     return stored.select("SKU", "Date", "actual", _usable("predicted").alias("usable"),
                          _beats_constant(stored, "predicted").alias("beats_constant"))
 
@@ -960,12 +963,12 @@ def _plausible(scored: DataFrame, table: DataFrame, predicted: str, factor: Colu
 
 
 def _monthly_table(t: RetailTables) -> DataFrame:
-    return ml.monthly_training_table(_monthly(t), POST_RESTART_YEAR)
+    return _stored(t, ml.monthly_training_table(_monthly(t), POST_RESTART_YEAR), "monthly-table")
 
 
 def _restart_table(t: RetailTables) -> DataFrame:
     seasonal, yoy = _patterns(t)
-    return ml.restart_training_table(_monthly(t), seasonal, yoy, RESTART_YEAR)
+    return _stored(t, ml.restart_training_table(_monthly(t), seasonal, yoy, RESTART_YEAR), "restart-table")
 
 
 @query
@@ -1022,9 +1025,7 @@ def analyze_top_skus_monthly(t: RetailTables) -> DataFrame:
 
 @query
 def ensemble_forecast(t: RetailTables) -> DataFrame:
-    path = scratch_path(t.spark, "ensemble")
-    ml.ensemble_forecast(_monthly_table(t)).write.parquet(path)
-    found = t.spark.read.parquet(path)
+    found = _stored(t, ml.ensemble_forecast(_monthly_table(t)), "ensemble")
     blend = sum(F.col(name) * weight for name, weight in ml.ENSEMBLE.items())
 
     def missed(name: str) -> Column:
@@ -1490,9 +1491,7 @@ def backtest_metrics(t: RetailTables) -> DataFrame:
 def rolling_backtest(t: RetailTables) -> DataFrame:
     """A model per cutoff next to the moving average; the flags fail for a model that has learnt
     nothing."""
-    path = scratch_path(t.spark, "origins")
-    ml.origin_table(_monthly(t)).write.parquet(path)
-    table = t.spark.read.parquet(path)
+    table = _stored(t, ml.origin_table(_monthly(t)), "origins")
     last_sale = t.sales("Date").agg(F.max("Date")).first()[0]
     errors = ml.origin_metrics(ml.rolling_origin(table, ml.origins(table, last_sale=last_sale)))
     return errors.select(
