@@ -73,3 +73,19 @@ def test_query_equals_sql_and_long_chain(spark):
     row = chat.read_back(chat.conversations(chat.linear(chain.union(chain)))).first()
     assert len(row.turns) == 600
     assert chat.conversations(chat.linear(chain.limit(0))).count() == 0
+
+
+def test_very_long_conversation(spark):
+    """30,000 turns, with turns that repeat and a null one: numbered, joined and read back whole."""
+    turns = spark.range(30_000).selectExpr(
+        "5L AS conv_id", "IF(id = 7, NULL, id DIV 2) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role",
+        "concat('text <', id, '> [x] &') AS text")
+    made = chat.conversations(chat.linear(turns)).collect()
+    assert len(made) == 1
+    said = chat.read_turns(made[0].formatted)
+    want = sorted(((-1 if i == 7 else i // 2, "assistant" if i % 2 else "user", f"text <{i}> [x] &")
+                   for i in range(30_000)))
+    assert said == [(role, text) for _, role, text in want]
+    assert chat.masked_text(made[0].formatted, [tuple(m) for m in made[0].mask]) == "".join(
+        text for role, text in said if role == "assistant")
+    assert chat.format_turns(said) == (made[0].formatted, [tuple(m) for m in made[0].mask])
