@@ -11,8 +11,8 @@ Two neighbouring tokens stay apart unless, at some moment of the merging, the
 piece at the right edge of one and the piece at the left edge of the other
 have a merge that comes before each of them is merged further inside.
 
-Memory is bounded: texts are read and output leaves in slices, the caches of
-words, token pairs and states are emptied at ``CACHE`` entries each, and prefixes
+Memory is bounded: texts are read and output leaves in slices, the word cache is
+emptied at ``CACHE`` entries, those of token pairs and states at ``PAIRS``, and prefixes
 above ``LONG`` bytes keep their last token only.
 
 Defined cases: a null text is the empty text; the special token's string in a
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.common import ship, text_slices
 
-CACHE, LONG = 100_000, 512
+CACHE, PAIRS, LONG = 160_000, 320_000, 512
 
 # Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,7 +188,7 @@ class Coder:
         if len(self.words) > CACHE:
             self.words.clear()
         for kept in (self.apart, self.steps, self.ends, *self.edges):
-            if len(kept) > CACHE:
+            if len(kept) > PAIRS:
                 kept.clear()
 
     def stay_apart(self, pair: int) -> bool:
