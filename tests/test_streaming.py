@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from retail_help import rows
 
 from tillcast.operators.planning import LOCATION, closing_stock_movement
+from tillcast.plans.queries import QUERIES
+from tillcast.session import STATE_STORE
 from tillcast.streaming import ingest, jobs, stock
 
 EVENTS = "ts timestamp, key string, n long, value double"
@@ -147,3 +149,32 @@ def test_stock_equals_batch_for_any_order_and_restart(spark, tmp_path):
         done = rows(closed, *keys)
         assert 0 < len(done) < len(want) and all(r in want for r in done)
         assert rows(stock.with_open_stock(closed, whole), *keys) == want
+
+
+def test_stock_on_a_session_with_the_default_store(spark, tmp_path):
+    """The query's stream picks the store itself, and leaves the session as it was. Rows without a
+    godown, units or day are kept: missing units make no movement, a missing day comes last."""
+    day = dt.datetime(2024, 1, 1)
+    lines = [(1, 1, 1, "O", 5.0, day), (2, 1, 1, "O", None, day + dt.timedelta(days=1)),
+             (3, 1, 1, "O", 7.0, day + dt.timedelta(days=2)), (4, 1, None, "O", 3.0, day),
+             (5, 1, None, "O", 4.0, day + dt.timedelta(days=1)), (6, 1, 1, "O", 2.0, day),
+             (7, 1, 1, "O", 9.0, day + dt.timedelta(days=9)), (8, 1, 1, "O", 6.0, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string, "
+                          "l_quantity double, l_shipdate timestamp_ntz").withColumns(
+        {c: F.lit(1.0) for c in ("l_extendedprice", "l_discount")}).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "B", "T")], "p_partkey long, p_brand string, p_type string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "north", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        got = rows(QUERIES["closing_stock_stream"](spark, str(tmp_path)))
+        assert spark.conf.get(STATE_STORE).endswith("HDFSBackedStateStoreProvider")
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    found = sorted(((r["godown"] or "", str(r["Date"]), r["closing_qty"], r["movement"]) for r in got))
+    assert found == [("", "2024-01-01", 3, None), ("", "2024-01-02", 4, 1),
+                     ("north", "2024-01-01", 7, None), ("north", "2024-01-02", None, None),
+                     ("north", "2024-01-03", 7, None), ("north", "2024-01-10", 9, 2),
+                     ("north", "None", 6, -3)]

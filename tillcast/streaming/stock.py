@@ -46,8 +46,13 @@ class StockLedger(StatefulProcessor):
         days, last_day, last_units = self._load()
         first = min(days, default=None)
         for row in rows:
+            if row.Date is None:  # no watermark passes it, so the row stays with the open days
+                continue
             day = (row.Date - EPOCH).days
-            days[day] = days.get(day, 0) + row.closing_qty
+            if row.closing_qty is None:
+                days.setdefault(day, None)
+            else:
+                days[day] = (days.get(day) or 0) + row.closing_qty
         self.kept.update((list(days), list(days.values()), last_day, last_units))
         self._wake(first, min(days, default=None))
         return iter(())
@@ -61,7 +66,7 @@ class StockLedger(StatefulProcessor):
             if day >= max(closed_to, now):
                 break
             units = days.pop(day)
-            change = None if last_units is None else units - last_units
+            change = None if last_units is None or units is None else units - last_units
             last_day, last_units = day, units
             yield Row(channel=key[0], godown=key[1], sku=key[2],
                       Date=EPOCH + dt.timedelta(days=day), closing_qty=units, movement=change)
@@ -90,12 +95,15 @@ def closing_stock_stream(snapshots: DataFrame, event_time: str, delay: str = "1
 
 def with_open_stock(closed: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The closed days and, from the snapshots as they stand, the days that are still open. A
-    location's first open day is compared with its last closed one."""
-    last = closed.groupBy(*LOCATION).agg(
+    location's first open day is compared with its last closed one; units without a day come last."""
+    last = closed.groupBy(*[F.col(c).alias(f"_{c}") for c in LOCATION]).agg(
         F.max("Date").alias("_day"), F.max_by("closing_qty", "Date").alias("_units"))
-    open_days = snapshots.join(last, LOCATION, "left").where("_day IS NULL OR Date > _day")
-    by_day = Window.partitionBy(*LOCATION).orderBy("Date")
-    before = F.coalesce(F.lag("closing_qty").over(by_day), F.col("_units"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOCATION]
+    open_days = snapshots.join(last, same, "left").where(
+        "_day IS NULL OR Date IS NULL OR Date > _day")
+    by_day = Window.partitionBy(*LOCATION).orderBy(F.col("Date").asc_nulls_last())
+    before = F.when(F.row_number().over(by_day) == 1, F.col("_units")).otherwise(
+        F.lag("closing_qty").over(by_day))
     moved = open_days.withColumn("movement", F.col("closing_qty") - before)
     columns: Sequence[str] = closed.columns
     return closed.unionByName(moved.select(*columns))
