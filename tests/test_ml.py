@@ -137,3 +137,12 @@ def test_a_constant_forecast_is_found_out(spark, monthly):
         assert not flat.limit(1).select(queries._beats_constant(flat, "predicted").alias("b")).first().b
     good = tested.withColumn("predicted", F.col("actual") * 0.9)
     assert good.limit(1).select(queries._beats_constant(good, "predicted").alias("b")).first().b
+
+
+def test_small_training_tables_have_few_parts(spark):
+    """Parts follow from the rows, not from the number of shuffle partitions."""
+    made = spark.range(500).selectExpr("concat('S', id % 7) AS SKU", "date_add(DATE'2024-01-01', int(id)) AS Date",
+                                       "double(id) AS label", "double(id) AS x")
+    with ml._spread(made, ["x"]) as kept:
+        assert kept.rdd.getNumPartitions() == 1 and kept.count() == 500
+    assert [ml._parts(n, 8) for n in (0, 4_000, 4_001, 10**9)] == [1, 1, 2, 8]
