@@ -146,6 +146,23 @@ def test_loads_equal_dedupe_of_the_union(spark, tmp_path):
     assert rows(store.sales.read().select(*keys), *keys) == want
 
 
+def test_a_load_reads_its_rows_once(spark, tmp_path):
+    """The upload's id and the counts come with the writing."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    mark = F.udf(counted, "string").asNondeterministic()
+    raw = spark.createDataFrame([sale(str(i)) for i in range(50)], SALE).withColumn("Orderid", mark("Orderid"))
+    store = loads.SalesStore(spark, str(tmp_path / "s"), bits=1 << 20)
+    assert store.load(raw) == loads.Loaded(50, 50, 0, 0) and seen.value == 50
+    plain = spark.createDataFrame([sale(str(i)) for i in range(50)], SALE)
+    assert store.sales.current().uploads == (versions.fingerprint(plain),)
+    assert store.load(plain) == loads.Loaded(50, 0, 0, 50)
+
+
 def test_load_after_a_failure_between_filter_and_rows(spark, tmp_path, monkeypatch):
     store = loads.SalesStore(spark, str(tmp_path / "s"), bits=1 << 20)
     store.load(spark.createDataFrame([sale("1")], SALE))

@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions import bloom
 from tillcast.operators.quality import dedupe_sales
 from tillcast.session import scratch_path
-from tillcast.sources.versions import VersionedTable, fingerprint
+from tillcast.sources.versions import VersionedTable, row_sums, upload_id
 
 SALE = ("Orderid", "SKU", "Statefrom", "Date")
 TYPES = {"Date": "date", "Quantity": "bigint", "Amount": "double"}
@@ -26,21 +26,33 @@ TYPES = {"Date": "date", "Quantity": "bigint", "Amount": "double"}
 SKU_SIGNS = "^[A-Za-z0-9#/._ -]+$"
 
 
-def reasons(raw: DataFrame, required: Sequence[str] = ("Date", "SKU", "Quantity", "Amount")) -> Column:
-    """The rules a row of text columns breaks, in a fixed order; empty if it breaks none."""
-    found = [F.when(F.trim(F.col(c)).isNull() | (F.trim(F.col(c)) == ""), f"missing {c}")
+def _rules(raw: DataFrame, required: Sequence[str]) -> list[tuple[Column, str]]:
+    """Tests that are true for a row that breaks the rule, in a fixed order."""
+    tests = [(F.trim(F.col(c)).isNull() | (F.trim(F.col(c)) == ""), f"missing {c}")
              for c in required if c in raw.columns]
-    found += [F.lit(f"missing {c}") for c in required if c not in raw.columns]
+    tests += [(F.lit(True), f"missing {c}") for c in required if c not in raw.columns]
     for name, kind in TYPES.items():
         if name in raw.columns:
-            text = F.trim(F.col(name))
-            found.append(F.when((text != "") & parsed(name, kind).isNull(), f"bad {name}"))
+            tests.append(((F.trim(F.col(name)) != "") & parsed(name, kind).isNull(), f"bad {name}"))
     if "SKU" in raw.columns:
         text = F.trim(F.col("SKU"))
-        found.append(F.when((text != "") & ~text.rlike(SKU_SIGNS), "bad SKU"))
+        tests.append(((text != "") & ~text.rlike(SKU_SIGNS), "bad SKU"))
     if "Quantity" in raw.columns:
-        found.append(F.when(parsed("Quantity", "bigint") < 0, "negative Quantity"))
-    return F.array_compact(F.array(*found))
+        tests.append((parsed("Quantity", "bigint") < 0, "negative Quantity"))
+    return tests
+
+
+def reasons(raw: DataFrame, required: Sequence[str] = ("Date", "SKU", "Quantity", "Amount")) -> Column:
+    """The rules a row of text columns breaks, in a fixed order; empty if it breaks none."""
+    return F.array_compact(F.array(*[F.when(test, why) for test, why in _rules(raw, required)]))
+
+
+def _broken(raw: DataFrame, required: Sequence[str] = ("Date", "SKU", "Quantity", "Amount")) -> Column:
+    """Whether a row breaks a rule, without the list: that one is evaluated step by step."""
+    found = F.lit(False)
+    for test, _ in _rules(raw, required):
+        found = found | F.coalesce(test, F.lit(False))
+    return found
 
 
 def parsed(name: str, kind: str = "string") -> Column:
@@ -53,12 +65,10 @@ def parsed(name: str, kind: str = "string") -> Column:
 def checked(raw: DataFrame) -> DataFrame:
     """Parsed columns, ``reasons`` (null for a sound row) and, for a row that breaks a rule,
     ``raw``: the row as it came, in JSON."""
-    why = reasons(raw)
     columns = [parsed(c, TYPES.get(c, "string")).alias(c) for c in raw.columns]
-    broken = F.size("_why") > 0
-    return raw.withColumn("_why", why).select(
-        *columns, F.when(broken, F.col("_why")).alias("reasons"),
-        F.when(broken, F.to_json(F.struct(*raw.columns))).alias("raw"))
+    broken = _broken(raw)
+    return raw.select(*columns, F.when(broken, reasons(raw)).alias("reasons"),
+                      F.when(broken, F.to_json(F.struct(*raw.columns))).alias("raw"))
 
 
 @dataclass(frozen=True)
@@ -85,25 +95,26 @@ class SalesStore:
     def load(self, raw: DataFrame, upload: str | None = None) -> Loaded:
         """Checks, cuts and stores a load of text columns. A load that is already stored, or
         that failed half-way, can be given again with the same result."""
-        upload = upload or fingerprint(raw)
+        path, sums, counts = scratch_path(self.spark, "load"), Observation(), Observation()
+        seen = raw if upload else raw.observe(sums, *row_sums(raw.columns))
+        # Read several times, from files that do not change; id and counts come with the writing.
+        checked(seen).observe(counts, F.count("*").alias("n"), F.count("reasons").alias("bad")
+                              ).write.parquet(path)
+        upload = upload or upload_id(sums.get)
         now = self.sales.current()
-        path = scratch_path(self.spark, "load")
-        checked(raw).write.parquet(path)  # read several times, from files that do not change
         rows = self.spark.read.parquet(path)
-        whole = rows.agg(F.count("*").alias("n"), F.count("reasons").alias("bad")).first()
-        arrived, bad = whole["n"], whole["bad"]
-        self.rejects.append(rows.where("reasons IS NOT NULL").withColumn("upload", F.lit(upload)), upload)
+        arrived, bad = counts.get["n"], counts.get["bad"]
+        refused = rows.where("reasons IS NOT NULL") if bad else rows.limit(0)
+        self.rejects.append(refused.withColumn("upload", F.lit(upload)), upload)
         if now and upload in now.uploads:
             return Loaded(arrived, 0, bad, arrived - bad)
         once = dedupe_sales(rows.where("reasons IS NULL").drop("reasons", "raw"), self.keys)
         fresh = self.unseen(once) if now else once
-        # Keys enter the filter before the rows enter the table: a failure in between leaves
+        # Keys enter the filter before the table names the rows: a failure in between leaves
         # bits too many, which costs a check, never a row.
-        fresh_path = scratch_path(self.spark, "fresh")
-        fresh.write.parquet(fresh_path)
-        fresh = self.spark.read.parquet(fresh_path)
-        self.filter.append(bloom.build(fresh, self.keys, self.bits), upload)
-        stored = self.sales.append(fresh, upload)
+        part = self.sales.staged(fresh)
+        self.filter.append(bloom.build(self.sales.read_staged(part), self.keys, self.bits), upload)
+        stored = self.sales.append(part, upload)
         return Loaded(arrived, stored, bad, arrived - bad - stored)
 
     def marked(self, rows: DataFrame) -> DataFrame:

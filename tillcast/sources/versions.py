@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,17 +41,33 @@ class Version:
     uploads: tuple[str, ...] = field(default=())
 
 
-def fingerprint(frame: DataFrame) -> str:
-    """The same for the same rows, whatever their order and files; one pass, nothing shuffled
-    but one row per task."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns])
-    again = F.xxhash64(*[F.col(f"`{c}`") for c in reversed(frame.columns)], F.lit(len(frame.columns)))
-    sums = frame.select(row.alias("a"), again.alias("b")).agg(
-        F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"),
-        F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
+@dataclass(frozen=True)
+class Staged:
+    """A written segment that no version names yet."""
+
+    segment: str
+    rows: int
+    schema: str
+
+
+def row_sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates that are the same for the same rows, whatever their order and files."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    again = F.xxhash64(*[F.col(f"`{c}`") for c in reversed(columns)], F.lit(len(columns)))
+    return [F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("a"),
+            F.sum(again.cast("decimal(38,0)")).alias("b")]
+
+
+def upload_id(sums: dict) -> str:
+    """The fingerprint of rows with these ``row_sums``."""
     return f"{sums['n']:x}-{int(sums['a'] or 0):x}-{int(sums['b'] or 0):x}"
 
 
+def fingerprint(frame: DataFrame) -> str:
+    """The same for the same rows; one pass, nothing shuffled but one row per task."""
+    return upload_id(frame.agg(*row_sums(frame.columns)).first().asDict())
+
+
 class VersionedTable:
     """A table below ``root``, on storage that all executors share."""
 
@@ -99,25 +115,40 @@ class VersionedTable:
             self._next(now), (segment,), rows, frame.schema.json(),
             (*(now.uploads if now else ()), *([upload] if upload else []))))
 
-    def append(self, frame: DataFrame, upload: str | None = None) -> int:
-        """Adds an upload's rows; the number stored, 0 if the upload is already there."""
+    def append(self, frame: DataFrame | Staged, upload: str | None = None) -> int:
+        """Adds an upload's rows, or those of a staged segment; the number stored, 0 if the
+        upload is already there."""
+        if isinstance(frame, Staged):
+            return self._take(frame, upload or fingerprint(self.read_staged(frame)))
         upload = upload or fingerprint(frame)
         now = self.current()
         if now and upload in now.uploads:
             return 0
+        return self._take(self.staged(frame), upload)
+
+    def staged(self, frame: DataFrame) -> Staged:
+        """The rows in a segment that no version names yet, in the table's columns."""
+        now = self.current()
         if now:
             frame = self._fitted(frame, T.StructType.fromJson(json.loads(now.schema)))
         segment, rows = self._write(frame)
-        stored = rows
+        return Staged(segment, rows, frame.schema.json())
+
+    def read_staged(self, part: Staged) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(part.schema))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{part.segment}")
+
+    def _take(self, part: Staged, upload: str) -> int:
+        stored = part.rows
 
         def grown(now: Version | None) -> Version | None:
             nonlocal stored
             if now and upload in now.uploads:  # another writer has stored it meanwhile
                 stored = 0
                 return None
-            stored = rows
-            return Version(self._next(now), (*(now.segments if now else ()), segment),
-                           (now.rows if now else 0) + rows, now.schema if now else frame.schema.json(),
+            stored = part.rows
+            return Version(self._next(now), (*(now.segments if now else ()), part.segment),
+                           (now.rows if now else 0) + part.rows, now.schema if now else part.schema,
                            (*(now.uploads if now else ()), upload))
 
         self._commit(grown)
