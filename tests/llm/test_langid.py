@@ -1,6 +1,8 @@
 """Language identification: tables against a direct context mixing, and held-out accuracy."""
 
 import math
+import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -100,3 +102,20 @@ def test_pipeline_stage_without_labels_keeps_texts_with_a_letter(spark):
     assert kept.schema == frame.schema
     assert sorted((str(r.doc_id), r.text, r.lang) for r in kept.collect()) == [
         ("1", "the cat", None), ("None", "\u00e9t\u00e9", None)]
+
+
+def test_training_holds_one_language_at_a_time():
+    """The driver's memory while training stays near that of the finished tables."""
+    rng = random.Random(2)
+    rows = []
+    for lang in range(24):
+        said = ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(60)]
+        rows += [(f"l{lang:02d}", " ".join(rng.choices(said, k=400))) for _ in range(2)]
+    tracemalloc.start()
+    try:
+        model = langid.Model(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.bits.nbytes > 4_000_000
+    assert peak < 2.5 * (model.bits.nbytes + model.step.nbytes), peak / model.bits.nbytes

@@ -84,3 +84,31 @@ def test_null_empty_repeated_and_empty_table(spark, docs):
     zero, pair = "0" * 16, f"{plain('one two'):016x}"
     assert got == {(5, zero, 3), (3, zero, 3), (7, zero, 3), (9, pair, 9), (None, pair, 9)}
     assert simhash.simhash_groups(docs([(1, "x")]).limit(0)).count() == 0
+
+
+def test_components_of_stars_need_no_round_and_chains_end_settled(spark, monkeypatch):
+    """A round over many partitions is thousands of tasks for the driver to keep."""
+    tables, real = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda frame, label: tables.append(label) or real(frame, label))
+
+    def found(pairs):
+        tables.clear()
+        rows = simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        got = {r.node: r.component for r in rows}
+        assert len(got) == len(rows)
+        return got
+
+    star = [(-7, i) for i in range(1, 400)] + [(5, 5), (3, -7), (-7, 3)] + [(1000, 1001)]
+    assert found(star) == {-7: -7, **{i: -7 for i in range(1, 400)}, 1000: 1000, 1001: 1000}
+    assert tables == ["stars"]
+    rng = random.Random(8)
+    chain = rng.sample(range(-500, 500), 60)
+    assert found(list(zip(chain, chain[1:], strict=False)) + [(900, 800)]) == {
+        900: 800, 800: 800, **dict.fromkeys(chain, min(chain))}
+    assert len(tables) <= 13
+    assert found([]) == {} and tables == ["stars"]
+
+
+def test_a_bucket_is_passed_on_as_stars():
+    fps = np.array([0b111111111, 0b111111, 0b111, 0, 1 << 40 | 63 << 30, -1], dtype=np.int64)
+    assert sorted(simhash.forest(fps)) == [(0, 0b111), (0, 0b111111), (0, 0b111111111)]

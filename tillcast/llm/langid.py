@@ -106,23 +106,38 @@ def _longer(usable: DataFrame, short: dict[str, int], lang: str, text: str, id_c
     return [(r["l"], r["t"]) for r in sorted(taken.collect(), key=lambda r: (r["l"], r["k"]))]
 
 
+def _contexts(texts: list[bytes]) -> Iterator[bytes]:
+    """The contexts of a language that make states, from its texts."""
+    for n in range(1, ORDER + 1):
+        seen: Counter[bytes] = Counter()
+        for raw in texts:
+            seen.update(raw[i:i + n] for i in range(len(raw) - n))
+        yield from (c for c, times in seen.items() if n == 1 or times >= LEAST_SEEN)
+
+
+def _tree(texts: list[bytes], known: set[bytes]) -> dict[bytes, dict[int, int]]:
+    """How often which byte followed the known contexts in a language's texts."""
+    tree: dict[bytes, dict[int, int]] = {}
+    for raw in texts:
+        for n in range(ORDER + 1):
+            for gram, count in Counter(raw[i:i + n + 1] for i in range(len(raw) - n)).items():
+                if gram[:-1] in known:
+                    seen = tree.setdefault(gram[:-1], {})
+                    seen[gram[-1]] = seen.get(gram[-1], 0) + count
+    return tree
+
+
 class Model:
     """The languages' frozen trees as one state table. Its size follows from the sample's."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
-        trees = {lang: defaultdict(Counter) for lang in self.langs}
-        for lang, text in rows:
-            raw, tree = text.encode("utf-8", "surrogatepass"), trees[lang]
-            for n in range(ORDER + 1):
-                grams = Counter(raw[i:i + n + 1] for i in range(len(raw) - n))
-                for gram, count in grams.items():
-                    tree[gram[:-1]][gram[-1]] += count
+        raws = {name: [text.encode("utf-8", "surrogatepass") for lang, text in rows if lang == name]
+                for name in self.langs}
+        # Counts and probabilities are held for one language at a time.
         known = {b""}
-        for tree in trees.values():
-            for context, seen in tree.items():
-                if len(context) <= 1 or sum(seen.values()) >= LEAST_SEEN:
-                    known.add(context)
+        for texts in raws.values():
+            known.update(_contexts(texts))
         for context in list(known):  # every suffix and prefix of a state is a state
             for i in range(len(context)):
                 for j in range(i, len(context) + 1):
@@ -130,32 +145,33 @@ class Model:
         states = sorted(known, key=lambda c: (len(c), c))
         number = {c: i for i, c in enumerate(states)}
         # Bytes never seen in training share one column.
-        used = sorted({b for tree in trees.values() for b in tree[b""]})
+        used = sorted(set().union(*[raw for texts in raws.values() for raw in texts]))
         self.column = np.full(256, len(used), dtype=np.int32)
         self.column[used] = np.arange(len(used))
         self.width = len(used) + 1
         unseen = max(1, 256 - len(used))
-        prob = np.full((len(self.langs), len(states), self.width), 1 / 256)
+        bits = np.empty((len(states), self.width, len(self.langs)), dtype=np.float32)
         for li, lang in enumerate(self.langs):
-            tree = trees[lang]
+            tree = _tree(raws[lang], known)
+            prob = np.full((len(states), self.width), 1 / 256)
             for si, context in enumerate(states):
                 if context:
-                    prob[li, si] = prob[li, number[context[1:]]]
+                    prob[si] = prob[number[context[1:]]]
                 seen = tree.get(context)
                 if not seen:
                     continue
                 at = self.column[list(seen)]
                 counts = np.array(list(seen.values()), dtype=np.float64)
                 total, kinds = counts.sum(), len(counts)
-                base = prob[li, si]
+                base = prob[si]
                 # The mass of the shorter context that exclusion leaves, all unseen bytes counted.
                 left = base.sum() - base[at].sum() + base[-1] * (unseen - 1)
                 p = base * (kinds / (total + kinds)) / max(left, 1e-12)
                 p[at] = counts / (total + kinds)
-                prob[li, si] = p
-        bits = -np.log2(np.maximum(prob, 1e-12)).astype(np.float32)
-        self.bits = np.ascontiguousarray(bits.transpose(1, 2, 0)).reshape(
-            len(states) * self.width, len(self.langs))
+                prob[si] = p
+            np.maximum(prob, 1e-12, out=prob)
+            bits[:, :, li] = np.negative(np.log2(prob, out=prob), out=prob)
+        self.bits = bits.reshape(len(states) * self.width, len(self.langs))
         self.step = np.zeros((len(states), self.width), dtype=np.int32)
         longer = defaultdict(list)
         for context in states[1:]:

@@ -8,7 +8,7 @@ The first five steps say: two segments agree, and of the next three at least
 two agree. So every start gives three exact 32-bit keys, and two linked
 fingerprints share a key: only such pairs get the full Hamming check.
 
-A bucket passes on a spanning forest of its links, not all pairs. Buckets with
+A bucket passes on what its links connect, as stars, not all pairs. Buckets with
 more than ``CROWD`` fingerprints are split exactly: the other 32 bits differ
 in at most 3 bits too, so of eight 4-bit blocks five agree. The split buckets
 share 52 bits and hold 4096 fingerprints at most.
@@ -31,7 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import UPPER, ship, with_group_facts, with_key_facts, written
+from tillcast.llm.common import (
+    SALTS,
+    UPPER,
+    salt_of,
+    ship,
+    with_group_facts,
+    with_key_facts,
+    written,
+)
 
 R, SEGMENTS, WIDTH, SEED = 3, 8, 8, 42
 CROWD = 1500
@@ -82,20 +90,23 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the bucket, as pairs of fingerprints.
+    """What the bucket's links connect, as pairs of the smallest fingerprint and each other one.
 
     Breadth first: each step compares one fingerprint with those not reached
     yet, so memory is one row of the bucket's matrix."""
     links, waiting = [], np.arange(len(fps))
     while len(waiting) > 1:
         front, waiting = [waiting[0]], waiting[1:]
+        tree = front.copy()
         while front and len(waiting):
             at = front.pop()
             near = _distance(fps[waiting], fps[at]) <= R
             reached = waiting[near]
-            links += [(int(fps[at]), int(fps[i])) for i in reached]
+            tree += list(reached)
             front += list(reached)
             waiting = waiting[~near]
+        least = int(fps[tree].min())
+        links += [(least, fp) for fp in fps[tree].tolist() if fp != least]
     return links
 
 
@@ -192,38 +203,42 @@ def components(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` for all linked nodes; a component is named by its smallest node.
 
     Alternating stars: every node hangs its larger, then its smaller
-    neighbours on the smallest one it knows, until nothing changes. Each round
-    is one table in the shared folder."""
+    neighbours on the smallest one it knows, until all hang on one that hangs
+    on none. Each round is two tables in the shared folder."""
     edges = written(pairs.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    seen = None
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = written(_star(both, larger=True), "stars")
         edges = written(_star(edges, larger=False), "stars")
-        # The sums are wrapped on purpose: they only tell whether the table changed.
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == seen:
-            return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-                    .unionByName(edges.select(F.col("v").alias("node"),
-                                              F.col("v").alias("component"))).distinct())
-        seen = now
+    return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            .unionByName(edges.select(F.col("v").alias("node"),
+                                      F.col("v").alias("component"))).distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether no node hangs on two others, or on one that hangs itself."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    seen = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return seen.where("hangs > 1 OR (hangs = 1 AND holds = 1)").count() == 0
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Large star: neighbours above u move to the smallest neighbour of u (or u).
-    Small star: u and its neighbours below move to the smallest of them."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    # The minimum goes back to rows keyed (u, salt): a hub's rows are dealt out.
-    joined = with_group_facts(pairs, "u", "v", facts={"_m": F.min("v")}, merge={"_m": F.min("_m")})
-    joined = joined.withColumn("m", F.least("u", "_m"))
-    if larger:
-        moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    Small star, where all neighbours are below: u and its neighbours move to the smallest of them."""
+    # The minimum goes back to rows keyed (u, salt): a hub's rows are dealt out. A bit for each
+    # salt tells which ones u has, so that one aggregation finds both.
+    salted = pairs.withColumn("_salt", salt_of("v"))
+    low = salted.groupBy("u").agg(F.min("v").alias("_m"),
+                                  F.expr("bit_or(shiftleft(1L, _salt))").alias("_held"))
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("_held", s) == 1)
+    back = low.select(F.col("u").alias("_u"), "_m", F.explode(salts).alias("_s"))
+    joined = salted.join(back, (F.col("u") == F.col("_u")) & (F.col("_salt") == F.col("_s")))
+    if larger:  # as many rows as links; the small star drops repeated ones
+        return joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v"))
+    moves = F.when(F.col("v") == F.col("_m"), F.col("u")).otherwise(F.col("v"))
+    return joined.select(moves.alias("u"), F.col("_m").alias("v")).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
