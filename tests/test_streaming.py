@@ -178,3 +178,36 @@ def test_stock_on_a_session_with_the_default_store(spark, tmp_path):
                      ("north", "2024-01-01", 7, None), ("north", "2024-01-02", None, None),
                      ("north", "2024-01-03", 7, None), ("north", "2024-01-10", 9, 2),
                      ("north", "None", 6, -3)]
+
+
+def test_stock_state_follows_buckets_not_locations(spark, tmp_path):
+    """5,000 locations, some with odd names, make fewer state rows than locations. Units add up across files, rows
+    later than the watermark allows are dropped, and rows without a day do no harm."""
+    odd = F.array(*[F.lit(x) for x in ("", None, "null", "a\tb", 'q"\\', "end\r\n", "\u00fc,%09", "x\u2028y")])
+    names = spark.range(5000).select(
+        F.when(F.col("id") % 3 > 0, "F").alias("channel"), odd[(F.col("id") % 8).cast("int")].alias("godown"),
+        F.concat(F.lit("S"), (F.col("id") / 8).cast("int")).alias("sku"), "id")
+    sent = names.select("channel", "godown", "sku", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("d"), "id").select(
+        *LOCATION, F.expr("date_add(DATE'2024-01-01', d)").alias("Date"),
+        F.when((F.col("id") + F.col("d")) % 5 > 0, F.col("id") * F.lit(10) ** 13 + F.col("d") ** 3).cast("long").alias("closing_qty"))
+    extra = [("F", None, "S1", dt.date(2024, 1, 3), 7), ("F", "", "S0", None, 5), ("F", "", "S0", dt.date(2024, 1, 9), 1)]
+    folder, base = str(tmp_path / "in"), str(tmp_path)
+    sent.coalesce(1).write.parquet(f"{folder}/0")
+    spark.createDataFrame(extra, SNAPSHOTS).coalesce(1).write.parquet(f"{folder}/1")
+
+    def run():
+        stream = jobs.read_stream(spark, f"{folder}/*", SNAPSHOTS).withColumn("at", F.col("Date").cast("timestamp"))
+        started = jobs.run_to_table(stock.closing_stock_stream(stream, "at", "2 days"), f"{base}/out", f"{base}/checkpoint")
+        started.awaitTermination()
+        return started.lastProgress["stateOperators"][0], rows(
+            spark.read.schema(stock.OUTPUT).parquet(f"{base}/out"), *LOCATION, "Date")
+
+    state, got = run()
+    assert state["numRowsTotal"] < 5000
+    whole = sent.unionByName(spark.createDataFrame(extra[:1], SNAPSHOTS)).groupBy(*LOCATION, "Date").agg(
+        F.sum("closing_qty").alias("closing_qty"))
+    assert got == rows(closing_stock_movement(whole).select(*LOCATION, "Date", "closing_qty", "movement"), *LOCATION, "Date")
+    late = [("F", "", "S0", dt.date(2024, 1, 7), 4), ("F", "", "S0", dt.date(2024, 1, 8), 3), ("F", "", "S0", dt.date(2024, 1, 20), 1)]
+    spark.createDataFrame(late, SNAPSHOTS).coalesce(1).write.parquet(f"{folder}/2")
+    state, again = run()
+    assert sorted((r["Date"].day, r["closing_qty"]) for r in again if r not in got) == [(8, 3), (9, 1)]
