@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -40,14 +40,39 @@ OUT_LINES = 10_000  # lines of a text on its way out
 OPEN = {"location": pa.string(), "day": pa.int32(), "units": pa.int64()}
 LAST = {"location": pa.string(), "units": pa.int64()}
 BEFORE_ALL = -2**31
+BETWEEN, NONE = "\x1f", "%"
+ESCAPES = {"%": "%25", "\t": "%09", "\n": "%0A", "\r": "%0D", BETWEEN: "%1F"}
+
+
+def _as_text(names: Sequence[Column]) -> Column:
+    """Names as one text without tabs and line ends."""
+    safe = []
+    for name in names:
+        for sign, escape in ESCAPES.items():
+            name = F.replace(name, F.lit(sign), F.lit(escape))
+        safe.append(F.coalesce(name, F.lit(NONE)))
+    return F.concat_ws(BETWEEN, *safe)
+
+
+def _as_name(part: Column) -> Column:
+    """A name from its part of ``_as_text``."""
+    name = part
+    for sign, escape in reversed(ESCAPES.items()):
+        name = F.replace(name, F.lit(escape), F.lit(sign))
+    return F.when(~part.contains("%"), part).when(part != NONE, name)
 
 
 def _to_lines(table: pa.Table) -> pa.Array:
-    """A row as a line; its location is JSON and has neither tabs nor line ends."""
+    """A row as a line; its location has neither tabs nor line ends."""
     texts = [pc.fill_null(c.combine_chunks().cast(pa.string()), "") for c in table.columns]
     return pc.binary_join_element_wise(*texts, "\t")
 
 
+def _joined(lines: pa.Array) -> str:
+    """Lines as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "\n")[0].as_py()
+
+
 def _from_lines(text: str, columns: dict[str, pa.DataType]) -> pa.Table:
     if not text.strip("\n"):
         return pa.schema(columns).empty_table()
@@ -114,7 +139,7 @@ class StockLedger(StatefulProcessor):
 
     @staticmethod
     def _keep(state, table: pa.Table) -> None:
-        state.update(("\n".join(_to_lines(table).to_pylist()),))
+        state.update((_joined(_to_lines(table)),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         kept = _from_lines(self._kept(self.open), OPEN)
@@ -145,7 +170,7 @@ class StockLedger(StatefulProcessor):
         self._wake(None, pc.min(still_open["day"]).as_py())
         out = _to_lines(moved.filter(pc.greater(days["day"], BEFORE_ALL)))
         for start in range(0, len(out), OUT_LINES):
-            yield Row(lines="\n".join(out[start:start + OUT_LINES].to_pylist()))
+            yield Row(lines=_joined(out[start:start + OUT_LINES]))
 
     def _wake(self, before: int | None, first: int | None) -> None:
         """Sets the timer to the end of the first open day."""
@@ -168,7 +193,7 @@ def closing_stock_stream(snapshots: DataFrame, event_time: str, delay: str = "1
     texts = [F.col(c).cast("string") for c in LOCATION]
     rows = snapshots.select(
         F.pmod(F.xxhash64(*texts), F.lit(buckets)).cast("int").alias("_bucket"), event_time,
-        F.to_json(F.array(*texts)).alias("location"), F.unix_date("Date").alias("day"),
+        _as_text(texts).alias("location"), F.unix_date("Date").alias("day"),
         F.col("closing_qty").alias("units"))
     packed = T.StructType([rows.schema["_bucket"], rows.schema[event_time], T.StructField("lines", T.StringType())])
     # Dealt by event time too: a location with many rows is spread over its days.
@@ -177,9 +202,9 @@ def closing_stock_stream(snapshots: DataFrame, event_time: str, delay: str = "1
               .transformWithState(StockLedger(), "lines string", "append", "eventTime"))
     parts = closed.select(F.explode(F.split("lines", "\n")).alias("line")).select(
         F.split("line", "\t").alias("p"))
-    names = parts.select(F.from_json(F.col("p")[0], "array<string>").alias("l"), "p")
+    names = parts.select(F.split(F.col("p")[0], BETWEEN).alias("l"), "p")
     return names.select(
-        *[F.col("l")[i].alias(c) for i, c in enumerate(LOCATION)],
+        *[_as_name(F.col("l")[i]).alias(c) for i, c in enumerate(LOCATION)],
         F.date_from_unix_date(F.col("p")[1].cast("int")).alias("Date"),
         *[F.when(F.col("p")[i] != "", F.col("p")[i]).cast("bigint").alias(c)
           for i, c in ((2, "closing_qty"), (3, "movement"))])
